@@ -1,0 +1,56 @@
+import zlib
+from collections import Counter, defaultdict
+
+from weftline.llm import sharding
+
+
+def check(docs, rows, n=8):
+    want = Counter((d.doc_id, len((d.text or "").encode()) + 1, zlib.crc32((d.text or "").encode())) for d in docs)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    slots = defaultdict(list)
+    for r in rows:
+        assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < n
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    return sizes
+
+
+def test_documents(spark, documents):
+    docs = spark.createDataFrame([(d.doc_id, d.text) for d in documents], "doc_id long, text string")
+    rows = sharding.shard_documents(docs).collect()
+    sizes = check(documents, rows)
+    mean, largest = sum(sizes.values()) / 8, max(r.size for r in rows)
+    assert max(sizes.values()) - mean < largest and mean - min(sizes.values()) < largest
+    assert sorted(rows) == sorted(sharding.shard_documents(docs.repartition(7)).collect())
+
+
+def test_hot_group_is_split_and_other_groups_stay_whole(spark):
+    texts = ["hot text " * 20] * 1500 + [f"text {i // 2} " * 15 for i in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard_documents(docs).collect()
+    sizes = check(docs.collect(), rows)
+    mean = sum(sizes.values()) / 8
+    assert max(sizes.values()) < 1.05 * mean and min(sizes.values()) > 0.95 * mean
+    shards = defaultdict(set)
+    for r in rows:
+        shards[r.text_crc32].add(r.shard)
+    assert sum(len(s) > 1 for s in shards.values()) == 1
+
+
+def test_odd_documents(spark, odd_documents, no_documents):
+    check(odd_documents.collect(), sharding.shard_documents(odd_documents).collect())
+    assert sharding.shard_documents(no_documents).collect() == []
+
+
+def test_binary_search(spark):
+    from bisect import bisect_right
+
+    from pyspark.sql import functions as F
+
+    bounds = [-(2**62), -5, 0, 3, 3, 9, 2**61]
+    keys = [-(2**63), -(2**62), -6, -5, -1, 0, 2, 3, 4, 9, 10, 2**61, 2**63 - 1]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select(sharding._range_of(F.col("k"), bounds)).collect()
+    assert [r[0] for r in got] == [bisect_right(bounds, k) for k in keys]

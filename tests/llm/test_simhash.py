@@ -1,0 +1,94 @@
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from weftline.llm import simhash
+
+
+def brute_print(text):
+    text = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(prints):
+    """{fp: component label} by all pairs."""
+    label = {p: p for p in prints}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    prints = sorted(label)
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if (a ^ b).bit_count() <= 3:
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    return {p: find(p) for p in prints}
+
+
+def check(docs, rows):
+    prints = [(d.doc_id, brute_print(d.text)) for d in docs]
+    comp = brute_components([p for _, p in prints])
+    least = {}
+    for d, p in prints:
+        if d is not None:
+            least[comp[p]] = min(d, least.get(comp[p], d))
+    want = sorted((str(d), f"{p:016x}", str(least.get(comp[p]))) for d, p in prints)
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in rows) == want
+
+
+def test_documents(spark, documents):
+    docs = spark.createDataFrame([(d.doc_id, d.text) for d in documents], "doc_id long, text string")
+    check(documents, simhash.near_duplicates(docs).collect())
+
+
+def test_odd_documents(spark, odd_documents, no_documents):
+    check(odd_documents.collect(), simhash.near_duplicates(odd_documents).collect())
+    assert simhash.near_duplicates(no_documents).collect() == []
+
+
+@pytest.mark.parametrize("tile", [2048, 6])
+def test_links_connect_what_all_pairs_connect(spark, monkeypatch, tile):
+    """Dense clusters and chains of fingerprints; with small tiles every list is dealt to tiles."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng, prints = random.Random(3), set()
+    for _ in range(12):
+        p = rng.getrandbits(64)
+        for _ in range(25):
+            prints.add(p)
+            for _ in range(rng.choice([1, 2, 3, 4])):
+                p ^= 1 << rng.randrange(64)
+    signed = [(int(np.uint64(p).view(np.int64)),) for p in prints]
+    edges = simhash.links(spark.createDataFrame(signed, "fp long"))
+    from weftline.operators.components import connected_components
+
+    got = {r.node % 2**64: r.component for r in connected_components(edges).collect()}
+    groups, want = {}, {}
+    for p, c in brute_components(prints).items():
+        want.setdefault(c, set()).add(p)
+    for p in prints:
+        groups.setdefault(got.get(p, p), set()).add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_wide_lists_stream(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "TILE", 5)
+    keys = [1] * 3 + [2] * 30 + [3] * 2 + [4] * 9 + [5]
+    fps = [7 << 40 | i for i in range(len(keys))]
+    for step in (1, 4, 45):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + step]), pa.array(fps[i : i + step])], names=["key", "fp"]) for i in range(0, len(keys), step)]
+        rows = [r for b in simhash._link_lists(iter(batches)) for r in b.to_pylist()]
+        assert sorted((r["key"], r["a"]) for r in rows if r["b"] is None) == sorted((k, f) for k, f in zip(keys, fps) if k in (2, 4))
+        assert {f for r in rows if r["b"] is not None for f in (r["a"], r["b"])} == {f for k, f in zip(keys, fps) if k in (1, 3)}
