@@ -22,7 +22,7 @@ def test_segment_round_trip(docs):
 def expected(docs):
     tok, start, out = ChunkEncoder(default_path()), 0, []
     for d in sorted(docs, key=lambda d: (d.doc_id is not None, d.doc_id or 0)):
-        ids = tok.encode([d.text or ""])[0] + dac.END
+        ids = tok.encode([d.text or ""])[0] + b"\0\0\0\0"
         out.append((d.doc_id, start, len(ids) // 4, zlib.crc32(ids)))
         start += len(ids) // 4
     return out

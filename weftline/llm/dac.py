@@ -23,11 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.tokens import blocks, default_path, encoder
+from weftline.llm.tokens import blocks, bounded_batches, default_path, encoder, grouped
 from weftline.storage import new_path, partitions
 
 MAGIC, BLOCK = b"DACS", 512
-END = b"\0\0\0\0"
 #: Ids after which a segment is closed; a longer document has one of its own.
 SEGMENT_IDS = 1 << 20
 FILE = "part int, segment int, ids_before long, n_ids long, payload binary"
@@ -112,6 +111,7 @@ class Segment:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     """Encode every text, append the end id, and write segments in ascending doc_id order below ``path``."""
     file = tokenizer or default_path()
+    bounded_batches(docs.sparkSession)
 
     def segments(batches):
         tok, part, segment, before = encoder(file), TaskContext.get().partitionId(), 0, 0
@@ -119,21 +119,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
 
         def close():
             nonlocal segment, before, names, lengths, held, n
-            payload = encode_segment(names, lengths, np.frombuffer(b"".join(held), "<u4"))
+            payload = encode_segment(names, lengths, np.concatenate(held))
             row = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (segment, pa.int32()), (before, pa.int64()), (n, pa.int64()), (payload, pa.binary()))], names=["part", "segment", "ids_before", "n_ids", "payload"])
             segment, before, names, lengths, held, n = segment + 1, before + n, [], [], [], 0
             return row
 
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+        for batch in grouped(batches):
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo, hi in blocks(texts):
-                for doc_id, ids in zip(doc_ids[lo:hi], tok.encode(texts[lo:hi]), strict=True):
-                    names.append(doc_id)
-                    lengths.append(len(ids) // 4 + 1)
-                    held += [ids, END]
+                ids, at = tok.encode_column(texts[lo:hi])
+                ids, at = np.insert(ids, at[1:], 0), at + np.arange(len(at))  # the end id after every row
+                first = 0
+                for i in range(1, len(at)):
+                    names.append(doc_ids[lo + i - 1])
+                    lengths.append(int(at[i] - at[i - 1]))
                     n += lengths[-1]
                     if n >= SEGMENT_IDS:
+                        held.append(ids[at[first] : at[i]])
+                        first = i
                         yield close()
+                held.append(ids[at[first] :])
         if names:
             yield close()
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.tokens import blocks, default_path, encoder
+from weftline.llm.tokens import blocks, bounded_batches, default_path, encoder, grouped
 from weftline.storage import materialise, partitions
 
 LENGTH, END = 1024, b"\0\0\0\0"
@@ -28,20 +28,22 @@ PIECES = "doc_id long, start long, length int, ids binary, doc_tokens long"
 def cut_documents(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
     """Pieces of at most ``length`` ids: ``doc_id, start, length, ids`` (little-endian unsigned 32-bit) and ``doc_tokens``."""
     path = tokenizer or default_path()
+    bounded_batches(docs.sparkSession)
 
     def pieces(batches):
         tok = encoder(path)
-        for batch in batches:
+        for batch in grouped(batches):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            texts = [t or "" for t in texts.to_pylist()]
             for lo, hi in blocks(texts):
-                out = ([], [], [], [], [])
-                for doc_id, ids in zip(doc_ids[lo:hi], tok.encode(texts[lo:hi]), strict=True):
-                    ids += END
-                    n = len(ids) // 4
-                    for at in range(0, n, length):
-                        piece = ids[4 * at : 4 * (at + length)]
-                        for column, value in zip(out, (doc_id, at, len(piece) // 4, piece, n), strict=True):
+                ids, at = tok.encode_column(texts[lo:hi])
+                raw, at, out = ids.astype("<u4", copy=False).tobytes(), at.tolist(), ([], [], [], [], [])
+                for doc_id, a, b in zip(doc_ids[lo:hi], at, at[1:], strict=False):
+                    n = b - a + 1
+                    for start in range(0, n, length):
+                        piece = raw[4 * (a + start) : 4 * min(b, a + start + length)]
+                        if start + length >= n:
+                            piece += END
+                        for column, value in zip(out, (doc_id, start, len(piece) // 4, piece, n), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens"])
 

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.tokens import bounded_batches
 from weftline.operators.components import connected_components
 from weftline.storage import materialise
 
@@ -58,6 +59,8 @@ def simhash(text: str | None) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed long) of every row."""
 
+    bounded_batches(docs.sparkSession)
+
     def per_batch(batches):
         for batch in batches:
             fp = np.array([simhash(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)

@@ -2,19 +2,27 @@
 
 The byte-level BPE's split pattern always starts a new piece at a space that a non-space follows. A text in which every
 space is followed by a non-space (or ends the text) can therefore be cut before each space, and equal cuts have equal
-ids wherever they stand; each distinct cut is encoded once by the library and looked up afterwards. Any other text is
+ids wherever they stand; each distinct cut is encoded by the library and looked up afterwards. Any other text is
 encoded whole. Both ways give the ids of the whole text (tests/llm compare them).
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_UNSAFE = re.compile(r" \s")
+#: A space that any white space follows; a few characters more than that do no harm.
+_UNSAFE = r" [\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: How the byte-level vocabulary writes a space.
+SPACE = "\u0120"
+#: After a letter or digit, a run of these is a piece of its own to the tokenizer.
+TAIL = ".,;:!?"
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -35,32 +43,127 @@ def pack_ids(ids) -> bytes:
     return out.tobytes()
 
 
+def _parts(cut: str) -> list[str | None]:
+    """Memo keys whose ids make up those of a cut; None is a line end between two that are not white space."""
+    lines = cut.split("\n") if cut[0] != " " else [cut]
+    if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+        lines = [cut]
+    keys = []
+    for i, line in enumerate(lines):
+        if i:
+            keys.append(None)
+        word = line.rstrip(TAIL)
+        if word and len(word) < len(line) and word[-1].isalnum():
+            keys += [" " + word if i else word, " " + line[len(word) :]]
+        else:
+            keys.append(" " + line if i else line)
+    return keys
+
+
 class ChunkEncoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes. The memo is emptied when full."""
+    """Ids of texts, through a memo in two generations of at most ``limit`` cuts each, the older one dropped when full.
+
+    The memo maps a cut without its space, or, for what has no space before it, the string after one space, to its ids
+    as little-endian unsigned 32-bit bytes.
+    """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit, self.memo = limit, {}
+        self.limit, self.memo, self.old = limit, {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
+        self.newline = pack_ids(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of every word with a space before it, by encoding many in one string: only their first ids begin with a space."""
+        runs = [" " + " ".join(words[i : i + 200]) for i in range(0, len(words), 200)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids], "<u4")
+        at = [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)]
+        if len(at) != len(words) + 1:
+            return self._whole([" " + w for w in words])
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Memo entries for cuts that it lacks. Lines and trailing punctuation are pieces of their own to the tokenizer."""
+        memo, made, need = self.memo, [], set()
+        remember = self.old.get
+        for cut in new:
+            ids = remember(cut)
+            if ids is not None:
+                memo[cut] = ids
+            elif cut[-1:] not in TAIL and "\n" not in cut:
+                need.add(cut)
+            else:
+                keys = _parts(cut)
+                if len(keys) > 1:
+                    made.append((cut, keys))
+                for k in keys:
+                    if k is not None and k not in memo:
+                        ids = remember(k)
+                        if ids is not None:
+                            memo[k] = ids
+                        else:
+                            need.add(k)
+        spaced = [k for k in need if k and k[0] != " "]
+        plain = [k for k in need if not k or k[0] == " "]
+        memo.update(zip(spaced, self._spaced(spaced), strict=True))
+        # The empty key is a space that ends a text.
+        memo.update(zip(plain, self._whole([k[1:] if k else " " for k in plain]), strict=True))
+        memo[None] = self.newline
+        memo.update((cut, b"".join([memo[k] for k in keys])) for cut, keys in made)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column one after another, and the offsets of its rows; null counts as empty."""
         if len(self.memo) > self.limit:
-            self.memo.clear()
+            self.memo, self.old = {}, self.memo
+        texts = pc.fill_null(texts, "")
+        unsafe = pc.match_substring_regex(texts, _UNSAFE)
+        some = pc.any(unsafe).as_py()
+        words = pc.split_pattern(pc.if_else(unsafe, "", texts) if some else texts, " ")
+        at, coded = words.offsets.to_numpy(), pc.dictionary_encode(words.values)
+        keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        # A row's first word has no space before it.
+        first = index[at[:-1]]
+        index[at[:-1]] = np.arange(len(keys), len(keys) + len(first))
+        keys += [" " + keys[i] for i in first.tolist()]
         memo = self.memo
-        # A cut is looked up without its space; a text's first cut has none and is kept under a key that no cut can have.
-        cut = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        new = set().union(*(c[1:] for c in cut if c)).difference(memo)
-        heads = {" " + c[0] for c in cut if c}.difference(memo)
-        memo.update(zip(new, self._ids([" " + c for c in new]), strict=True))
-        memo.update(zip(heads, self._ids([h[1:] for h in heads]), strict=True))
-        whole = iter(self._ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        get = memo.__getitem__
-        return [next(whole) if c is None else get(" " + c[0]) + b"".join(map(get, c[1:])) for c in cut]
+        self._learn([k for k in keys if k not in memo])
+        found = list(map(memo.__getitem__, keys))
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        held, lengths = np.frombuffer(b"".join(found), "<u4"), sizes[index]
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        del found, keys
+        if ends[-1]:
+            shift = starts[index] - ends[:-1]
+            kind = np.int32 if max(ends[-1], len(held)) < 2**31 else np.int64
+            at_id = np.repeat(shift.astype(kind), lengths)
+            at_id += np.arange(ends[-1], dtype=kind)
+            ids = held[at_id]
+        else:
+            ids = held[:0]
+        offsets = ends[at]
+        if some:
+            rows = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            odd = np.flatnonzero(unsafe.to_numpy(zero_copy_only=False))
+            for i, raw in zip(odd.tolist(), self._whole(texts.take(pa.array(odd)).to_pylist()), strict=True):
+                rows[i] = np.frombuffer(raw, "<u4")
+            ids, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        return ids, offsets
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit bytes."""
+        ids, at = self.encode_column(pa.array(texts, pa.string()))
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -70,14 +173,36 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def blocks(texts: list, rows: int = 256, chars: int = 2_000_000):
-    """(first, last) bounds of runs of at most so many rows and, but for a single text, characters: bounded work memory."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > first and (i - first >= rows or size + n > chars):
+def bounded_batches(spark, rows: int = 1024) -> None:
+    """Lower the session's Arrow batches to so many rows: whole texts pass through them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
+def grouped(batches, column: int = 1, size: int = 8_000_000):
+    """Successive Arrow batches joined into ones of about ``size`` bytes of text: fewer, larger batches are cheaper here."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(column).nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else batch
+            held, n = [], 0
+    if held:
+        joined = pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield joined[0] if joined else held[0]
+
+
+def blocks(texts: pa.Array, rows: int = 1 << 16, size: int = 8_000_000):
+    """(first, last) bounds of runs of at most so many rows and, but for a single text, bytes: bounded work memory."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and (i - first >= rows or held + n > size):
             yield first, i
-            first, size = i, 0
-        size += n
-    if first < len(texts):
-        yield first, len(texts)
+            first = i
+            held = 0
+        held += n
+    if first < len(sizes):
+        yield first, len(sizes)
