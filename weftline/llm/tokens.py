@@ -99,7 +99,7 @@ class ChunkEncoder:
             ids = remember(cut)
             if ids is not None:
                 memo[cut] = ids
-            elif cut[-1:] not in TAIL and "\n" not in cut:
+            elif not cut or cut[-1] not in TAIL and "\n" not in cut:
                 need.add(cut)
             else:
                 keys = _parts(cut)
