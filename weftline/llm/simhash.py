@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.tokens import bounded_batches
 from weftline.operators.components import connected_components
-from weftline.storage import materialise
+from weftline.storage import materialise, partitions
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Bytes that a pair must share: 8 positions, at most one spoilt by each differing bit.
@@ -116,7 +116,6 @@ def _link_lists(batches):
         key, fp = np.concatenate([key, k]), np.concatenate([fp, f])
         last = np.flatnonzero(key != key[-1])
         last = int(last[-1]) + 1 if len(last) else 0
-        sizes_ok, start = [], 0
         # Lists inside this stretch that are too wide leave as entries; the others are linked here.
         cut = np.flatnonzero(np.concatenate([[True], key[1:last] != key[: last - 1]])) if last else np.zeros(0, int)
         size = np.diff(np.append(cut, last))
@@ -145,7 +144,9 @@ def links(distinct: DataFrame) -> DataFrame:
     masks = [sum(255 << 8 * i for i in chosen) for chosen in combinations(range(8), LEAST_SHARED)]
     keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(masks)]
     # A hash stands for (choice of positions, bytes): a collision adds entries to a list, and all are verified.
-    postings = distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    # A small file would be a task or two: the fingerprints are dealt out before each becomes its postings.
+    dealt = distinct.repartition(partitions(distinct.sparkSession))
+    postings = dealt.select(F.explode(F.array(*keys)).alias("key"), "fp")
     found = materialise(postings.repartition("key").sortWithinPartitions("key").mapInArrow(_link_lists, "key long, a long, b long"), "links")
     wide = found.filter("b is null").select("key", F.col("a").alias("fp"))
     tiles = wide.groupBy("key").agg(F.ceil(F.count("*") * 2 / F.lit(TILE)).cast("int").alias("tiles"))
