@@ -180,7 +180,7 @@ def bounded_batches(spark, rows: int = 1024) -> None:
         spark.conf.set(key, rows)
 
 
-def grouped(batches, column: int = 1, size: int = 8_000_000):
+def grouped(batches, column: int = 1, size: int = 16_000_000):
     """Successive Arrow batches joined into ones of about ``size`` bytes of text: fewer, larger batches are cheaper here."""
     held, n = [], 0
     for batch in batches:
@@ -194,7 +194,7 @@ def grouped(batches, column: int = 1, size: int = 8_000_000):
         yield joined[0] if joined else held[0]
 
 
-def blocks(texts: pa.Array, rows: int = 1 << 16, size: int = 8_000_000):
+def blocks(texts: pa.Array, rows: int = 1 << 16, size: int = 16_000_000):
     """(first, last) bounds of runs of at most so many rows and, but for a single text, bytes: bounded work memory."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     first = held = 0
