@@ -18,130 +18,119 @@ no rows; texts of any length are read whole; other columns are ignored.
 from __future__ import annotations
 
 import re
-import struct
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.tokens import bounded_batches
+from weftline.llm.tokens import bounded_batches, grouped
 from weftline.storage import materialise
 
-WORDS, SIMILARITY, LITERALS = 5, 0.8, 3
+WORDS, SIMILARITY, LITERALS = 5, 0.8, 2
 #: Bits of the window bitmap (512 KB).
 BITS = 1 << 22
-#: Canonical chunks remembered by a worker.
-MEMO = 300_000
 
 UNITS = frozenset("% $ € £ ° mm cm m km in ft yd mi mg g kg t oz lb ml cl l gal ms s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years mph kmh kph hz khz mhz ghz w kw kwh v mv a ma j kj cal kcal pa kpa bar psi kb mb gb tb usd eur gbp cent cents dollar dollars euro euros pound pounds percent degree degrees meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres".split())
 
-_NUMBER = re.compile(r"[^\w$€£%°]*[+-]?\d[\d.,:/]*[^\w$€£%°]*")
-_GLUED = re.compile(r"(\d)(?=[^\W\d_]|[%$€£°])|([$€£])(?=\d)")
-_DIGIT = re.compile(r"\d")
-_PLAIN, _NUM, _UNIT = 0, 1, 2
-_MIX = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64 | 1 for i in range(3, 3 + WORDS)], np.uint64)
-_NAME_HASH, _NUM_HASH, _UNIT_HASH = (np.uint64(struct.unpack("<Q", blake2b(x, digest_size=8).digest())[0]) for x in (b"<name>", b"<num>", b"<unit>"))
-
-
-class Canon:
-    """Canonical words of texts. ``arrays(text)`` gives word hashes, template hashes, placeholders and word strings."""
-
-    def __init__(self, limit: int = MEMO):
-        self.limit = limit
-        self.clear()
-
-    def clear(self):
-        self.ids: dict[str, int] = {}
-        self.words, self.hash, self.kind, self.capital, self.ends = [], [], [], [], []
-
-    def _add(self, chunk: str) -> int:
-        word = "".join(c for c in chunk.lower() if c.isalnum())
-        kind = _PLAIN
-        if _NUMBER.fullmatch(chunk):
-            word, kind = re.sub(r"[^\d.+-]|\.+\W*$", "", chunk).strip(".") or word, _NUM
-        elif not word:
-            sign = "".join(c for c in chunk if c in "%$€£°")
-            if not sign:
-                self.ids[chunk] = -1
-                return -1
-            word = sign
-        if kind == _PLAIN and word in UNITS:
-            kind = _UNIT
-        first = next((c for c in chunk if c.isalnum()), "")
-        self.ids[chunk] = i = len(self.words)
-        self.words.append(word)
-        self.hash.append(struct.unpack("<Q", blake2b(word.encode(), digest_size=8).digest())[0])
-        self.kind.append(kind)
-        self.capital.append(first.isupper() and len(word) > 1)
-        self.ends.append(chunk.rstrip("\"')]}»”’")[-1:] in {".", "!", "?", ":", ""})
-        return i
-
-    def arrays(self, text: str):
-        if len(self.words) > self.limit:
-            self.clear()
-        get, add = self.ids.get, self._add
-        if _DIGIT.search(text):
-            text = _GLUED.sub(r"\1\2 ", text)
-        chunks = text.split()
-        for c in set(chunks):
-            if get(c) is None:
-                add(c)
-        ids = np.fromiter(map(self.ids.__getitem__, chunks), np.int64, len(chunks))
-        return ids[ids >= 0]
-
-    def tables(self):
-        return np.array(self.hash, np.uint64), np.array(self.kind, np.int8), np.array(self.capital, bool), np.array(self.ends, bool)
+# Patterns over single chunks (RE2): a number with nothing but punctuation around it, a capital first, a sentence's end.
+_SIGNS = "$€£%°"
+_NUMBER = rf"^[^\pL\pN_{_SIGNS}]*[+-]?[0-9][0-9.,:/]*[^\pL\pN_{_SIGNS}]*$"
+_CAPITAL, _ENDS = r"^[^\pL\pN]*\p{Lu}[^\pL\pN]*[\pL\pN]", r"[.!?:][\"')\]}»”’]*$"
+#: Numbers and what is glued to them come apart.
+_GLUED = ((rf"([0-9])([\pL{_SIGNS}])", r"\1 \2"), (r"([$€£])([0-9])", r"\1 \2"))
+_PLAIN, _NUM, _UNIT, _NAME = range(4)
+
+_RNG = np.random.default_rng(20)
+_BYTE, _MIX = _RNG.integers(0, 2**64, 256, np.uint64) | np.uint64(1), _RNG.integers(0, 2**64, WORDS, np.uint64) | np.uint64(1)
+_PLACE = _RNG.integers(0, 2**64, 4, np.uint64)  # what stands for a placeholder of each kind
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of a string column: a polynomial over random numbers for bytes, then mixed."""
+    words = pa.concat_arrays([words])
+    raw = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(raw)])
+    data = np.frombuffer(words.buffers()[2], np.uint8)[: at[-1]] if at[-1] else np.zeros(0, np.uint8)
+    power = np.concatenate([[np.uint64(1)], np.full(int(raw.max()) if len(raw) else 0, _POWER)]).cumprod(dtype=np.uint64)
+    place = np.arange(at[-1]) - np.repeat(at[:-1], raw)
+    run = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * power[place], dtype=np.uint64)])
+    return _mixed(run[at[1:]] - run[at[:-1]] + raw.astype(np.uint64))
 
 
 def _windows(x: np.ndarray) -> np.ndarray:
     n = len(x) - WORDS + 1
-    with np.errstate(over="ignore"):
-        h = sum(x[i : i + n] * _MIX[i] for i in range(WORDS))
-        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return _mixed(sum(x[i : i + n] * _MIX[i] for i in range(WORDS)))
 
 
-def _slots(words: list[str], kinds: np.ndarray) -> str:
-    return "\x1f".join(f"{k}{w}" for w, k in zip(words, kinds.tolist(), strict=True) if k)
+def _value(chunk: str, word: str) -> str:
+    """The value of a number, for comparing slots."""
+    return re.sub(r"[^\d.+-]", "", chunk.replace(",", "")).strip(".") or word
 
 
-def scan(texts: list[str | None], canon: Canon, bitmap: np.ndarray | None):
+def scan(texts: pa.Array, bitmap: np.ndarray | None):
     """(text number, window position, hash, slots or None) of every window that the bitmap lets through.
 
     Slots are None for a literal window, else the placeholders' kinds and values joined by U+001F. A literal window
     that repeats within a text, or a template that repeats with the same values, is given once.
     """
-    ids = [canon.arrays(t or "") for t in texts]
-    hash_of, kind_of, cap_of, ends_of = canon.tables()
-    for number, at in enumerate(ids):
-        if len(at) < WORDS:
-            continue
-        literal, kind = hash_of[at], kind_of[at]
-        named = cap_of[at] & ~np.concatenate([[True], ends_of[at[:-1]]]) & (kind == _PLAIN)
-        kind = np.where(named, 3, kind)
-        template = np.where(kind == 0, literal, np.array([0, _NUM_HASH, _UNIT_HASH, _NAME_HASH], np.uint64)[kind])
-        held = np.convolve(kind > 0, np.ones(WORDS, int), "valid")
-        for h, some in ((_windows(literal), None), (_windows(template) + np.uint64(1), (held > 0) & (held <= WORDS - LITERALS))):
-            ok = np.ones(len(h), bool) if some is None else some
-            if bitmap is not None:
-                bit = h % np.uint64(BITS)
-                ok = ok & (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            seen = set()
-            for p in np.flatnonzero(ok).tolist():
-                slots = None if some is None else _slots([canon.words[i] for i in at[p : p + WORDS]], kind[p : p + WORDS])
-                if (key := (int(h[p]), slots)) not in seen:
-                    seen.add(key)
-                    yield number, p, key[0], slots
-
-
-_WORKER: list[Canon] = []
-
-
-def _canon() -> Canon:
-    if not _WORKER:
-        _WORKER.append(Canon())
-    return _WORKER[0]
+    texts = pc.fill_null(texts, "")
+    digits = pc.match_substring_regex(texts, "[0-9]")
+    if pc.any(digits).as_py():
+        some = texts.filter(digits)
+        for pattern, to in _GLUED:
+            some = pc.replace_substring_regex(some, pattern, to)
+        texts = pc.replace_with_mask(texts, digits, some)
+    split = pc.utf8_split_whitespace(texts)
+    at, coded = split.offsets.to_numpy().astype(np.int64), pc.dictionary_encode(split.flatten())
+    chunks, index = coded.dictionary, coded.indices.to_numpy()
+    row = np.repeat(np.arange(len(texts)), np.diff(at))
+    if len(index) < WORDS:
+        return
+    low = pc.utf8_lower(chunks)
+    word = pc.replace_substring_regex(low, r"[^\pL\pN]+", "")
+    bare = pc.equal(word, "")
+    word = pc.if_else(bare, pc.replace_substring_regex(low, rf"[^{_SIGNS}]+", ""), word)
+    flag = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
+    kept = flag(pc.not_equal(word, ""))
+    kind = np.where(flag(pc.match_substring_regex(chunks, _NUMBER)), _NUM, np.where(flag(pc.is_in(word, pa.array(sorted(UNITS)))), _UNIT, _PLAIN))
+    capital, ends, hashes = flag(pc.match_substring_regex(chunks, _CAPITAL)), flag(pc.match_substring_regex(chunks, _ENDS)), _hashes(word)
+
+    keep = kept[index]
+    index, row = index[keep], row[keep]
+    if len(index) < WORDS:
+        return
+    literal, kind = hashes[index], kind[index]
+    opens = np.concatenate([[True], ends[index[:-1]] | (row[1:] != row[:-1])])
+    kind = np.where(capital[index] & ~opens & (kind == _PLAIN), _NAME, kind)
+    inside = row[WORDS - 1 :] == row[: len(row) - WORDS + 1]
+    first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))])
+    held = np.convolve(kind > 0, np.ones(WORDS, int), "valid")
+    template = np.where(kind == _PLAIN, literal, _PLACE[kind])
+    for h, ok, slotted in ((_windows(literal), inside, False), (_windows(template) + np.uint64(1), inside & (held > 0) & (held <= WORDS - LITERALS), True)):
+        if bitmap is not None:
+            bit = h % np.uint64(8 * len(bitmap))
+            ok = ok & (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        seen = set()
+        for p in np.flatnonzero(ok).tolist():
+            slots = None
+            if slotted:
+                values = []
+                for i, k in zip(index[p : p + WORDS].tolist(), kind[p : p + WORDS].tolist(), strict=True):
+                    if k:
+                        w = word[i].as_py()
+                        values.append(f"{k}{_value(chunks[i].as_py(), w) if k == _NUM else w}")
+                slots = "\x1f".join(values)
+            if (key := (int(row[p]), int(h[p]), slots)) not in seen:
+                seen.add(key)
+                yield key[0], int(p - first[row[p]]), key[1], slots
 
 
 def _scan_frame(rows: DataFrame, keys: list[str], bitmap=None) -> DataFrame:
@@ -149,8 +138,8 @@ def _scan_frame(rows: DataFrame, keys: list[str], bitmap=None) -> DataFrame:
 
     def per_batch(batches):
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
-        for batch in batches:
-            found = list(scan(batch.column(len(keys)).to_pylist(), _canon(), bits))
+        for batch in grouped(batches, len(keys)):
+            found = list(scan(batch.column(len(keys)), bits))
             at = pa.array([f[0] for f in found], pa.int64())
             columns = [batch.column(i).take(at) for i in range(len(keys))]
             columns += [pa.array([f[1] for f in found], pa.int32()), pa.array(np.array([f[2] for f in found], np.uint64).view(np.int64)), pa.array([f[3] for f in found], pa.string())]
