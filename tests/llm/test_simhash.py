@@ -57,7 +57,7 @@ def test_odd_documents(spark, odd_documents, no_documents):
     assert simhash.near_duplicates(no_documents).collect() == []
 
 
-@pytest.mark.parametrize("tile", [2048, 6])
+@pytest.mark.parametrize("tile", [1024, 6])
 def test_links_connect_what_all_pairs_connect(spark, monkeypatch, tile):
     """Dense clusters and chains of fingerprints; with small tiles every list is dealt to tiles."""
     monkeypatch.setattr(simhash, "TILE", tile)

@@ -34,7 +34,7 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Bytes that a pair must share: 8 positions, at most one spoilt by each differing bit.
 LEAST_SHARED = 8 - MAX_BITS
 #: Most fingerprints of one posting list that a task pairs up.
-TILE = 2048
+TILE = 1024
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -71,13 +71,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is reachable within ``MAX_BITS`` steps in one list, each as (least member, member)."""
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= MAX_BITS
-    label, old = np.arange(len(fp)), None
+    n, rows = len(fp), 256
+    cuts = range(0, n, rows)  # a block of rows at a time: temporaries stay small
+    near = np.concatenate([np.bitwise_count(fp[i : i + rows, None] ^ fp[None, :]) <= MAX_BITS for i in cuts])
+    label, old = np.arange(n, dtype=np.int32), None
     while old is None or (label != old).any():
         old = label
-        label = np.where(near, label[None, :], len(fp)).min(1)
+        label = np.concatenate([np.where(near[i : i + rows], old[None, :], np.int32(n)).min(1) for i in cuts])
         label = label[label]
-    at = np.flatnonzero(label != np.arange(len(fp)))
+    at = np.flatnonzero(label != np.arange(n))
     return fp[label[at]], fp[at]
 
 
