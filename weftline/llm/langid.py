@@ -107,8 +107,12 @@ def fit(docs: DataFrame) -> Model | None:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.filter((fold != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # A language's rows are thinned by hash to about twice what is wanted before they are ranked together.
+    often = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_ROWS).select(F.col("lang").alias("o_lang"), F.col("n").alias("often"))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    thinned = rows.select("doc_id", "lang").join(F.broadcast(often), F.col("lang") == F.col("o_lang")).filter(draw * F.col("often") < 2 * PER_LANGUAGE)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_LANGUAGE)
+    chosen = thinned.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_LANGUAGE)
     chosen = chosen.orderBy("n", "lang").limit(MOST_ROWS).select(F.col("doc_id").alias("c_id"), F.col("lang").alias("c_lang")).distinct()
 
     def features(batches):
