@@ -1,11 +1,65 @@
-"""The corpus pipeline: language ID, near-duplicates, benchmark decontamination, personal data, packing."""
+"""The corpus pipeline: language ID, near-duplicates, benchmark decontamination, personal data, packing.
 
-STAGES = []
+Every stage takes ``(spark, docs, sf_dir)`` and works on all that the one before has kept; ``run`` writes each stage's
+rows to the shared folder and reads them back for the next. All but the last keep the columns of ``docs``.
+
+Defined cases, besides those of the operators: of rows that repeat a kept doc_id the one with the least text hash stays;
+rows with a null doc_id stay if their fingerprint's component has no doc_id at all and then count as one group; a
+benchmark table without rows removes nothing; an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftline.llm import decontam, langid, packing, pii, simhash
+from weftline.storage import materialise
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents whose language is rejected or undetermined."""
+    return langid.keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints: the one with the least doc_id."""
+    found = simhash.near_duplicates(docs).filter("doc_id is null and component_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["kept_id"]), "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents in which an item of the benchmark is found."""
+    return decontam.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 1024 ids."""
+    return packing.pack_documents(docs, keep_ids=False)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
+
+#: Hashes, learned models and tokenizer ids are beyond SQL; tests/llm compare the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents`` after all stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -159,6 +159,16 @@ class ChunkEncoder:
             ids, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         return ids, offsets
 
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, each with a space before it: all ids in a row, and where each word's begin and how many they are."""
+        if len(self.memo) > self.limit:
+            self.memo, self.old = {}, self.memo
+        memo = self.memo
+        self._learn([w for w in words if w not in memo])
+        found = [memo[w] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
         ids, at = self.encode_column(pa.array(texts, pa.string()))
