@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import decontam, langid, packing, pii, simhash
+from weftline.llm.keys import join_keys
 from weftline.storage import materialise
 
 
@@ -24,10 +25,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints: the one with the least doc_id."""
-    found = simhash.near_duplicates(docs).filter("doc_id is null and component_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["kept_id"]), "left_semi")
+    rows = simhash.near_duplicates(docs).groupBy("doc_id", "text_hash", "component_id").agg(F.count("*").alias("n"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # Of several texts under one doc_id the one with the least hash is its document.
+    least = F.min(F.when(chosen, F.col("text_hash"))).over(Window.partitionBy("doc_id"))
+    keys = materialise(rows.withColumn("kept", chosen & (F.col("text_hash") == least)).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "n", "kept"), "keys")
+    gone, often = keys.filter("not kept").select("k_id", "k_hash"), keys.filter("kept and n > 1").select("k_id", "k_hash")
+    n_gone, n_often = gone.count(), often.count()
+    out = join_keys(docs, gone, "left_anti", n_gone)
+    if not n_often:
+        return out
+    # Rows that are equal in doc_id and text: one of them stays.
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    one = join_keys(docs, often, "left_semi", n_often).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    return join_keys(out, often, "left_anti", n_often).union(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +53,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 ids."""
-    return packing.pack_documents(docs, keep_ids=False)
+    return packing.pack_documents(docs, keep_ids=False, memo=60_000, block=4_000_000)
 
 
 STAGES = [

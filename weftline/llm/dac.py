@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.tokens import blocks, bounded_batches, default_path, encoder, grouped
+from weftline.llm.tokens import blocks, bounded_batches, default_path, encoder, grouped, releasing
 from weftline.storage import new_path, partitions
 
 MAGIC, BLOCK = b"DACS", 512
@@ -146,7 +146,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     # The hash parts a doc_id that very many rows repeat.
     keys = [F.col("doc_id"), F.xxhash64("text")]
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
-    ordered.mapInArrow(segments, FILE).write.parquet(path)
+    ordered.mapInArrow(releasing(segments), FILE).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -25,7 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.tokens import bounded_batches, grouped
+from weftline.llm.keys import join_keys
+from weftline.llm.tokens import bounded_batches, grouped, releasing
 from weftline.storage import materialise
 
 WORDS, SIMILARITY, LITERALS = 5, 0.8, 2
@@ -138,14 +139,14 @@ def _scan_frame(rows: DataFrame, keys: list[str], bitmap=None) -> DataFrame:
 
     def per_batch(batches):
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
-        for batch in grouped(batches, len(keys)):
+        for batch in grouped(batches, len(keys), 6_000_000):
             found = list(scan(batch.column(len(keys)), bits))
             at = pa.array([f[0] for f in found], pa.int64())
             columns = [batch.column(i).take(at) for i in range(len(keys))]
             columns += [pa.array([f[1] for f in found], pa.int32()), pa.array(np.array([f[2] for f in found], np.uint64).view(np.int64)), pa.array([f[3] for f in found], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "pos", "hash", "slots"])
 
-    return rows.mapInArrow(per_batch, ", ".join(f"{k} long" for k in keys) + ", pos int, hash long, slots string")
+    return rows.mapInArrow(releasing(per_batch), ", ".join(f"{k} long" for k in keys) + ", pos int, hash long, slots string")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
@@ -208,8 +209,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows in which a benchmark item is found."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_doc_id"), "text_hash").distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_doc_id"]) & (F.xxhash64(docs["text"]) == bad["text_hash"]), "left_anti")
+    bad = materialise(contaminated(docs, benchmark).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct(), "contaminated")
+    return join_keys(docs, bad, "left_anti", bad.count())
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,23 +18,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.tokens import blocks, bounded_batches, default_path, encoder, grouped
+from weftline.llm.tokens import blocks, bounded_batches, default_path, encoder, grouped, releasing
 from weftline.storage import materialise, partitions
 
 LENGTH, END = 1024, b"\0\0\0\0"
 PIECES = "doc_id long, start long, length int, ids binary, doc_tokens long"
 
 
-def cut_documents(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
-    """Pieces of at most ``length`` ids: ``doc_id, start, length, ids`` (little-endian unsigned 32-bit) and ``doc_tokens``."""
+def cut_documents(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, memo: int = 250_000, block: int = 16_000_000) -> DataFrame:
+    """Pieces of at most ``length`` ids: ``doc_id, start, length, ids`` (little-endian unsigned 32-bit) and ``doc_tokens``.
+
+    A worker remembers up to twice ``memo`` cuts and encodes about ``block`` bytes at a time: memory against time.
+    """
     path = tokenizer or default_path()
     bounded_batches(docs.sparkSession)
 
     def pieces(batches):
-        tok = encoder(path)
-        for batch in grouped(batches):
+        tok = encoder(path, memo)
+        for batch in grouped(batches, size=block):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo, hi in blocks(texts):
+            for lo, hi in blocks(texts, size=block):
                 ids, at = tok.encode_column(texts[lo:hi])
                 raw, at, out = ids.astype("<u4", copy=False).tobytes(), at.tolist(), ([], [], [], [], [])
                 for doc_id, a, b in zip(doc_ids[lo:hi], at, at[1:], strict=False):
@@ -47,7 +50,7 @@ def cut_documents(docs: DataFrame, tokenizer: str | None = None, length: int = L
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["doc_id", "start", "length", "ids", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(pieces), PIECES)
 
 
 def pack_histogram(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[int]]]:
@@ -107,12 +110,12 @@ def place_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     return met.select(*pieces.columns, (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, keep_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, keep_ids: bool = True, **work) -> DataFrame:
     """Every piece with its place: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, on demand, ``ids``.
 
-    Texts are encoded once; the pieces are written to the shared folder and read from there.
+    ``work`` is that of ``cut_documents``. Texts are encoded once; the pieces are written to the shared folder and read from there.
     """
-    pieces = cut_documents(docs, tokenizer, length).withColumn("ids_crc32", F.crc32("ids")).withColumn("length", F.col("length").cast("int"))
+    pieces = cut_documents(docs, tokenizer, length, **work).withColumn("ids_crc32", F.crc32("ids")).withColumn("length", F.col("length").cast("int"))
     pieces = materialise(pieces if keep_ids else pieces.drop("ids"), "pieces")
     placed = place_pieces(pieces, length)
     columns = ["doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset"]

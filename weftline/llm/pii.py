@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.keys import join_keys
 from weftline.storage import materialise
 
 ROUNDS, SUPPORT, CONFIDENT = 2, 3, 0.6
@@ -159,7 +160,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by ``[KIND]``; rows, columns and column order stay."""
-    spans = find_pii(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "spans").distinct()
+    spans = materialise(find_pii(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "spans").distinct(), "pii-spans")
+    held = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first()["n"]
     names, text = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS)), docs["text"]
     # Overlapping spans: a later one only replaces what is left of it.
     step = lambda acc, x: F.struct(
@@ -167,7 +169,7 @@ def redact(docs: DataFrame) -> DataFrame:
         F.concat(acc["out"], F.when(x["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.get(names, x["kind"]))).otherwise(F.lit(""))).alias("out"),
     )
     masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    met = docs.join(spans, (F.xxhash64(text) == F.col("s_hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("s_id")), "left")
+    met = join_keys(docs, spans, "left", held)
     return met.select(*(F.coalesce(masked, text).alias("text") if c == "text" else docs[c] for c in docs.columns))
 
 

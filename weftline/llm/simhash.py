@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.tokens import bounded_batches
+from weftline.llm.tokens import bounded_batches, releasing
 from weftline.operators.components import connected_components
 from weftline.storage import materialise, partitions
 
@@ -57,16 +57,17 @@ def simhash(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every row."""
+    """``doc_id, text_hash, fp`` (the 64 bits as a signed long) of every row; text_hash is xxhash64 of the text."""
 
     bounded_batches(docs.sparkSession)
 
     def per_batch(batches):
         for batch in batches:
-            fp = np.array([simhash(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([simhash(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(per_batch, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(releasing(per_batch), "doc_id long, text_hash long, fp long")
 
 
 def _forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +161,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row of ``docs``."""
+    """``doc_id, fingerprint, component_id, text_hash`` of every row of ``docs``."""
     prints = materialise(fingerprints(docs), "fingerprints")
     least = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     parts = connected_components(links(least.select("fp"))).withColumnRenamed("node", "n_fp")
@@ -168,7 +169,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = met.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "r")
     named = materialise(met.join(roots, F.col("component") == F.col("r")).select(F.col("fp").alias("c_fp"), "component_id"), "components")
     out = prints.join(named, F.col("fp") == F.col("c_fp"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,10 +176,11 @@ class ChunkEncoder:
         return [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder per Python worker and file."""
+def encoder(path: str, limit: int = 250_000) -> ChunkEncoder:
+    """One encoder per Python worker and file; ``limit`` bounds its memo."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
+    _ENCODERS[path].limit = limit
     return _ENCODERS[path]
 
 
@@ -190,6 +191,16 @@ def bounded_batches(spark, rows: int = 1024) -> None:
         spark.conf.set(key, rows)
 
 
+def releasing(function):
+    """A function of Arrow batches that gives unused memory back when a partition is done, as idle workers stay alive."""
+
+    def run(batches):
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def grouped(batches, column: int = 1, size: int = 16_000_000):
     """Successive Arrow batches joined into ones of about ``size`` bytes of text: fewer, larger batches are cheaper here."""
     held, n = [], 0
