@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import dac, decontam, langid, mih, packing, pii, sharding, simhash, urlfilter
+from weftline.llm import dac, decontam, langid, lm, mih, packing, pii, sharding, simhash, urlfilter
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,7 @@ QUERIES = {
         langid.op3_language_id,
         sharding.op4_sharding,
         mih.op5_nearest,
+        lm.op6_lm_scoring,
         dac.op7_token_output,
         decontam.op8_decontamination,
         urlfilter.op9_url_filters,

@@ -1,9 +1,9 @@
 """Language-model scoring: a causal self-attention model over subword ids, trained in numpy.
 
 What the corpus gives grows with it: exact counts of all words of all training texts, and from them exact counts of all
-subword ids. The counts fix the base score, the ids that are predicted one by one, the distribution inside the classes
-that hold the other ids, and a unigram over frequent words. The attention model predicts the class of the next subword
-from the subwords before it. Its weights are fitted by Adam on a bounded sample of windows (``SAMPLE_DOCS`` texts, at most
+subword ids and of pairs of them inside words. The counts fix the base score, the ids that are predicted one by one, the
+distribution inside the classes that hold the other ids, a prior of the next class given the last subword, and a unigram
+over frequent words. The attention model corrects that prior from all subwords before. Its weights are fitted by Adam on a bounded sample of windows (``SAMPLE_DOCS`` texts, at most
 ``SAMPLE_WINDOWS`` windows of each), which is SGD's budget, not the corpus'.
 
 Whole texts are scored in windows of ``WINDOW`` positions that overlap by ``OVERLAP``; each position is scored once, in
@@ -29,15 +29,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.tokens import blocks, bounded_batches, default_path, encoder
+from weftline.llm.tokens import blocks, bounded_batches, default_path, encoder, releasing
 from weftline.storage import materialise
 
-WINDOW, OVERLAP, WIDTH, BATCH = 64, 12, 32, 48
-SINGLE, GROUPS = 184, 4  # ids predicted one by one, and classes of other ids on either side of the space
+WINDOW, OVERLAP, WIDTH, BATCH = 64, 8, 32, 48
+SINGLE, GROUPS = 216, 4  # ids predicted one by one, and classes of other ids on either side of the space
 INPUTS = 2048
-HEAD, HEAD_BYTES, UNIGRAM = 200_000, 64, 0.3
-SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, RATE = 3000, 6, 2, 0.003
-COUNT_MEMO = 400_000
+SMOOTH = 5.0  # counts that a distribution over fewer conditions is worth
+MOST = 60.0  # of scores and logits that need no shift before they are exponentiated
+HEAD, HEAD_BYTES, UNIGRAM = 200_000, 64, 0.15
+SAMPLE_DOCS, SAMPLE_WINDOWS, STEPS, PASSES, RATE = 3000, 8, 3000, 4, 0.005
+COUNT_MEMO, MEMO = 200_000, 150_000  # words that a worker counts, and encodings that it remembers, at a time
 
 
 # --- words ----------------------------------------------------------------------------------------------------------
@@ -89,14 +91,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([texts], pa.int64())], names=["word", "n"])
 
     rows = docs.filter(_training()).select(F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(per_batch, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(releasing(per_batch), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def subword_counts(counts: DataFrame, tokenizer: str) -> np.ndarray:
     """How often every subword id occurs in the training texts; one row an id reaches the driver."""
 
     def per_batch(batches):
-        tok, total = encoder(tokenizer), None
+        tok, total = encoder(tokenizer, MEMO), None
         for batch in batches:
             held, starts, sizes = tok.words([w.decode() for w in batch.column(0).to_pylist()])
             n = np.bincount(held, weights=np.repeat(batch.column(1).to_numpy(), sizes), minlength=len(tok.spaced))
@@ -112,9 +114,93 @@ def subword_counts(counts: DataFrame, tokenizer: str) -> np.ndarray:
     return out
 
 
+def pair_counts(counts: DataFrame, tokenizer: str, v: Vocabulary) -> np.ndarray:
+    """How often one input number follows another inside training words; 0 stands before a word and after it.
+
+    The table is inputs x inputs whatever the corpus; each reduce task sends its part as one row of packed numbers.
+    """
+    held_v = counts.sparkSession.sparkContext.broadcast(v)
+
+    def pairs(batches):
+        tok, given = encoder(tokenizer, MEMO), held_v.value.input
+        for batch in batches:
+            held, starts, sizes = tok.words([w.decode() for w in batch.column(0).to_pylist()])
+            key, n = np.unique(word_pairs(given[held], sizes, len(held)) @ np.array([held_v.value.inputs, 1]), return_inverse=True)
+            total = np.bincount(n.reshape(-1), weights=np.repeat(batch.column(1).to_numpy(), sizes + 1), minlength=len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total.astype(np.int64))], names=["key", "n"])
+
+    def packed(batches):
+        got = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(got, 1).astype("<i8").tobytes()], pa.binary())], names=["part"])
+
+    rows = counts.filter("word is not null").mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).mapInArrow(packed, "part binary")
+    out = np.zeros(v.inputs * v.inputs, np.int64)
+    for r in rows.toLocalIterator():
+        key, n = np.frombuffer(r["part"], "<i8").reshape(2, -1)
+        out[key] = n
+    return out.reshape(v.inputs, v.inputs)
+
+
+def word_pairs(given: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """Rows (before, after) for every step through words of ``sizes`` input numbers, from 0 to 0."""
+    words = len(sizes)
+    place = np.arange(n) + np.repeat(np.arange(words), sizes)  # each word has one step more than numbers
+    before, after = np.zeros(n + words, np.int64), np.zeros(n + words, np.int64)
+    after[place], before[place + 1] = given, given
+    first = np.cumsum(sizes + 1) - (sizes + 1)
+    before[first] = 0
+    return np.stack([before, after], 1)
+
+
 # --- the model ------------------------------------------------------------------------------------------------------
 
 
+@dataclass
+class Tables:
+    """What pair counts say: ``prior[input, class]``, and how ids share their class given the class before."""
+
+    prior: np.ndarray  # natural log
+    inside: np.ndarray  # [class before, input number], natural log, for numbers of one id
+    back: np.ndarray  # [class before, class]: what an id without a number multiplies its own share by
+    single: np.ndarray  # id -> whether its input number is its alone
+
+    @classmethod
+    def of(cls, v: Vocabulary, pairs: np.ndarray, counts: np.ndarray, ends: int) -> Tables:
+        # Class of an input number: an id's own, or the class that the number stands for.
+        kind = np.zeros(v.inputs, np.int64)
+        kind[1 : v.classes + 1] = np.arange(v.classes)
+        kind[v.input] = v.output
+        single = v.input > v.classes
+        to = np.zeros((v.inputs, v.classes))
+        np.add.at(to.T, kind[1:], pairs[:, 1:].T)
+        follow, stop, start = to.copy(), pairs[:, 0].astype(float), to[0]
+        follow[:, : v.inner] = 0
+        follow[0] = 0
+        # Inside words: shares of going on, smoothed by those of all words together.
+        every = follow.sum(0) + 0.5 * (np.arange(v.classes) >= v.inner)
+        goes = every.sum() / (every.sum() + stop[1:].sum() + 1)
+        weight = follow.sum(1) + stop + SMOOTH
+        inner = (follow + SMOOTH * goes * every / every.sum()) / weight[:, None]
+        # At a space: the first subwords of words, or the end.
+        first = np.where(np.arange(v.classes) < v.inner, start + 0.5, 0)
+        first[0] = ends + 0.5
+        first /= first.sum()
+        p = inner + ((stop + SMOOTH * (1 - goes)) / weight)[:, None] * first
+        p[0] = first * (1 - 1e-6) + 1e-6 * every / every.sum()
+        # Inside classes, given the class before (0: a space).
+        by = np.zeros((v.classes, v.inputs))
+        np.add.at(by, kind, np.where(np.arange(v.inputs)[:, None] > 0, pairs, 0))
+        by[0] = pairs[0]
+        own = np.zeros(v.inputs)
+        own[v.input[single]] = np.exp(v.inside[single])
+        by = np.where(own > 0, by, 0)
+        total = np.zeros((v.classes, v.classes))
+        np.add.at(total.T, kind, by.T)
+        inside = np.log((by + SMOOTH * own + 1e-30) / (total[:, kind] + SMOOTH))
+        return cls(np.log(p).astype(np.float32), inside, np.log(SMOOTH / (total + SMOOTH)), single)
+
+
 @dataclass
 class Vocabulary:
     """How ids are seen and predicted. Output class 0 is the end; classes from ``inner`` on go on with a word."""
@@ -159,10 +245,10 @@ class Vocabulary:
 def init(v: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
     rng, d = np.random.default_rng(seed), WIDTH
     w = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
-    return {"e": w(v.inputs, d) * np.float32(np.sqrt(v.inputs) * 0.3), "p": w(WINDOW, d), "qkv": w(d, 3 * d), "o": w(d, d), "u": w(d, 2 * d), "d": w(2 * d, d), "out": w(d, v.classes), "b": np.zeros(v.classes, np.float32)}
+    return {"e": w(v.inputs, d) * np.float32(np.sqrt(v.inputs) * 0.3), "p": w(WINDOW, d), "qkv": w(d, 3 * d), "o": w(d, d), "out": w(d, v.classes) * np.float32(0.1), "b": np.zeros(v.classes, np.float32)}
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
 def hidden(m: dict, x: np.ndarray, keep: bool = False):
@@ -173,69 +259,70 @@ def hidden(m: dict, x: np.ndarray, keep: bool = False):
     q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
     s = np.matmul(q, k.transpose(0, 2, 1))
     s *= np.float32(d**-0.5)
-    s += _MASK
-    s -= s.max(2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(2, keepdims=True)
-    a = np.matmul(s, v)
-    h1 = h0 + (a.reshape(-1, d) @ m["o"]).reshape(n, WINDOW, d)
-    u = np.maximum(h1.reshape(-1, d) @ m["u"], 0)
-    h2 = h1 + (u @ m["d"]).reshape(n, WINDOW, d)
-    return (h2, (h0, q, k, v, s, a, h1, u)) if keep else h2
-
-
-def gradients(m: dict, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
-    """Mean loss over weighted positions, and its gradients."""
+    # Without taking off a maximum first, which is done over only where that overflows.
+    with np.errstate(over="ignore"):
+        e = np.exp(s) if keep or s.max() > MOST else np.exp(s, out=s)
+    if e is not s:
+        e = np.exp(np.minimum(s - np.where(_MASK > 0, s, -np.inf).max(2, keepdims=True), 0))
+    s = e
+    s *= _MASK
+    total = s @ np.ones((WINDOW, 1), s.dtype)
+    if keep:
+        s /= total
+        a = np.matmul(s, v)
+    else:
+        a = np.matmul(s, v)
+        a /= total
+    h = h0 + (a.reshape(-1, d) @ m["o"]).reshape(n, WINDOW, d)
+    return (h, (h0, q, k, v, s, a)) if keep else h
+
+
+def gradients(m: dict, prior: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    """Mean loss over weighted positions, and its gradients; ``prior`` is added to the logits by input number."""
     n, d = x.shape[0], WIDTH
-    h2, (h0, q, k, v, s, a, h1, u) = hidden(m, x, True)
-    flat = h2.reshape(-1, d)
-    logits = flat @ m["out"] + m["b"]
-    logits -= logits.max(1, keepdims=True)
-    p = np.exp(logits)
+    h, (h0, q, k, v, s, a) = hidden(m, x, True)
+    flat = h.reshape(-1, d)
+    p = flat @ m["out"] + m["b"] + prior[x.reshape(-1)]
+    p = np.exp(p - p.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     rows, y, w = np.arange(len(flat)), y.reshape(-1), (weight / max(weight.sum(), 1)).reshape(-1).astype(np.float32)
     loss = float(-(np.log(p[rows, y] + 1e-30) * w).sum())
     p[rows, y] -= 1
     p *= w[:, None]
     g = {"out": flat.T @ p, "b": p.sum(0)}
-    dh2 = p @ m["out"].T
-    g["d"] = u.T @ dh2
-    du = (dh2 @ m["d"].T) * (u > 0)
-    g["u"] = h1.reshape(-1, d).T @ du
-    dh1 = dh2 + du @ m["u"].T
-    g["o"] = a.reshape(-1, d).T @ dh1
-    da = (dh1 @ m["o"].T).reshape(n, WINDOW, d)
+    dh = p @ m["out"].T
+    g["o"] = a.reshape(-1, d).T @ dh
+    da = (dh @ m["o"].T).reshape(n, WINDOW, d)
     ds = np.matmul(da, v.transpose(0, 2, 1))
     ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.float32(d**-0.5)
     dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), da)], 2).reshape(-1, 3 * d)
     g["qkv"] = h0.reshape(-1, d).T @ dqkv
-    dh0 = dh1 + dqkv @ m["qkv"].T
+    dh0 = dh + dqkv @ m["qkv"].T
     g["p"] = dh0.reshape(n, WINDOW, d).sum(0)
     g["e"] = np.zeros_like(m["e"])
     np.add.at(g["e"], x.reshape(-1), dh0)
     return loss, g
 
 
-def fit(v: Vocabulary, windows: np.ndarray, class_counts: np.ndarray, epochs: int = EPOCHS, seed: int = 9) -> dict:
-    """Adam over windows of ids (n x WINDOW + 1; the first is what stands before, -1 the beginning, -2 the end, -3 nothing)."""
+def fit(v: Vocabulary, prior: np.ndarray, windows: np.ndarray, steps: int | None = None, seed: int = 9) -> dict:
+    """Adam over windows of ids (n x WINDOW + 1): PASSES times over them, at most STEPS steps.
+
+    The first id is what stands before the window: -1 for the beginning; -2 is the end, -3 nothing.
+    """
     m, rng = init(v), np.random.default_rng(seed)
-    m["b"] = np.log((class_counts + 0.5) / (class_counts + 0.5).sum()).astype(np.float32)
+    steps = min(STEPS, PASSES * len(windows) // 32) if steps is None else steps
     first, second = {k: np.zeros_like(x) for k, x in m.items()}, {k: np.zeros_like(x) for k, x in m.items()}
     given = np.where(windows[:, :-1] >= 0, v.input[np.maximum(windows[:, :-1], 0)], 0)
     asked = np.where(windows[:, 1:] >= 0, v.output[np.maximum(windows[:, 1:], 0)], 0)
     weight = (windows[:, 1:] > -3).astype(np.float32)
-    t, steps = 0, epochs * -(-len(windows) // 32)
-    for _ in range(epochs):
-        order = rng.permutation(len(windows))
-        for at in range(0, len(order), 32):
-            rows = order[at : at + 32]
-            _, g = gradients(m, given[rows], asked[rows], weight[rows])
-            t += 1
-            rate = RATE * min(1, t / 20) * (1 - 0.9 * t / steps)
-            for k, x in g.items():
-                first[k] += (x - first[k]) * np.float32(0.1)
-                second[k] += (x * x - second[k]) * np.float32(0.01)
-                m[k] -= np.float32(rate) * (first[k] / np.float32(1 - 0.9**t)) / (np.sqrt(second[k] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+    for t in range(1, steps + 1 if len(windows) else 1):
+        rows = rng.integers(0, len(windows), 32)
+        _, g = gradients(m, prior, given[rows], asked[rows], weight[rows])
+        rate = RATE * min(1, t / 50) * (1 - 0.98 * t / steps)
+        for k, x in g.items():
+            first[k] += (x - first[k]) * np.float32(0.1)
+            second[k] += (x * x - second[k]) * np.float32(0.01)
+            m[k] -= np.float32(rate / (1 - 0.9**t)) * first[k] / (np.sqrt(second[k] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
     return m
 
 
@@ -245,6 +332,7 @@ class Scorer:
 
     tokenizer: str
     vocabulary: Vocabulary
+    tables: Tables
     weights: dict
     head: dict[bytes, int]
     ends: int  # training texts, each of which has one end
@@ -256,13 +344,16 @@ class Scorer:
 
         ``ids`` are the subwords of all texts, ``at`` their offsets; a text's end stands after its subwords.
         """
-        v, m = self.vocabulary, self.weights
+        v, m, t = self.vocabulary, self.weights, self.tables
         lengths = np.diff(at) + 1
         start = np.concatenate([[0], np.cumsum(lengths)])
         given, asked, inside = np.zeros(start[-1], np.int32), np.zeros(start[-1], np.int32), np.zeros(start[-1])
         where = np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), np.diff(at))
-        asked[where], inside[where] = v.output[ids], v.inside[ids]
-        given[where + 1] = v.input[ids]
+        asked[where], given[where + 1] = v.output[ids], v.input[ids]
+        # A text's own beginning is 0, like the space before its first word.
+        seen = np.concatenate([[0], v.output[ids]])[: len(ids)] if len(ids) else ids
+        seen = np.where(v.output[ids] < v.inner, 0, seen)
+        inside[where] = np.where(t.single[ids], t.inside[seen, v.input[ids]], v.inside[ids] + t.back[seen, v.output[ids]])
         step = WINDOW - OVERLAP
         n = 1 + -(-np.maximum(lengths - WINDOW, 0) // step)
         text = np.repeat(np.arange(len(n)), n)
@@ -270,7 +361,8 @@ class Scorer:
         begin, end = start[text] + nth * step, start[text + 1]
         lp, free = np.zeros(start[-1]), np.zeros(start[-1])
         within = np.arange(WINDOW)
-        out, bias = m["out"], m["b"]
+        out, prior = m["out"], t.prior + m["b"]
+        sides = np.stack([np.ones(v.classes), np.arange(v.classes) < v.inner], 1).astype(np.float32)
         for lo in range(0, len(text), BATCH):
             pos = begin[lo : lo + BATCH, None] + within
             ok = pos < end[lo : lo + BATCH, None]
@@ -278,19 +370,20 @@ class Scorer:
             ok &= (within >= OVERLAP) | (nth[lo : lo + BATCH, None] == 0)
             p = pos[ok]
             z = h[ok] @ out
-            z += bias
-            z -= z.max(1, keepdims=True)
+            z += prior[given[p]]
+            if z.max() > MOST:
+                z -= z.max(1, keepdims=True)
             picked = z[np.arange(len(p)), asked[p]]
             np.exp(z, out=z)
-            total = z.sum(1)
+            total, before = (z @ sides).T
             lp[p] = picked - np.log(total)
-            free[p] = np.log(np.maximum(z[:, : v.inner].sum(1), 1e-30) / total)
+            free[p] = np.log(np.maximum(before, 1e-30) / total)
         return lp + inside, free
 
     def texts(self, texts: pa.Array) -> dict[str, list]:
         """Scores of a string column, and what its words outside the head still need for the base score."""
         index, words, at = words_of(texts)
-        held, starts, sizes = encoder(self.tokenizer).words([w.decode() for w in words])
+        held, starts, sizes = encoder(self.tokenizer, MEMO).words([w.decode() for w in words])
         size = sizes[index]
         stop = np.cumsum(size)
         ids = held[np.repeat(starts[index] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)] if len(index) else held[:0]
@@ -365,10 +458,8 @@ def build(docs: DataFrame, tokenizer: str | None = None) -> tuple[Scorer, DataFr
     head = {bytes(r["word"]): r["n"] for r in head.toLocalIterator()}
     ids = subword_counts(counts, path)
     v = Vocabulary.of(ids, encoder(path).spaced)
-    class_counts = np.bincount(v.output, weights=ids, minlength=v.classes)
-    class_counts[0] = sums["ends"]
-    windows = sample_windows(docs, path)
-    return Scorer(path, v, fit(v, windows, class_counts), head, sums["ends"], sums["n"], sums["v"]), counts
+    tables = Tables.of(v, pair_counts(counts, path, v), ids, sums["ends"])
+    return Scorer(path, v, tables, fit(v, tables.prior, sample_windows(docs, path)), head, sums["ends"], sums["n"], sums["v"]), counts
 
 
 def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -386,7 +477,7 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *got.values()], names=["row", "doc_id", *got])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = materialise(rows.mapInArrow(per_batch, f"row long, doc_id long, {_SCORED}"), "scored")
+    scored = materialise(rows.mapInArrow(releasing(per_batch), f"row long, doc_id long, {_SCORED}"), "scored")
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times")
     known = counts.filter("word is not null").select(F.col("word").alias("w"), "n")
     met = tail.join(known, F.col("word") == F.col("w"), "left").groupBy("row").agg(
