@@ -53,7 +53,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 1024 ids."""
-    return packing.pack_documents(docs, keep_ids=False, memo=60_000, block=4_000_000)
+    return packing.pack_documents(docs, keep_ids=False, memo=30_000, block=2_000_000)
 
 
 STAGES = [
