@@ -79,7 +79,7 @@ def test_classes_are_distributions(scorer):
     total = np.bincount(v.output, weights=np.exp(v.inside), minlength=v.classes)
     assert total[1:] == pytest.approx(1) and total[0] == 0
     t = scorer.tables
-    assert np.exp(t.prior).sum(1) == pytest.approx(1, abs=1e-3)
+    assert np.exp(t.prior).sum(1) == pytest.approx(1, abs=1e-3) and np.exp(t.first).sum() == pytest.approx(1, abs=1e-3)
     ids = np.arange(len(v.output))
     for c in (0, 1, v.inner, v.classes - 1):
         share = np.exp(np.where(t.single, t.inside[c, v.input], v.inside + t.back[c, v.output]))
@@ -93,7 +93,8 @@ def test_positions_are_causal_and_scored_once(scorer):
     v, m, t, rng = scorer.vocabulary, scorer.weights, scorer.tables, np.random.default_rng(1)
     texts = [rng.integers(0, 50257, n) for n in (0, 1, lm.WINDOW - 1, lm.WINDOW, lm.WINDOW + 1, 300)]
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    lp, free = scorer.positions(np.concatenate(texts), at)
+    lp, space, on = scorer.positions(np.concatenate(texts), at)
+    assert np.exp(space) + np.exp(on) == pytest.approx(1)
     end = 0
     for ids in texts:
         given = np.concatenate([[0], v.input[ids]])
@@ -104,19 +105,21 @@ def test_positions_are_causal_and_scored_once(scorer):
             x = np.zeros(lm.WINDOW, int)
             part = given[start : start + lm.WINDOW]
             x[: len(part)] = part
-            z = lm.hidden(m, x[None])[0] @ m["out"] + m["b"] + t.prior[x]
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
+            h = lm.hidden(m, x[None])[0]
+            z = h @ m["out"] + m["b"] + np.concatenate([np.tile(t.first, (lm.WINDOW, 1)), t.prior[x]], 1)
+            go = (h @ m["s"])[:, 0] + t.space[x]
             for i in range(done - start, len(part)):
-                want.append(np.log(p[i, asked[start + i]]) + share[start + i])
+                c = asked[start + i]
+                mine = z[i, : v.inner] if c < v.inner else z[i, v.inner :]
+                want.append((z[i, c] - np.log(np.exp(mine).sum()) + share[start + i], -np.log1p(np.exp(-go[i]))))
             done, start = start + len(part), start + lm.WINDOW - lm.OVERLAP
-        got = lp[end : end + len(given)]
-        assert got == pytest.approx(np.array(want), abs=1e-3)
+        assert lp[end : end + len(given)] == pytest.approx(np.array([x for x, _ in want]), abs=1e-3)
+        assert space[end : end + len(given)] == pytest.approx(np.array([x for _, x in want]), abs=1e-3)
         end += len(given)
     assert end == len(lp)
     other = np.concatenate(texts)
     other[-1] = (other[-1] + 7) % 50257
-    changed, _ = scorer.positions(other, at)
+    changed, _, _ = scorer.positions(other, at)
     assert changed[:-2] == pytest.approx(lp[:-2], abs=1e-4)
 
 
@@ -125,13 +128,13 @@ def test_gradients(scorer):
     m = {k: x.astype(np.float64) for k, x in lm.init(v).items()}
     x, y = rng.integers(0, v.inputs, (2, lm.WINDOW)), rng.integers(0, v.classes, (2, lm.WINDOW))
     w = np.ones((2, lm.WINDOW))
-    _, g = lm.gradients(m, scorer.tables.prior, x, y, w)
+    _, g = lm.gradients(m, v, scorer.tables, x, y, w)
     for k in m:
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         old, step, losses = m[k][i], 1e-4, []
         for s in (step, -step):
             m[k][i] = old + s
-            losses.append(lm.gradients(m, scorer.tables.prior, x, y, w)[0])
+            losses.append(lm.gradients(m, v, scorer.tables, x, y, w)[0])
         m[k][i] = old
         assert (losses[0] - losses[1]) / (2 * step) == pytest.approx(float(g[k][i]), rel=2e-2, abs=1e-5)
 

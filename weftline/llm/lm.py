@@ -29,16 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.tokens import blocks, bounded_batches, default_path, encoder, releasing
+from weftline.llm.tokens import blocks, bounded_batches, default_path, encoder, grouped, releasing
 from weftline.storage import materialise
 
-WINDOW, OVERLAP, WIDTH, BATCH = 64, 8, 32, 48
+WINDOW, OVERLAP, WIDTH, BATCH = 32, 4, 16, 192
 SINGLE, GROUPS = 216, 4  # ids predicted one by one, and classes of other ids on either side of the space
 INPUTS = 2048
 SMOOTH = 5.0  # counts that a distribution over fewer conditions is worth
 MOST = 60.0  # of scores and logits that need no shift before they are exponentiated
-HEAD, HEAD_BYTES, UNIGRAM = 200_000, 64, 0.15
-SAMPLE_DOCS, SAMPLE_WINDOWS, STEPS, PASSES, RATE = 3000, 8, 3000, 4, 0.005
+HEAD, HEAD_BYTES, UNIGRAM = 200_000, 64, 0.1
+SAMPLE_DOCS, SAMPLE_WINDOWS, STEPS, PASSES, RATE = 3000, 16, 3000, 8, 0.01
 COUNT_MEMO, MEMO = 200_000, 150_000  # words that a worker counts, and encodings that it remembers, at a time
 
 
@@ -94,47 +94,49 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(releasing(per_batch), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def subword_counts(counts: DataFrame, tokenizer: str) -> np.ndarray:
-    """How often every subword id occurs in the training texts; one row an id reaches the driver."""
+def subword_pairs(counts: DataFrame, tokenizer: str) -> DataFrame:
+    """``before, after, n``: how often subword ids follow one another inside training words; -1 is a word's edge."""
 
-    def per_batch(batches):
-        tok, total = encoder(tokenizer, MEMO), None
+    def pairs(batches):
+        tok = encoder(tokenizer, MEMO)
         for batch in batches:
             held, starts, sizes = tok.words([w.decode() for w in batch.column(0).to_pylist()])
-            n = np.bincount(held, weights=np.repeat(batch.column(1).to_numpy(), sizes), minlength=len(tok.spaced))
-            total = n if total is None else total + n
-        if total is not None:
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64))], names=["id", "n"])
-
-    rows = counts.filter("word is not null").mapInArrow(per_batch, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(encoder(tokenizer).spaced), np.int64)
-    for r in rows:
-        out[r["id"]] = r["n"]
+            step = word_pairs(held.astype(np.int64) + 1, sizes, len(held))
+            key, n = np.unique(step[:, 0] << 32 | step[:, 1], return_inverse=True)
+            total = np.bincount(n.reshape(-1), weights=np.repeat(batch.column(1).to_numpy(), sizes + 1), minlength=len(key))
+            yield pa.RecordBatch.from_arrays([pa.array((key >> 32) - 1), pa.array((key & 0xFFFFFFFF) - 1), pa.array(total.astype(np.int64))], names=["before", "after", "n"])
+
+    rows = counts.filter("word is not null").mapInArrow(releasing(pairs), "before long, after long, n long")
+    return rows.groupBy("before", "after").agg(F.sum("n").alias("n"))
+
+
+def subword_counts(pairs: DataFrame, ids: int) -> np.ndarray:
+    """How often every subword id occurs in the training texts; one row an id reaches the driver."""
+    out = np.zeros(ids, np.int64)
+    for r in pairs.filter("after >= 0").groupBy("after").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["after"]] = r["n"]
     return out
 
 
-def pair_counts(counts: DataFrame, tokenizer: str, v: Vocabulary) -> np.ndarray:
-    """How often one input number follows another inside training words; 0 stands before a word and after it.
+def pair_counts(pairs: DataFrame, v: Vocabulary) -> np.ndarray:
+    """How often one input number follows another; 0 stands before a word and after it.
 
     The table is inputs x inputs whatever the corpus; each reduce task sends its part as one row of packed numbers.
     """
-    held_v = counts.sparkSession.sparkContext.broadcast(v)
+    held = pairs.sparkSession.sparkContext.broadcast(v)
 
-    def pairs(batches):
-        tok, given = encoder(tokenizer, MEMO), held_v.value.input
+    def numbered(batches):
+        given, inputs = np.append(held.value.input, 0), held.value.inputs  # id -1 is the last entry
         for batch in batches:
-            held, starts, sizes = tok.words([w.decode() for w in batch.column(0).to_pylist()])
-            key, n = np.unique(word_pairs(given[held], sizes, len(held)) @ np.array([held_v.value.inputs, 1]), return_inverse=True)
-            total = np.bincount(n.reshape(-1), weights=np.repeat(batch.column(1).to_numpy(), sizes + 1), minlength=len(key))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total.astype(np.int64))], names=["key", "n"])
+            key = given[batch.column(0).to_numpy()] * inputs + given[batch.column(1).to_numpy()]
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), batch.column(2)], names=["key", "n"])
 
     def packed(batches):
         got = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
         if got:
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(got, 1).astype("<i8").tobytes()], pa.binary())], names=["part"])
 
-    rows = counts.filter("word is not null").mapInArrow(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).mapInArrow(packed, "part binary")
+    rows = pairs.mapInArrow(numbered, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).mapInArrow(packed, "part binary")
     out = np.zeros(v.inputs * v.inputs, np.int64)
     for r in rows.toLocalIterator():
         key, n = np.frombuffer(r["part"], "<i8").reshape(2, -1)
@@ -158,9 +160,11 @@ def word_pairs(given: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Tables:
-    """What pair counts say: ``prior[input, class]``, and how ids share their class given the class before."""
+    """What pair counts say, in natural logs; classes are predicted within their side, at a space or inside a word."""
 
-    prior: np.ndarray  # natural log
+    space: np.ndarray  # log odds of a space after an input number
+    first: np.ndarray  # classes at a space
+    prior: np.ndarray  # [input, class inside a word]
     inside: np.ndarray  # [class before, input number], natural log, for numbers of one id
     back: np.ndarray  # [class before, class]: what an id without a number multiplies its own share by
     single: np.ndarray  # id -> whether its input number is its alone
@@ -180,14 +184,13 @@ class Tables:
         # Inside words: shares of going on, smoothed by those of all words together.
         every = follow.sum(0) + 0.5 * (np.arange(v.classes) >= v.inner)
         goes = every.sum() / (every.sum() + stop[1:].sum() + 1)
-        weight = follow.sum(1) + stop + SMOOTH
-        inner = (follow + SMOOTH * goes * every / every.sum()) / weight[:, None]
+        on = follow.sum(1) + SMOOTH * goes
+        space = np.log((stop + SMOOTH * (1 - goes)) / on)
+        prior = np.log((follow + SMOOTH * goes * every / every.sum())[:, v.inner :] / on[:, None])
         # At a space: the first subwords of words, or the end.
-        first = np.where(np.arange(v.classes) < v.inner, start + 0.5, 0)
+        first = (start + 0.5)[: v.inner]
         first[0] = ends + 0.5
-        first /= first.sum()
-        p = inner + ((stop + SMOOTH * (1 - goes)) / weight)[:, None] * first
-        p[0] = first * (1 - 1e-6) + 1e-6 * every / every.sum()
+        first = np.log(first / first.sum())
         # Inside classes, given the class before (0: a space).
         by = np.zeros((v.classes, v.inputs))
         np.add.at(by, kind, np.where(np.arange(v.inputs)[:, None] > 0, pairs, 0))
@@ -198,7 +201,7 @@ class Tables:
         total = np.zeros((v.classes, v.classes))
         np.add.at(total.T, kind, by.T)
         inside = np.log((by + SMOOTH * own + 1e-30) / (total[:, kind] + SMOOTH))
-        return cls(np.log(p).astype(np.float32), inside, np.log(SMOOTH / (total + SMOOTH)), single)
+        return cls(space.astype(np.float32), first.astype(np.float32), prior.astype(np.float32), inside, np.log(SMOOTH / (total + SMOOTH)), single)
 
 
 @dataclass
@@ -245,7 +248,7 @@ class Vocabulary:
 def init(v: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
     rng, d = np.random.default_rng(seed), WIDTH
     w = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
-    return {"e": w(v.inputs, d) * np.float32(np.sqrt(v.inputs) * 0.3), "p": w(WINDOW, d), "qkv": w(d, 3 * d), "o": w(d, d), "out": w(d, v.classes) * np.float32(0.1), "b": np.zeros(v.classes, np.float32)}
+    return {"e": w(v.inputs, d) * np.float32(np.sqrt(v.inputs) * 0.3), "p": w(WINDOW, d), "qkv": w(d, 3 * d), "o": w(d, d), "out": w(d, v.classes) * np.float32(0.1), "b": np.zeros(v.classes, np.float32), "s": np.zeros((d, 1), np.float32)}
 
 
 _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
@@ -277,23 +280,28 @@ def hidden(m: dict, x: np.ndarray, keep: bool = False):
     return (h, (h0, q, k, v, s, a)) if keep else h
 
 
-def gradients(m: dict, prior: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
-    """Mean loss over weighted positions, and its gradients; ``prior`` is added to the logits by input number."""
+def gradients(m: dict, v: Vocabulary, t: Tables, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    """Mean loss over weighted positions, and its gradients: the side of every class ``y``, and the class within it."""
     n, d = x.shape[0], WIDTH
-    h, (h0, q, k, v, s, a) = hidden(m, x, True)
-    flat = h.reshape(-1, d)
-    p = flat @ m["out"] + m["b"] + prior[x.reshape(-1)]
-    p = np.exp(p - p.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    rows, y, w = np.arange(len(flat)), y.reshape(-1), (weight / max(weight.sum(), 1)).reshape(-1).astype(np.float32)
-    loss = float(-(np.log(p[rows, y] + 1e-30) * w).sum())
+    h, (h0, q, k, vv, s, a) = hidden(m, x, True)
+    flat, x1, y = h.reshape(-1, d), x.reshape(-1), y.reshape(-1)
+    rows, w = np.arange(len(flat)), (weight / max(weight.sum(), 1)).reshape(-1).astype(np.float32)
+    at_space = y < v.inner
+    p = flat @ m["out"] + m["b"]
+    p[:, : v.inner] += t.first
+    p[:, v.inner :] += t.prior[x1]
+    p = np.exp(p - p.max(1, keepdims=True)) * ((np.arange(v.classes) < v.inner)[None, :] == at_space[:, None])
+    p /= p.sum(1, keepdims=True) + 1e-30
+    side = 1 / (1 + np.exp(-np.clip((flat @ m["s"])[:, 0] + t.space[x1], -30, 30)))
+    loss = float(-((np.log(p[rows, y] + 1e-30) + np.log(np.where(at_space, side, 1 - side) + 1e-30)) * w).sum())
     p[rows, y] -= 1
     p *= w[:, None]
-    g = {"out": flat.T @ p, "b": p.sum(0)}
-    dh = p @ m["out"].T
+    ds = ((side - at_space) * w)[:, None].astype(p.dtype)
+    g = {"out": flat.T @ p, "b": p.sum(0), "s": flat.T @ ds}
+    dh = p @ m["out"].T + ds @ m["s"].T
     g["o"] = a.reshape(-1, d).T @ dh
     da = (dh @ m["o"].T).reshape(n, WINDOW, d)
-    ds = np.matmul(da, v.transpose(0, 2, 1))
+    ds = np.matmul(da, vv.transpose(0, 2, 1))
     ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.float32(d**-0.5)
     dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), da)], 2).reshape(-1, 3 * d)
     g["qkv"] = h0.reshape(-1, d).T @ dqkv
@@ -304,25 +312,25 @@ def gradients(m: dict, prior: np.ndarray, x: np.ndarray, y: np.ndarray, weight:
     return loss, g
 
 
-def fit(v: Vocabulary, prior: np.ndarray, windows: np.ndarray, steps: int | None = None, seed: int = 9) -> dict:
+def fit(v: Vocabulary, t: Tables, windows: np.ndarray, steps: int | None = None, seed: int = 9) -> dict:
     """Adam over windows of ids (n x WINDOW + 1): PASSES times over them, at most STEPS steps.
 
     The first id is what stands before the window: -1 for the beginning; -2 is the end, -3 nothing.
     """
     m, rng = init(v), np.random.default_rng(seed)
-    steps = min(STEPS, PASSES * len(windows) // 32) if steps is None else steps
+    steps = min(STEPS, PASSES * len(windows) // 64) if steps is None else steps
     first, second = {k: np.zeros_like(x) for k, x in m.items()}, {k: np.zeros_like(x) for k, x in m.items()}
     given = np.where(windows[:, :-1] >= 0, v.input[np.maximum(windows[:, :-1], 0)], 0)
     asked = np.where(windows[:, 1:] >= 0, v.output[np.maximum(windows[:, 1:], 0)], 0)
     weight = (windows[:, 1:] > -3).astype(np.float32)
-    for t in range(1, steps + 1 if len(windows) else 1):
-        rows = rng.integers(0, len(windows), 32)
-        _, g = gradients(m, prior, given[rows], asked[rows], weight[rows])
-        rate = RATE * min(1, t / 50) * (1 - 0.98 * t / steps)
+    for i in range(1, steps + 1 if len(windows) else 1):
+        rows = rng.integers(0, len(windows), 64)
+        _, g = gradients(m, v, t, given[rows], asked[rows], weight[rows])
+        rate = RATE * min(1, i / 50) * (1 - 0.98 * i / steps)
         for k, x in g.items():
             first[k] += (x - first[k]) * np.float32(0.1)
             second[k] += (x * x - second[k]) * np.float32(0.01)
-            m[k] -= np.float32(rate / (1 - 0.9**t)) * first[k] / (np.sqrt(second[k] / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+            m[k] -= np.float32(rate / (1 - 0.9**i)) * first[k] / (np.sqrt(second[k] / np.float32(1 - 0.99**i)) + np.float32(1e-8))
     return m
 
 
@@ -339,8 +347,8 @@ class Scorer:
     total: int  # N
     distinct: int  # V
 
-    def positions(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability of every subword and end, log probability that no word goes on there), natural.
+    def positions(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural logs at every position: of what stands there within its side, of a space, and of going on with a word.
 
         ``ids`` are the subwords of all texts, ``at`` their offsets; a text's end stands after its subwords.
         """
@@ -349,36 +357,44 @@ class Scorer:
         start = np.concatenate([[0], np.cumsum(lengths)])
         given, asked, inside = np.zeros(start[-1], np.int32), np.zeros(start[-1], np.int32), np.zeros(start[-1])
         where = np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), np.diff(at))
-        asked[where], given[where + 1] = v.output[ids], v.input[ids]
+        number, kind = v.input[ids], v.output[ids]
+        asked[where], given[where + 1] = kind, number
         # A text's own beginning is 0, like the space before its first word.
-        seen = np.concatenate([[0], v.output[ids]])[: len(ids)] if len(ids) else ids
-        seen = np.where(v.output[ids] < v.inner, 0, seen)
-        inside[where] = np.where(t.single[ids], t.inside[seen, v.input[ids]], v.inside[ids] + t.back[seen, v.output[ids]])
+        seen = np.concatenate([[0], kind])[: len(ids)]
+        seen[kind < v.inner] = 0
+        seen[at[:-1][np.diff(at) > 0]] = 0
+        inside[where] = np.where(t.single[ids], t.inside[seen, number], v.inside[ids] + t.back[seen, kind])
         step = WINDOW - OVERLAP
         n = 1 + -(-np.maximum(lengths - WINDOW, 0) // step)
         text = np.repeat(np.arange(len(n)), n)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
         begin, end = start[text] + nth * step, start[text + 1]
-        lp, free = np.zeros(start[-1]), np.zeros(start[-1])
+        lp, side = np.zeros(start[-1]), np.zeros(start[-1])
         within = np.arange(WINDOW)
-        out, prior = m["out"], t.prior + m["b"]
-        sides = np.stack([np.ones(v.classes), np.arange(v.classes) < v.inner], 1).astype(np.float32)
+        first, inner = m["b"][: v.inner] + t.first, t.prior + m["b"][v.inner :]
+        out = np.ascontiguousarray(m["out"][:, : v.inner]), np.ascontiguousarray(m["out"][:, v.inner :])
+        ones = [np.ones((o.shape[1], 1), np.float32) for o in out]
         for lo in range(0, len(text), BATCH):
             pos = begin[lo : lo + BATCH, None] + within
             ok = pos < end[lo : lo + BATCH, None]
-            h = hidden(m, given[np.where(ok, pos, 0)])
+            h = hidden(m, given[np.where(ok, pos, 0)]).reshape(-1, WIDTH)
             ok &= (within >= OVERLAP) | (nth[lo : lo + BATCH, None] == 0)
-            p = pos[ok]
-            z = h[ok] @ out
-            z += prior[given[p]]
-            if z.max() > MOST:
-                z -= z.max(1, keepdims=True)
-            picked = z[np.arange(len(p)), asked[p]]
-            np.exp(z, out=z)
-            total, before = (z @ sides).T
-            lp[p] = picked - np.log(total)
-            free[p] = np.log(np.maximum(before, 1e-30) / total)
-        return lp + inside, free
+            go = (h @ m["s"])[:, 0]
+            pos, ok = pos.reshape(-1), ok.reshape(-1)
+            stands = asked[np.where(ok, pos, 0)] < v.inner
+            for which, o, one in ((ok & stands, out[0], ones[0]), (ok & ~stands, out[1], ones[1])):
+                rows = np.flatnonzero(which)
+                q = pos[rows]
+                before = given[q]
+                side[q] = go[rows] + t.space[before]
+                z = h[rows] @ o
+                z += first if o is out[0] else inner[before]
+                if len(z) and z.max() > MOST:
+                    z -= z.max(1, keepdims=True)
+                picked = z[np.arange(len(q)), asked[q] - (0 if o is out[0] else v.inner)]
+                np.exp(z, out=z)
+                lp[q] = picked - np.log((z @ one)[:, 0])
+        return lp + inside, -np.logaddexp(0, -side), -np.logaddexp(0, side)
 
     def texts(self, texts: pa.Array) -> dict[str, list]:
         """Scores of a string column, and what its words outside the head still need for the base score."""
@@ -388,15 +404,14 @@ class Scorer:
         stop = np.cumsum(size)
         ids = held[np.repeat(starts[index] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)] if len(index) else held[:0]
         word_at = np.concatenate([[0], stop])
-        lp, free = self.positions(ids.astype(np.int64), word_at[at])
+        lp, space, on = self.positions(ids.astype(np.int64), word_at[at])
         rows = len(texts)
         row = np.repeat(np.arange(rows), np.diff(at))
         # Positions of a word's first subword and of what follows its last: every text before has one end.
         a, b = word_at[:-1] + row, word_at[1:] + row
-        run = np.concatenate([[0.0], np.cumsum(lp)])
-        model = run[b] - run[a] - free[a] + free[b]
-        last = word_at[at[1:]] + np.arange(rows)
-        ending = lp[last] - free[last]
+        run = np.concatenate([[0.0], np.cumsum(lp + on)])
+        model = run[b] - run[a] - on[a] + space[b]
+        ending = lp[word_at[at[1:]] + np.arange(rows)]
 
         known = np.array([self.head.get(w, 0) for w in words], np.int64)
         mass = sum(self.head.values()) + self.ends if not hasattr(self, "_mass") else self._mass
@@ -454,12 +469,26 @@ def build(docs: DataFrame, tokenizer: str | None = None) -> tuple[Scorer, DataFr
     path = tokenizer or default_path()
     counts = materialise(word_counts(docs), "word-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("ends")).first()
-    head = counts.filter((F.col("word").isNotNull()) & (F.octet_length("word") <= HEAD_BYTES)).orderBy(F.desc("n"), "word").limit(HEAD)
-    head = {bytes(r["word"]): r["n"] for r in head.toLocalIterator()}
-    ids = subword_counts(counts, path)
-    v = Vocabulary.of(ids, encoder(path).spaced)
-    tables = Tables.of(v, pair_counts(counts, path, v), ids, sums["ends"])
-    return Scorer(path, v, tables, fit(v, tables.prior, sample_windows(docs, path)), head, sums["ends"], sums["n"], sums["v"]), counts
+    head = {bytes(r["word"]): r["n"] for r in head_words(counts).toLocalIterator()}
+    pairs = materialise(subword_pairs(counts, path), "subword-pairs")
+    spaced = encoder(path).spaced
+    ids = subword_counts(pairs, len(spaced))
+    v = Vocabulary.of(ids, spaced)
+    tables = Tables.of(v, pair_counts(pairs, v), ids, sums["ends"])
+    return Scorer(path, v, tables, fit(v, tables, sample_windows(docs, path)), head, sums["ends"], sums["n"], sums["v"]), counts
+
+
+def head_words(counts: DataFrame) -> DataFrame:
+    """At most HEAD of the most frequent words, cut at a count that a histogram of counts gives: nothing is sorted."""
+    words = counts.filter(F.col("word").isNotNull() & (F.octet_length("word") <= HEAD_BYTES))
+    often = F.floor(F.log2("n") * 64).cast("int")
+    least, held = None, 0
+    for r in sorted(words.groupBy(often.alias("b")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += r["n"]
+        if held > HEAD:
+            break
+        least = r["b"]
+    return words.filter(often >= least) if least is not None else words.limit(0)
 
 
 def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -470,8 +499,8 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     held = spark.sparkContext.broadcast(scorer)
 
     def per_batch(batches):
-        for batch in batches:
-            for lo, hi in blocks(batch.column(2), 512, 2_000_000):
+        for batch in grouped(batches, 2, 4_000_000):
+            for lo, hi in blocks(batch.column(2), 4096, 4_000_000):
                 part = batch.slice(lo, hi - lo)
                 got = held.value.texts(part.column(2))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *got.values()], names=["row", "doc_id", *got])
