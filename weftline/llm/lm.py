@@ -33,13 +33,13 @@ from weftline.llm.tokens import blocks, bounded_batches, default_path, encoder,
 from weftline.storage import materialise
 
 WINDOW, OVERLAP, WIDTH, BATCH = 32, 4, 16, 192
-SINGLE, GROUPS = 216, 4  # ids predicted one by one, and classes of other ids on either side of the space
+SINGLE, GROUPS = 184, 4  # ids predicted one by one, and classes of other ids on either side of the space
 INPUTS = 2048
 SMOOTH = 5.0  # counts that a distribution over fewer conditions is worth
 MOST = 60.0  # of scores and logits that need no shift before they are exponentiated
 HEAD, HEAD_BYTES, UNIGRAM = 200_000, 64, 0.1
 SAMPLE_DOCS, SAMPLE_WINDOWS, STEPS, PASSES, RATE = 3000, 16, 3000, 8, 0.01
-COUNT_MEMO, MEMO = 200_000, 150_000  # words that a worker counts, and encodings that it remembers, at a time
+COUNT_MEMO, MEMO = 300_000, 300_000  # words that a worker counts, and encodings that it remembers, at a time
 
 
 # --- words ----------------------------------------------------------------------------------------------------------
@@ -78,8 +78,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
             held.clear()
             return out
 
-        for batch in batches:
-            for lo, hi in blocks(batch.column(0)):
+        for batch in grouped(batches, 0, 8_000_000):
+            for lo, hi in blocks(batch.column(0), size=8_000_000):
                 index, words, _ = words_of(batch.column(0)[lo:hi])
                 held.update(dict(zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True)))
                 if len(held) > COUNT_MEMO:
@@ -99,7 +99,7 @@ def subword_pairs(counts: DataFrame, tokenizer: str) -> DataFrame:
 
     def pairs(batches):
         tok = encoder(tokenizer, MEMO)
-        for batch in batches:
+        for batch in grouped(batches, 0, 1_000_000):
             held, starts, sizes = tok.words([w.decode() for w in batch.column(0).to_pylist()])
             step = word_pairs(held.astype(np.int64) + 1, sizes, len(held))
             key, n = np.unique(step[:, 0] << 32 | step[:, 1], return_inverse=True)
