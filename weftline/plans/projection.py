@@ -31,12 +31,12 @@ _BRACKET = re.compile(r"(.+?)\[(-?\d*)\]")
 class Value:
     """A resolved path; ``column`` is None if the path is absent whatever the row."""
 
-    present: Column
+    present: Column | None
     column: Column | None
     kind: T.DataType
 
 
-MISSING = Value(F.lit(False) if False else None, None, T.NullType())
+MISSING = Value(None, None, T.NullType())
 
 
 def split_path(path: str) -> list[str]:
@@ -161,7 +161,10 @@ def _tree(record: Value, config: Config, formats: dict[str, Format]) -> _Node:
 
     put.order = 0
     for spec in config.fields:
-        v = _formatted(resolve(record, split_path(spec.source)), spec, formats)
+        v = resolve(record, split_path(spec.source))
+        if isinstance(v.column, _Fields):
+            v = Value(v.present, v.column.whole, v.kind)
+        v = _formatted(v, spec, formats)
         absent = F.lit(True) if v.column is None else ~v.present
         if spec.on_missing == "omit":
             if v.column is not None:
@@ -267,19 +270,10 @@ def project_json(df: DataFrame, config: dict | Config, keep: list[str] = (), for
     """``keep`` columns and ``json``: each row's output as JSON text. Limit ``df`` first: errors rise for every row given."""
     config = config if isinstance(config, Config) else Config.parse(config)
     root = _root(df, config, formats)
-    _unwrap(root)
     text = _object(root, None)[1] if root.children else F.lit("{}")
     return df.select(*keep, text.alias("json"))
 
 
-def _unwrap(node: _Node) -> None:
-    for w in node.writes:
-        if isinstance(w.value.column, _Fields):
-            w.value.column = w.value.column.whole
-    for c in node.children.values():
-        _unwrap(c)
-
-
 def project_struct(df: DataFrame, config: dict | Config, keep: list[str] = (), formats: dict[str, Format] | None = None) -> DataFrame:
     """``keep`` columns, one column an output path (nested as structs), and ``_omitted``: paths absent from the row.
 
@@ -287,7 +281,6 @@ def project_struct(df: DataFrame, config: dict | Config, keep: list[str] = (), f
     """
     config = config if isinstance(config, Config) else Config.parse(config)
     root = _root(df, config, formats)
-    _unwrap(root)
     omitted: list[Column] = []
 
     def build(node: _Node, path: str) -> Column:
