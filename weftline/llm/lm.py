@@ -39,7 +39,7 @@ SMOOTH = 5.0  # counts that a distribution over fewer conditions is worth
 MOST = 60.0  # of scores and logits that need no shift before they are exponentiated
 HEAD, HEAD_BYTES, UNIGRAM = 200_000, 64, 0.1
 SAMPLE_DOCS, SAMPLE_WINDOWS, STEPS, PASSES, RATE = 3000, 16, 3000, 8, 0.01
-COUNT_MEMO, MEMO = 300_000, 300_000  # words that a worker counts, and encodings that it remembers, at a time
+COUNT_MEMO, MEMO = 500_000, 500_000  # words that a worker counts, and encodings that it remembers, at a time
 
 
 # --- words ----------------------------------------------------------------------------------------------------------
@@ -499,8 +499,8 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     held = spark.sparkContext.broadcast(scorer)
 
     def per_batch(batches):
-        for batch in grouped(batches, 2, 4_000_000):
-            for lo, hi in blocks(batch.column(2), 4096, 4_000_000):
+        for batch in grouped(batches, 2, 6_000_000):
+            for lo, hi in blocks(batch.column(2), 4096, 6_000_000):
                 part = batch.slice(lo, hi - lo)
                 got = held.value.texts(part.column(2))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *got.values()], names=["row", "doc_id", *got])
