@@ -58,6 +58,17 @@ def test_small_head_gives_the_same_base(spark, monkeypatch):
     check(spark.read.parquet(f"{sf}/documents.parquet").collect(), lm.op6_lm_scoring(spark, sf).collect())
 
 
+def test_head_does_not_change_the_score(spark, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 5)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    key = lambda r: (r.doc_id, r.n_tokens, r.base_score)
+    got = []
+    for head in (200_000, 50, 0):
+        monkeypatch.setattr(lm, "HEAD", head)
+        got.append([r.score for r in sorted(lm.score_documents(df).collect(), key=key)])
+    assert got[1] == pytest.approx(got[0], abs=1e-6) and got[2] == pytest.approx(got[0], abs=1e-6)
+
+
 def test_odd_documents(spark, odd_documents, no_documents):
     check(odd_documents.collect(), lm.score_documents(odd_documents).collect())
     assert lm.score_documents(no_documents).collect() == []

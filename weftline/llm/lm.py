@@ -3,15 +3,15 @@
 What the corpus gives grows with it: exact counts of all words of all training texts, and from them exact counts of all
 subword ids and of pairs of them inside words. The counts fix the base score, the ids that are predicted one by one, the
 distribution inside the classes that hold the other ids, a prior of the next class given the last subword, and a unigram
-over frequent words. The attention model corrects that prior from all subwords before. Its weights are fitted by Adam on a bounded sample of windows (``SAMPLE_DOCS`` texts, at most
+over all training words. The attention model corrects that prior from all subwords before. Its weights are fitted by Adam on a bounded sample of windows (``SAMPLE_DOCS`` texts, at most
 ``SAMPLE_WINDOWS`` windows of each), which is SGD's budget, not the corpus'.
 
 Whole texts are scored in windows of ``WINDOW`` positions that overlap by ``OVERLAP``; each position is scored once, in
 the first window that holds it, under a causal mask, many windows at a time. A word's probability is that of its subwords
 and of its end; it is mixed with the word unigram (weight ``UNIGRAM``).
 
-Base score: words outside a broadcast head of at most ``HEAD`` words meet their counts in a join; the head takes all the
-hot keys out of that join.
+Words outside a broadcast head of at most ``HEAD`` words meet their counts, for the base score and for the unigram, in a
+join; the head takes all the hot keys out of that join and changes no score.
 
 Defined cases: null and empty texts are one end token; rows that share a doc_id are texts of their own; a null doc_id is
 never held out; with no training text the base has N = V = 0 and the model is uniform; an empty table gives no rows;
@@ -20,6 +20,7 @@ texts of any length are scored whole; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -414,30 +415,29 @@ class Scorer:
         ending = lp[word_at[at[1:]] + np.arange(rows)]
 
         known = np.array([self.head.get(w, 0) for w in words], np.int64)
-        mass = sum(self.head.values()) + self.ends if not hasattr(self, "_mass") else self._mass
-        self._mass = mass
-        share = known[index] / max(mass, 1)
+        share, got = known[index] / max(self.total, 1), known[index] > 0
         mixed = np.logaddexp(model + np.log(1 - UNIGRAM), np.log(UNIGRAM) + np.log(np.maximum(share, 1e-300)))
-        mixed = np.where(share > 0, mixed, model + np.log(1 - UNIGRAM))
-        tail_end = np.log(UNIGRAM) + np.log(max(self.ends / max(mass, 1), 1e-300))
+        tail_end = np.log(UNIGRAM) + np.log(max(self.ends / max(self.total, 1), 1e-300))
         ended = np.logaddexp(ending + np.log(1 - UNIGRAM), tail_end)
-        score = (np.bincount(row, weights=mixed, minlength=rows) + ended) / np.log(10)
+        score = (np.bincount(row, weights=np.where(got, mixed, 0.0), minlength=rows) + ended) / np.log(10)
 
         floor = np.log10(self.total + 0.5 * (self.distinct + 1)) if self.total or self.distinct else np.log10(0.5)
         logs = np.where(known > 0, np.log10(known + 0.5), 0.0)[index]
-        got = known[index] > 0
         base = np.bincount(row, weights=logs, minlength=rows) + np.log10(self.ends + 0.5)
         tokens = np.diff(at) + 1
-        # Words outside the head: (row, word) with how often.
+        # Words outside the head: (row, word) with how often, and the model's natural log at each of its places.
         out = np.flatnonzero(~got)
-        pair, times = np.unique(row[out] * max(len(words), 1) + index[out], return_counts=True)
+        pair, nth, times = np.unique(row[out] * max(len(words), 1) + index[out], return_inverse=True, return_counts=True)
+        places = model[out][np.argsort(nth.reshape(-1), kind="stable")]
         pair_row, pair_word = np.divmod(pair, max(len(words), 1))
         offsets = np.concatenate([[0], np.cumsum(np.bincount(pair_row.astype(np.int64), minlength=rows))]).astype(np.int32)
+        each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times)]), pa.int32()), pa.array(places, pa.float64()))
+        models = pa.ListArray.from_arrays(pa.array(offsets), each)
         tail = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([words[i] for i in pair_word.tolist()], pa.binary()), pa.array(times, pa.int64())], names=["word", "times"]))
-        return {"n_tokens": pa.array(tokens, pa.int64()), "head_known": pa.array(np.bincount(row, weights=got, minlength=rows).astype(np.int64) + (self.ends > 0)), "head_log": pa.array(base), "floor": pa.array(np.full(rows, floor)), "score": pa.array(score), "tail": tail}
+        return {"n_tokens": pa.array(tokens, pa.int64()), "head_known": pa.array(np.bincount(row, weights=got, minlength=rows).astype(np.int64) + (self.ends > 0)), "head_log": pa.array(base), "floor": pa.array(np.full(rows, floor)), "score": pa.array(score), "tail": tail, "models": models}
 
 
-_SCORED = "n_tokens long, head_known long, head_log double, floor double, score double, tail array<struct<word: binary, times: bigint>>"
+_SCORED = "n_tokens long, head_known long, head_log double, floor double, score double, tail array<struct<word: binary, times: bigint>>, models array<array<double>>"
 
 
 def sample_windows(docs: DataFrame, tokenizer: str) -> np.ndarray:
@@ -507,13 +507,20 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = materialise(rows.mapInArrow(releasing(per_batch), f"row long, doc_id long, {_SCORED}"), "scored")
-    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.times")
+    tail = scored.select("row", F.explode(F.arrays_zip("tail", "models")).alias("t")).select("row", "t.tail.word", "t.tail.times", "t.models")
     known = counts.filter("word is not null").select(F.col("word").alias("w"), "n")
+    # A word that no training text has keeps the model's share only.
+    share = F.lit(UNIGRAM / max(scorer.total, 1)) * F.coalesce("n", F.lit(0))
+    mixed = F.when(F.col("n").isNull(), F.aggregate("models", F.lit(0.0), lambda a, m: a + m + math.log(1 - UNIGRAM))).otherwise(
+        F.aggregate("models", F.lit(0.0), lambda a, m: a + F.log(F.exp(m) * (1 - UNIGRAM) + share))
+    )
     met = tail.join(known, F.col("word") == F.col("w"), "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known")
+        F.sum(F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("log"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("known"),
+        (F.sum(mixed) / math.log(10)).alias("mixed"),
     )
     met = met.withColumnRenamed("row", "t_row")
-    both = scored.drop("tail").join(met, F.col("row") == F.col("t_row"), "left")
+    both = scored.drop("tail", "models").join(met, F.col("row") == F.col("t_row"), "left")
     return both.select(
         "doc_id",
         (~_training()).alias("held_out"),
@@ -521,7 +528,7 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         (F.col("head_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(scorer.total).cast("long").alias("train_tokens"),
         (F.col("head_log") + F.coalesce("log", F.lit(0.0)) - F.col("n_tokens") * F.col("floor")).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("mixed", F.lit(0.0))).alias("score"),
     )
 
 
