@@ -134,6 +134,19 @@ def test_positions_are_causal_and_scored_once(scorer):
     assert changed[:-2] == pytest.approx(lp[:-2], abs=1e-4)
 
 
+def test_every_position_sees_half_a_window_before_it(scorer):
+    """A change 32 places back reaches every later score, also where a window's first own position stands."""
+    assert lm.WINDOW >= 64 and lm.OVERLAP >= lm.WINDOW // 2 and lm.WIDTH >= 32
+    v, rng = scorer.vocabulary, np.random.default_rng(4)
+    ids = rng.choice(np.flatnonzero(v.input > v.classes), 200)
+    at = np.array([0, len(ids)])
+    lp, _, _ = scorer.positions(ids, at)
+    for q in (lm.WINDOW, 2 * lm.WINDOW - lm.OVERLAP, 150):
+        other = ids.copy()
+        other[q - 32] = next(i for i in np.flatnonzero(v.input > v.classes) if v.input[i] != v.input[ids[q - 32]])
+        assert abs(scorer.positions(other, at)[0][q] - lp[q]) > 1e-7
+
+
 def test_gradients(scorer):
     v, rng = scorer.vocabulary, np.random.default_rng(2)
     m = {k: x.astype(np.float64) for k, x in lm.init(v).items()}

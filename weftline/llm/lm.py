@@ -3,11 +3,13 @@
 What the corpus gives grows with it: exact counts of all words of all training texts, and from them exact counts of all
 subword ids and of pairs of them inside words. The counts fix the base score, the ids that are predicted one by one, the
 distribution inside the classes that hold the other ids, a prior of the next class given the last subword, and a unigram
-over all training words. The attention model corrects that prior from all subwords before. Its weights are fitted by Adam on a bounded sample of windows (``SAMPLE_DOCS`` texts, at most
+over all training words. The attention model, one layer with a feed-forward layer
+after it, corrects that prior from the subwords before in its window. Its weights are fitted by Adam on a bounded sample of windows (``SAMPLE_DOCS`` texts, at most
 ``SAMPLE_WINDOWS`` windows of each), which is SGD's budget, not the corpus'.
 
 Whole texts are scored in windows of ``WINDOW`` positions that overlap by ``OVERLAP``; each position is scored once, in
-the first window that holds it, under a causal mask, many windows at a time. A word's probability is that of its subwords
+the first window that holds it, under a causal mask, many windows at a time: after a text's first window it sees the
+``OVERLAP`` subwords before it at least and WINDOW - 1 at most. A word's probability is that of its subwords
 and of its end; it is mixed with the word unigram (weight ``UNIGRAM``).
 
 Words outside a broadcast head of at most ``HEAD`` words meet their counts, for the base score and for the unigram, in a
@@ -33,14 +35,14 @@ from pyspark.sql import functions as F
 from weftline.llm.tokens import blocks, bounded_batches, default_path, encoder, grouped, releasing
 from weftline.storage import materialise
 
-WINDOW, OVERLAP, WIDTH, BATCH = 32, 4, 16, 192
+WINDOW, OVERLAP, WIDTH, BATCH = 64, 32, 32, 48
 SINGLE, GROUPS = 216, 4  # ids predicted one by one, and classes of other ids on either side of the space
 INPUTS = 2048
 SMOOTH = 5.0  # counts that a distribution over fewer conditions is worth
 MOST = 60.0  # of scores and logits that need no shift before they are exponentiated
 HEAD, HEAD_BYTES, UNIGRAM = 200_000, 64, 0.1
 SAMPLE_DOCS, SAMPLE_WINDOWS, STEPS, PASSES, RATE = 3000, 16, 3000, 8, 0.01
-COUNT_MEMO, MEMO = 500_000, 500_000  # words that a worker counts, and encodings that it remembers, at a time
+COUNT_MEMO, MEMO = 300_000, 200_000  # words that a worker counts, and encodings that it remembers, at a time
 
 
 # --- words ----------------------------------------------------------------------------------------------------------
@@ -249,7 +251,7 @@ class Vocabulary:
 def init(v: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
     rng, d = np.random.default_rng(seed), WIDTH
     w = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
-    return {"e": w(v.inputs, d) * np.float32(np.sqrt(v.inputs) * 0.3), "p": w(WINDOW, d), "qkv": w(d, 3 * d), "o": w(d, d), "out": w(d, v.classes) * np.float32(0.1), "b": np.zeros(v.classes, np.float32), "s": np.zeros((d, 1), np.float32)}
+    return {"e": w(v.inputs, d) * np.float32(np.sqrt(v.inputs) * 0.3), "p": w(WINDOW, d), "qkv": w(d, 3 * d), "o": w(d, d), "u": w(d, 2 * d), "d": w(2 * d, d), "out": w(d, v.classes) * np.float32(0.1), "b": np.zeros(v.classes, np.float32), "s": np.zeros((d, 1), np.float32)}
 
 
 _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
@@ -277,14 +279,16 @@ def hidden(m: dict, x: np.ndarray, keep: bool = False):
     else:
         a = np.matmul(s, v)
         a /= total
-    h = h0 + (a.reshape(-1, d) @ m["o"]).reshape(n, WINDOW, d)
-    return (h, (h0, q, k, v, s, a)) if keep else h
+    h1 = h0 + (a.reshape(-1, d) @ m["o"]).reshape(n, WINDOW, d)
+    u = np.maximum(h1.reshape(-1, d) @ m["u"], 0)
+    h = h1 + (u @ m["d"]).reshape(n, WINDOW, d)
+    return (h, (h0, q, k, v, s, a, h1, u)) if keep else h
 
 
 def gradients(m: dict, v: Vocabulary, t: Tables, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
     """Mean loss over weighted positions, and its gradients: the side of every class ``y``, and the class within it."""
     n, d = x.shape[0], WIDTH
-    h, (h0, q, k, vv, s, a) = hidden(m, x, True)
+    h, (h0, q, k, vv, s, a, h1, u) = hidden(m, x, True)
     flat, x1, y = h.reshape(-1, d), x.reshape(-1), y.reshape(-1)
     rows, w = np.arange(len(flat)), (weight / max(weight.sum(), 1)).reshape(-1).astype(np.float32)
     at_space = y < v.inner
@@ -300,6 +304,10 @@ def gradients(m: dict, v: Vocabulary, t: Tables, x: np.ndarray, y: np.ndarray, w
     ds = ((side - at_space) * w)[:, None].astype(p.dtype)
     g = {"out": flat.T @ p, "b": p.sum(0), "s": flat.T @ ds}
     dh = p @ m["out"].T + ds @ m["s"].T
+    g["d"] = u.T @ dh
+    du = (dh @ m["d"].T) * (u > 0)
+    g["u"] = h1.reshape(-1, d).T @ du
+    dh += du @ m["u"].T
     g["o"] = a.reshape(-1, d).T @ dh
     da = (dh @ m["o"].T).reshape(n, WINDOW, d)
     ds = np.matmul(da, vv.transpose(0, 2, 1))
@@ -499,8 +507,8 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     held = spark.sparkContext.broadcast(scorer)
 
     def per_batch(batches):
-        for batch in grouped(batches, 2, 6_000_000):
-            for lo, hi in blocks(batch.column(2), 4096, 6_000_000):
+        for batch in grouped(batches, 2, 3_000_000):
+            for lo, hi in blocks(batch.column(2), 4096, 3_000_000):
                 part = batch.slice(lo, hi - lo)
                 got = held.value.texts(part.column(2))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *got.values()], names=["row", "doc_id", *got])
