@@ -147,6 +147,24 @@ def test_every_position_sees_half_a_window_before_it(scorer):
         assert abs(scorer.positions(other, at)[0][q] - lp[q]) > 1e-7
 
 
+def test_training_takes_every_window(spark, scorer, monkeypatch):
+    """Every id of every training text is asked for once, also beyond the sample's bounds; the windows' number grows along."""
+    line = np.concatenate([[-1], np.arange(20_000), [-2]])
+    cut = lm.windows_of(line)
+    asked = cut[:, 1:].reshape(-1)
+    assert asked[asked > -3].tolist() == line[1:].tolist() and len(cut) > lm.SAMPLE_WINDOWS
+    assert lm.windows_of(np.array([-1, -2]))[:, :2].tolist() == [[-1, -2]]
+    m, v, t = scorer.weights, scorer.vocabulary, scorer.tables
+    text, numbers = " ".join(f"word{i % 50}" for i in range(2000)), {}
+    for n in (4, 40):
+        df = spark.createDataFrame([(i, text) for i in [i for i in range(200) if not held(i)][:n]], "doc_id long, text string")
+        after, numbers[n] = lm.train(df, scorer.tokenizer, v, t, m)
+        assert all(np.isfinite(after[k]).all() and (after[k] != m[k]).any() for k in m)
+    assert numbers[40] == 10 * numbers[4] > 40 * lm.SAMPLE_WINDOWS
+    none = spark.createDataFrame([(i, text) for i in range(30) if held(i)], "doc_id long, text string")
+    assert lm.train(none, scorer.tokenizer, v, t, m)[1] == 0
+
+
 def test_gradients(scorer):
     v, rng = scorer.vocabulary, np.random.default_rng(2)
     m = {k: x.astype(np.float64) for k, x in lm.init(v).items()}

@@ -4,8 +4,10 @@ What the corpus gives grows with it: exact counts of all words of all training t
 subword ids and of pairs of them inside words. The counts fix the base score, the ids that are predicted one by one, the
 distribution inside the classes that hold the other ids, a prior of the next class given the last subword, and a unigram
 over all training words. The attention model, one layer with a feed-forward layer
-after it, corrects that prior from the subwords before in its window. Its weights are fitted by Adam on a bounded sample of windows (``SAMPLE_DOCS`` texts, at most
-``SAMPLE_WINDOWS`` windows of each), which is SGD's budget, not the corpus'.
+after it, corrects that prior from the subwords before in its window. Its weights start from
+a fit on a sample (``SAMPLE_DOCS`` texts, at most ``SAMPLE_WINDOWS`` windows of each) and are then trained on every window
+of every training text: each task takes Adam steps over all its windows, and the weights that tasks end with are averaged
+by their windows (``ROUNDS`` rounds), so steps grow with the corpus.
 
 Whole texts are scored in windows of ``WINDOW`` positions that overlap by ``OVERLAP``; each position is scored once, in
 the first window that holds it, under a causal mask, many windows at a time: after a text's first window it sees the
@@ -42,6 +44,7 @@ SMOOTH = 5.0  # counts that a distribution over fewer conditions is worth
 MOST = 60.0  # of scores and logits that need no shift before they are exponentiated
 HEAD, HEAD_BYTES, UNIGRAM = 200_000, 64, 0.1
 SAMPLE_DOCS, SAMPLE_WINDOWS, STEPS, PASSES, RATE = 3000, 16, 3000, 8, 0.01
+ROUNDS, ROUND_RATE = 1, 0.002  # passes over all training windows, and their rate
 COUNT_MEMO, MEMO = 300_000, 200_000  # words that a worker counts, and encodings that it remembers, at a time
 
 
@@ -328,21 +331,30 @@ def fit(v: Vocabulary, t: Tables, windows: np.ndarray, steps: int | None = None,
     """
     m, rng = init(v), np.random.default_rng(seed)
     steps = min(STEPS, PASSES * len(windows) // 64) if steps is None else steps
-    first, second = {k: np.zeros_like(x) for k, x in m.items()}, {k: np.zeros_like(x) for k, x in m.items()}
-    given = np.where(windows[:, :-1] >= 0, v.input[np.maximum(windows[:, :-1], 0)], 0)
-    asked = np.where(windows[:, 1:] >= 0, v.output[np.maximum(windows[:, 1:], 0)], 0)
-    weight = (windows[:, 1:] > -3).astype(np.float32)
+    adam = Adam(m)
     for i in range(1, steps + 1 if len(windows) else 1):
-        rows = rng.integers(0, len(windows), 64)
-        _, g = gradients(m, v, t, given[rows], asked[rows], weight[rows])
-        rate = RATE * min(1, i / 50) * (1 - 0.98 * i / steps)
-        for k, x in g.items():
-            first[k] += (x - first[k]) * np.float32(0.1)
-            second[k] += (x * x - second[k]) * np.float32(0.01)
-            m[k] -= np.float32(rate / (1 - 0.9**i)) * first[k] / (np.sqrt(second[k] / np.float32(1 - 0.99**i)) + np.float32(1e-8))
+        adam.step(v, t, windows[rng.integers(0, len(windows), 64)], RATE * min(1, i / 50) * (1 - 0.98 * i / steps))
     return m
 
 
+class Adam:
+    """Steps that change the weights ``m`` in place."""
+
+    def __init__(self, m: dict):
+        self.m, self.i = m, 0
+        self.first, self.second = {k: np.zeros_like(x) for k, x in m.items()}, {k: np.zeros_like(x) for k, x in m.items()}
+
+    def step(self, v: Vocabulary, t: Tables, windows: np.ndarray, rate: float) -> None:
+        given = np.where(windows[:, :-1] >= 0, v.input[np.maximum(windows[:, :-1], 0)], 0)
+        asked = np.where(windows[:, 1:] >= 0, v.output[np.maximum(windows[:, 1:], 0)], 0)
+        _, g = gradients(self.m, v, t, given, asked, (windows[:, 1:] > -3).astype(np.float32))
+        self.i += 1
+        for k, x in g.items():
+            self.first[k] += (x - self.first[k]) * np.float32(0.1)
+            self.second[k] += (x * x - self.second[k]) * np.float32(0.01)
+            self.m[k] -= np.float32(rate / (1 - 0.9**self.i)) * self.first[k] / (np.sqrt(self.second[k] / np.float32(1 - 0.99**self.i)) + np.float32(1e-8))
+
+
 @dataclass
 class Scorer:
     """Everything scoring needs; its size is bounded by the vocabulary and HEAD."""
@@ -448,6 +460,63 @@ class Scorer:
 _SCORED = "n_tokens long, head_known long, head_log double, floor double, score double, tail array<struct<word: binary, times: bigint>>, models array<array<double>>"
 
 
+def windows_of(line: np.ndarray) -> np.ndarray:
+    """All windows (n x WINDOW + 1) of a text's ids between -1 and -2: each id but the first is asked for once."""
+    n = max(1, -(-(len(line) - 1) // WINDOW))
+    padded = np.full(n * WINDOW + 1, -3, np.int32)
+    padded[: len(line)] = line
+    return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[::WINDOW]
+
+
+def train(docs: DataFrame, tokenizer: str, v: Vocabulary, t: Tables, m: dict) -> tuple[dict, int]:
+    """Weights after ROUNDS passes over all windows of all training texts from ``m``, and how many windows a pass has."""
+    rows, spark = docs.filter(_training()).select(F.col("text").cast("string").alias("text")), docs.sparkSession
+    names = list(m)
+    for _ in range(ROUNDS):
+        held = spark.sparkContext.broadcast((v, t, m))
+
+        def per_task(batches):
+            v, t, m = held.value
+            m = {k: x.copy() for k, x in m.items()}
+            adam, seen, rng = Adam(m), 0, np.random.default_rng(11)
+
+            def steps(windows):
+                for at in range(0, len(windows), 64):
+                    adam.step(v, t, windows[at : at + 64], ROUND_RATE * min(1, (adam.i + 1) / 50))
+
+            waiting, size = [], 0
+            for batch in grouped(batches, 0, 1_000_000):
+                for lo, hi in blocks(batch.column(0), 4096, 1_000_000):
+                    index, words, at = words_of(batch.column(0)[lo:hi])
+                    ids, starts, sizes = encoder(tokenizer, MEMO).words([w.decode() for w in words])
+                    for a, b in zip(at[:-1], at[1:], strict=True):
+                        cut = windows_of(np.concatenate([[-1], *(ids[starts[i] : starts[i] + sizes[i]] for i in index[a:b]), [-2]]))
+                        waiting.append(cut)
+                        size += len(cut)
+                        if size >= 4096:
+                            # In any order, and what does not fill a step waits for the next texts.
+                            mixed = rng.permutation(np.concatenate(waiting))
+                            full = size // 64 * 64
+                            steps(mixed[:full])
+                            waiting, seen, size = [mixed[full:]], seen + full, size - full
+            if size:
+                steps(rng.permutation(np.concatenate(waiting)))
+                seen += size
+            if seen:
+                flat = np.concatenate([m[k].reshape(-1) for k in names]).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "weights"])
+
+        parts = materialise(rows.mapInArrow(releasing(per_task), "n long, weights binary"), "lm-weights")
+        total, n = 0.0, 0
+        for r in parts.toLocalIterator():
+            total, n = total + np.frombuffer(r["weights"], "<f4").astype(float) * r["n"], n + r["n"]
+        if not n:
+            return m, 0
+        ends = np.cumsum([m[k].size for k in names])
+        m = {k: x.reshape(m[k].shape).astype(np.float32) for k, x in zip(names, np.split(total / n, ends[:-1]), strict=True)}
+    return m, n
+
+
 def sample_windows(docs: DataFrame, tokenizer: str) -> np.ndarray:
     """Windows of ids of a bounded sample of training texts, chosen by the hash of doc_id."""
     rows = docs.filter(_training() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -461,10 +530,8 @@ def sample_windows(docs: DataFrame, tokenizer: str) -> np.ndarray:
                 held, starts, sizes = encoder(tokenizer).words([w.decode() for w in words])
                 for a, b in zip(at[:-1], at[1:], strict=True):
                     ids = [held[starts[i] : starts[i] + sizes[i]] for i in index[a:b]]
-                    line = np.concatenate([[-1], *ids, [-2]]).astype(np.int32)
-                    begins = np.arange(0, max(1, len(line) - 1), WINDOW)
-                    for s in begins[np.unique(np.linspace(0, len(begins) - 1, SAMPLE_WINDOWS).astype(int))]:
-                        out.append(np.pad(line[s : s + WINDOW + 1], (0, max(0, WINDOW + 1 - len(line[s : s + WINDOW + 1]))), constant_values=-3).astype("<i4").tobytes())
+                    cut = windows_of(np.concatenate([[-1], *ids, [-2]]))
+                    out += [w.astype("<i4").tobytes() for w in cut[np.unique(np.linspace(0, len(cut) - 1, SAMPLE_WINDOWS).astype(int))]]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["w"])
 
     met = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("c_id")).select("doc_id", "text").dropDuplicates(["doc_id"])
@@ -483,7 +550,8 @@ def build(docs: DataFrame, tokenizer: str | None = None) -> tuple[Scorer, DataFr
     ids = subword_counts(pairs, len(spaced))
     v = Vocabulary.of(ids, spaced)
     tables = Tables.of(v, pair_counts(pairs, v), ids, sums["ends"])
-    return Scorer(path, v, tables, fit(v, tables, sample_windows(docs, path)), head, sums["ends"], sums["n"], sums["v"]), counts
+    weights, _ = train(docs, path, v, tables, fit(v, tables, sample_windows(docs, path)))
+    return Scorer(path, v, tables, weights, head, sums["ends"], sums["n"], sums["v"]), counts
 
 
 def head_words(counts: DataFrame) -> DataFrame:
