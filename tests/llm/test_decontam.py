@@ -79,3 +79,9 @@ def test_full_bitmap_loses_nothing(spark, monkeypatch):
     items = [(i, " ".join(rng.choice("abcdefghij") * 3 for _ in range(20))) for i in range(30)]
     got = found(spark, [(i, f"x y {t} z") for i, t in items[::3]], items)
     assert set(got) == {(i, i) for i, _ in items[::3]}
+
+
+def test_names_that_open_sentences(spark):
+    item = "Anna has 12 apples and gives 5 of them away. Tom has 7 pears and buys 4 more of them. How many pieces of fruit do they have now?"
+    other = item.replace("Anna", "Clara").replace("Tom", "Erik").replace("12", "31").replace("7", "8")
+    assert found(spark, [(1, f"Some text. {other} More text."), (2, item.replace(". How", " and how").replace("12", "31"))], [(1, item)]) == {(1, 1): "template", (2, 1): "template"}

@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become canonical words: case and punctuation go, numbers, names and units also have a typed placeholder. Windows of
+Texts become canonical words: case and punctuation go, numbers, names and units also have a typed placeholder; a
+capitalised word that opens a sentence counts both as a word and as a name. Windows of
 five words are hashed twice, literally and, where they hold placeholders and at least ``LITERALS`` other words, as a
 template. Document windows are hash-joined to benchmark windows. An item is found in a document if at least
 ``SIMILARITY`` of its windows occur there; windows that occur only as templates count if their slots are consistent, that
@@ -110,21 +111,27 @@ def scan(texts: pa.Array, bitmap: np.ndarray | None):
         return
     literal, kind = hashes[index], kind[index]
     opens = np.concatenate([[True], ends[index[:-1]] | (row[1:] != row[:-1])])
-    kind = np.where(capital[index] & ~opens & (kind == _PLAIN), _NAME, kind)
+    # A capital that opens a sentence may be a name or not: its windows are templates both ways.
+    upper = capital[index] & (kind == _PLAIN)
+    named, kind = np.where(upper, _NAME, kind), np.where(upper & ~opens, _NAME, kind)
+    opener = np.convolve(named != kind, np.ones(WORDS, int), "valid") > 0
     inside = row[WORDS - 1 :] == row[: len(row) - WORDS + 1]
     first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))])
-    held = np.convolve(kind > 0, np.ones(WORDS, int), "valid")
-    template = np.where(kind == _PLAIN, literal, _PLACE[kind])
-    for h, ok, slotted in ((_windows(literal), inside, False), (_windows(template) + np.uint64(1), inside & (held > 0) & (held <= WORDS - LITERALS), True)):
+    passes = [(_windows(literal), inside, None)]
+    for kinds, which in ((kind, inside), (named, inside & opener)):
+        held = np.convolve(kinds > 0, np.ones(WORDS, int), "valid")
+        template = np.where(kinds == _PLAIN, literal, _PLACE[kinds])
+        passes.append((_windows(template) + np.uint64(1), which & (held > 0) & (held <= WORDS - LITERALS), kinds))
+    for h, ok, kinds in passes:
         if bitmap is not None:
             bit = h % np.uint64(8 * len(bitmap))
             ok = ok & (bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         seen = set()
         for p in np.flatnonzero(ok).tolist():
             slots = None
-            if slotted:
+            if kinds is not None:
                 values = []
-                for i, k in zip(index[p : p + WORDS].tolist(), kind[p : p + WORDS].tolist(), strict=True):
+                for i, k in zip(index[p : p + WORDS].tolist(), kinds[p : p + WORDS].tolist(), strict=True):
                     if k:
                         w = word[i].as_py()
                         values.append(f"{k}{_value(chunks[i].as_py(), w) if k == _NUM else w}")
