@@ -85,3 +85,19 @@ def test_names_that_open_sentences(spark):
     item = "Anna has 12 apples and gives 5 of them away. Tom has 7 pears and buys 4 more of them. How many pieces of fruit do they have now?"
     other = item.replace("Anna", "Clara").replace("Tom", "Erik").replace("12", "31").replace("7", "8")
     assert found(spark, [(1, f"Some text. {other} More text."), (2, item.replace(". How", " and how").replace("12", "31"))], [(1, item)]) == {(1, 1): "template", (2, 1): "template"}
+
+
+def test_questions_dense_in_numbers(spark):
+    items = [(1, "Compute 12 + 7 + 30 + 5 + 9 and give the sum"), (2, "what is then 12 7 30 5 9 3"), (3, "sum 12 7 30 5 9 total")]
+    texts = ["Compute 31 + 8 + 44 + 6 + 2 and give the sum", "what is then 31 8 44 6 2 1", "sum 31 8 44 6 2 total"]
+    docs = [(i, f"some words here, {t} more words there") for i, t in enumerate(texts, 1)]
+    docs += [(9, " ".join(str(i) for i in range(3000))), (10, "Compute 31 + 8 + 44 + 6 + 2 or leave it")]
+    assert found(spark, docs, items) == {(i, i): "template" for i in (1, 2, 3)}
+
+
+def test_units_stand_beside_numbers():
+    import pyarrow as pa
+
+    slots = [s for _, _, _, s in decontam.scan(pa.array(["we sat in a boat that it was t or s for them"]), None)]
+    assert slots and not any(slots)
+    assert any(s == "12\x1f2km" for _, _, _, s in decontam.scan(pa.array(["it ran 2 km away from us"]), None))

@@ -2,8 +2,9 @@
 
 Texts become canonical words: case and punctuation go, numbers, names and units also have a typed placeholder; a
 capitalised word that opens a sentence counts both as a word and as a name. Windows of
-five words are hashed twice, literally and, where they hold placeholders and at least ``LITERALS`` other words, as a
-template. Document windows are hash-joined to benchmark windows. An item is found in a document if at least
+five words are hashed twice, literally and, where they hold placeholders, as a template. A template with fewer than
+``LITERALS`` other words is made longer until it holds them: to the right, to the left, and to both sides, each hashed. A
+unit is one only beside a number. Document windows are hash-joined to benchmark windows. An item is found in a document if at least
 ``SIMILARITY`` of its windows occur there; windows that occur only as templates count if their slots are consistent, that
 is, if one value of the item always stands for one value of the document.
 
@@ -35,6 +36,7 @@ WORDS, SIMILARITY, LITERALS = 5, 0.8, 2
 BITS = 1 << 22
 
 UNITS = frozenset("% $ € £ ° mm cm m km in ft yd mi mg g kg t oz lb ml cl l gal ms s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years mph kmh kph hz khz mhz ghz w kw kwh v mv a ma j kj cal kcal pa kpa bar psi kb mb gb tb usd eur gbp cent cents dollar dollars euro euros pound pounds percent degree degrees meter meters metre metres kilometer kilometers mile miles inch inches foot feet gram grams kilogram kilograms liter liters litre litres".split())
+MONEY = frozenset("$ € £ usd eur gbp".split())
 
 # Patterns over single chunks (RE2): a number with nothing but punctuation around it, a capital first, a sentence's end.
 _SIGNS = "$€£%°"
@@ -72,6 +74,28 @@ def _windows(x: np.ndarray) -> np.ndarray:
     return _mixed(sum(x[i : i + n] * _MIX[i] for i in range(WORDS)))
 
 
+def _anchored(x: np.ndarray, plain: np.ndarray, row: np.ndarray):
+    """(hashes, whether there are any) of windows made longer to hold LITERALS plain words: right, left, and both ways."""
+    n, size = len(x) - WORDS + 1, len(x)
+    at, begins = np.flatnonzero(plain), np.arange(n)
+    count = np.concatenate([[0], np.cumsum(plain)])
+    power = np.concatenate([[np.uint64(1)], np.full(size, _POWER)]).cumprod(dtype=np.uint64)
+    back = np.concatenate([[np.uint64(1)], np.full(size, np.uint64(pow(int(_POWER), -1, 1 << 64)))]).cumprod(dtype=np.uint64)
+    run = np.concatenate([[np.uint64(0)], np.cumsum(x * power[:-1], dtype=np.uint64)])
+    before, upto = count[:n], count[WORDS : WORDS + n]
+    for salt, (first, last) in enumerate(((None, before + LITERALS - 1), (upto - LITERALS, None), (before - 1, upto)), 2):
+        ok = np.full(n, len(at) > 0)
+        left, right = begins, begins + WORDS
+        if first is not None and len(at):
+            ok &= first >= 0
+            left = np.minimum(left, at[np.maximum(first, 0)])
+        if last is not None and len(at):
+            ok &= last < len(at)
+            right = np.maximum(right, at[np.minimum(last, len(at) - 1)] + 1)
+        ok &= (row[left] == row[begins]) & (row[right - 1] == row[begins])
+        yield _mixed((run[right] - run[left]) * back[left] + (right - left).astype(np.uint64)) + np.uint64(salt), ok
+
+
 def _value(chunk: str, word: str) -> str:
     """The value of a number, for comparing slots."""
     return re.sub(r"[^\d.+-]", "", chunk.replace(",", "")).strip(".") or word
@@ -105,12 +129,17 @@ def scan(texts: pa.Array, bitmap: np.ndarray | None):
     kind = np.where(flag(pc.match_substring_regex(chunks, _NUMBER)), _NUM, np.where(flag(pc.is_in(word, pa.array(sorted(UNITS)))), _UNIT, _PLAIN))
     capital, ends, hashes = flag(pc.match_substring_regex(chunks, _CAPITAL)), flag(pc.match_substring_regex(chunks, _ENDS)), _hashes(word)
 
+    money = flag(pc.is_in(word, pa.array(sorted(MONEY))))
     keep = kept[index]
     index, row = index[keep], row[keep]
     if len(index) < WORDS:
         return
     literal, kind = hashes[index], kind[index]
     opens = np.concatenate([[True], ends[index[:-1]] | (row[1:] != row[:-1])])
+    # A unit stands behind its number, money before it as well.
+    number, same = kind == _NUM, row[1:] == row[:-1]
+    beside = np.concatenate([[False], number[:-1] & same]) | (money[index] & np.concatenate([number[1:] & same, [False]]))
+    kind = np.where((kind == _UNIT) & ~beside, _PLAIN, kind)
     # A capital that opens a sentence may be a name or not: its windows are templates both ways.
     upper = capital[index] & (kind == _PLAIN)
     named, kind = np.where(upper, _NAME, kind), np.where(upper & ~opens, _NAME, kind)
@@ -122,6 +151,7 @@ def scan(texts: pa.Array, bitmap: np.ndarray | None):
         held = np.convolve(kinds > 0, np.ones(WORDS, int), "valid")
         template = np.where(kinds == _PLAIN, literal, _PLACE[kinds])
         passes.append((_windows(template) + np.uint64(1), which & (held > 0) & (held <= WORDS - LITERALS), kinds))
+        passes += [(h, inside & ok & (held > WORDS - LITERALS), kinds) for h, ok in _anchored(template, kinds == _PLAIN, row)]
     for h, ok, kinds in passes:
         if bitmap is not None:
             bit = h % np.uint64(8 * len(bitmap))
