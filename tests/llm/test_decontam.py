@@ -101,3 +101,13 @@ def test_units_stand_beside_numbers():
     slots = [s for _, _, _, s in decontam.scan(pa.array(["we sat in a boat that it was t or s for them"]), None)]
     assert slots and not any(slots)
     assert any(s == "12\x1f2km" for _, _, _, s in decontam.scan(pa.array(["it ran 2 km away from us"]), None))
+
+
+def test_every_occurrence_is_judged_by_itself(spark):
+    """Two changed versions of one item in a document: each alone is consistent, their values mixed are not."""
+    one = Q.replace("Paris", "Rome").replace("40", "55").replace("Anna", "Clara").replace("12", "7").replace(" 3 ", " 9 ")
+    two = Q.replace("Paris", "Oslo").replace("40", "21").replace("Anna", "Erika").replace("12", "8").replace(" 3 ", " 4 ")
+    # Votes that the smallest string wins are dealt to both versions.
+    three = Q.replace("Paris", "Zagreb").replace("40", "11").replace("Anna", "Aida").replace("12", "99").replace(" 3 ", " 1 ")
+    docs = [(1, f"{one}. {two}."), (2, f"{one}. {three}."), (3, f"{three} and so on. {two}. {one}.")]
+    assert found(spark, docs, [(3, Q)]) == {(i, 3): "template" for i in (1, 2, 3)}

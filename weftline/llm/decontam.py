@@ -6,7 +6,8 @@ five words are hashed twice, literally and, where they hold placeholders, as a t
 ``LITERALS`` other words is made longer until it holds them: to the right, to the left, and to both sides, each hashed. A
 unit is one only beside a number. Document windows are hash-joined to benchmark windows. An item is found in a document if at least
 ``SIMILARITY`` of its windows occur there; windows that occur only as templates count if their slots are consistent, that
-is, if one value of the item always stands for one value of the document.
+is, if one value of the item always stands for one value of the document. Every occurrence of the item is judged by itself:
+matches are grouped by the document's position less the item's, half an item either way, and the best group counts.
 
 Windows that no benchmark window can equal are left out before the join by a bitmap of a fixed size (``BITS`` bits, built
 from the benchmark and sent to the executors); a full bitmap would let more rows through, never fewer.
@@ -105,7 +106,7 @@ def scan(texts: pa.Array, bitmap: np.ndarray | None):
     """(text number, window position, hash, slots or None) of every window that the bitmap lets through.
 
     Slots are None for a literal window, else the placeholders' kinds and values joined by U+001F. A literal window
-    that repeats within a text, or a template that repeats with the same values, is given once.
+    that repeats within a text is given once, a template at each of its places.
     """
     texts = pc.fill_null(texts, "")
     digits = pc.match_substring_regex(texts, "[0-9]")
@@ -166,7 +167,7 @@ def scan(texts: pa.Array, bitmap: np.ndarray | None):
                         w = word[i].as_py()
                         values.append(f"{k}{_value(chunks[i].as_py(), w) if k == _NUM else w}")
                 slots = "\x1f".join(values)
-            if (key := (int(row[p]), int(h[p]), slots)) not in seen:
+            if (key := (int(row[p]), int(h[p]), slots and p)) not in seen:
                 seen.add(key)
                 yield key[0], int(p - first[row[p]]), key[1], slots
 
@@ -204,17 +205,34 @@ def _bitmap(windows: DataFrame) -> bytes:
 
 
 def _consistent(pdf):
-    """One (document, item): windows whose slots agree with the likeliest value of each slot."""
+    """One (document, item): windows whose slots agree with the likeliest value of each slot in the best occurrence."""
     import pandas as pd
+    from bisect import bisect_left, bisect_right
     from collections import Counter, defaultdict
 
-    votes = defaultdict(Counter)
-    rows = [(p, None if a is None else list(zip(a.split("\x1f"), b.split("\x1f"), strict=False))) for p, a, b in zip(pdf["i_pos"], pdf["i_slots"], pdf["slots"], strict=True)]
-    for _, pairs in rows:
-        for a, b in pairs or ():
-            votes[a][b] += 1
-    best = {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
-    kept = {p for p, pairs in rows if pairs is None or all(best[a] == b for a, b in pairs)}
+    literal, rows = set(), []
+    for at, p, a, b in zip(pdf["pos"], pdf["i_pos"], pdf["i_slots"], pdf["slots"], strict=True):
+        if a is None:
+            literal.add(p)
+        else:
+            rows.append((at - p, p, list(zip(a.split("\x1f"), b.split("\x1f"), strict=False))))
+    rows.sort(key=lambda r: r[0])
+    shifts = [r[0] for r in rows]
+    reach = (int(pdf["windows"].iloc[0]) + 3) // 2  # less than how far apart two occurrences are
+
+    def agreeing(part, shift):
+        votes = defaultdict(Counter)
+        for d, _, pairs in part:
+            for a, b in pairs:
+                votes[a][b] += 1_000_000 if d == shift else 1
+        best = {a: min(c, key=lambda b: (-c[b], b)) for a, c in votes.items()}
+        return literal | {p for _, p, pairs in part if all(best[a] == b for a, b in pairs)}
+
+    # The whole document is one more group: an item may be spread over it.
+    kept = agreeing(rows, None)
+    for shift in sorted(set(shifts)):
+        near = agreeing(rows[bisect_left(shifts, shift - reach) : bisect_right(shifts, shift + reach)], shift)
+        kept = max(kept, near, key=len)
     first = pdf.iloc[0]
     return pd.DataFrame({"doc_id": [first["doc_id"]], "text_hash": [first["text_hash"]], "item_id": [first["i_item"]], "windows": [first["windows"]], "matched": [len(kept)]}).astype({"doc_id": "Int64"})
 
@@ -231,7 +249,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     windows = _scan_frame(rows, ["doc_id", "text_hash"], bitmap)
     side = items.select(F.col("hash").alias("i_hash"), F.col("item_id").alias("i_item"), F.col("pos").alias("i_pos"), F.col("slots").alias("i_slots"), "windows")
-    met = windows.join(side, (F.col("hash") == F.col("i_hash")) & (F.col("slots").isNull() == F.col("i_slots").isNull())).select("doc_id", "text_hash", "slots", "i_item", "i_pos", "i_slots", "windows")
+    met = windows.join(side, (F.col("hash") == F.col("i_hash")) & (F.col("slots").isNull() == F.col("i_slots").isNull())).select("doc_id", "text_hash", "pos", "slots", "i_item", "i_pos", "i_slots", "windows")
     met = materialise(met, "window-matches")
     tally = met.groupBy("doc_id", "text_hash", "i_item").agg(F.max("windows").alias("windows"), F.size(F.collect_set(F.when(F.col("slots").isNull(), F.col("i_pos")))).alias("literal"), F.size(F.collect_set("i_pos")).alias("any"))
     enough = lambda c: F.col(c) >= SIMILARITY * F.col("windows")
