@@ -91,3 +91,21 @@ def test_redact(spark, no_documents):
     assert out.columns == df.columns
     assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == [("1", "write to [EMAIL], or [PHONE]."), ("2", "None"), ("3", "nothing"), ("4", "nothing"), ("None", "\U0001f600 at [IP]")]
     assert pii.redact(no_documents).columns == no_documents.columns
+
+
+def test_discovery_takes_runs_hops_and_rounds(spark):
+    good = ["4111111111111111", "5500005555555559", "340000000000009", "6011000000000004", "4012888888881881"]
+    bad = [f"41111111111{i:02}112" for i in range(20)]
+    bad = [b for b in bad if not luhn(b)][:10]
+    # Two thirds of the identifiers fail Luhn, so two rounds do not reach the confidence.
+    rows = [(i, f"w{chr(97 + i)} said my card number {c} is, vv and more") for i, c in enumerate(good + bad)]
+    rows += [(100, "hm said my card number 4111 1111 1111 1112, ok")]
+    # Instances of the first pattern support a second one that no base seed has.
+    rows += [(200 + i, f"we then charged plastic {c} twice") for i, c in enumerate(bad[:4])] + [(300, "they charged plastic 4222222222222222 now")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_pii(frame(spark, rows)).collect()}
+    text = dict(rows)
+    at = text[100].index("4111")
+    assert got[100] == [(at, 2, at + 19)]
+    assert all(len(got[i]) == 1 for i in range(15)) and not luhn("4222222222222222")
+    at = text[300].index("4222")
+    assert got[300] == [(at, 2, at + 16)]

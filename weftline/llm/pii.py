@@ -5,8 +5,8 @@ linear time on any text: possessive, and tried only where a match can begin. Pos
 between matches. The base spans seed the extraction: each mention, a base span or another identifier-like word, is an
 instance, the words around it make two lexical patterns, and patterns and instances form a graph. A pattern's confidence
 for a kind is the mean confidence of its instances, an instance's that of not being missed by all of its patterns;
-``ROUNDS`` rounds spread confidence from the seeds. Patterns with at least ``SUPPORT`` different seeds of a kind and a
-confidence of ``CONFIDENT`` name the kind of further mentions that have its shape.
+rounds spread confidence from the seeds to instances of the kind's shape until no score grows by ``SETTLED``. Patterns with
+at least ``SUPPORT`` different seeds or confident instances of a kind and a confidence of ``CONFIDENT`` name the kind of further mentions that have its shape.
 
 Defined cases: a null text is empty, and an empty text has no spans; equal rows get equal results, and rows that share
 only a doc_id are judged apart; a null doc_id is kept; an empty table gives no rows; texts of any length are read whole;
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from weftline.llm.keys import join_keys
 from weftline.storage import materialise
 
-ROUNDS, SUPPORT, CONFIDENT = 2, 3, 0.6
+SETTLED, SUPPORT, CONFIDENT = 0.001, 3, 0.6
 KINDS = ("email", "ip", "card", "phone")
 
 # The stated patterns; \G lets a match begin where the one before ended, else it begins at the start of a run.
@@ -34,6 +34,9 @@ _PATTERN = {
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 # A word that holds a digit or an at sign.
 _CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# Several words of digits and the base patterns' separators with single spaces between them.
+_RUN = r"(?<!\S)[+(]*+[0-9][0-9().-]*+(?: [(]?[0-9][0-9().-]*+)++"
+SHORTEST = 7  # characters that a mention of any kind's shape has
 
 
 def _luhn(digits: Column) -> Column:
@@ -86,8 +89,12 @@ def mentions(docs: DataFrame) -> DataFrame:
         return F.when(may, F.transform(kept, lambda x: _mention(x, F.lit(i)))).otherwise(none)
 
     found = [of_kind(i, kind) for i, kind in enumerate(KINDS)]
-    other = F.transform(_matches(F.col("text"), _CANDIDATE), lambda x: _mention(x, F.lit(None)))
-    rows = rows.withColumn("digit", digit).select("doc_id", "text_hash", F.array_sort(F.concat(*found)).alias("base"), F.when(F.col("digit") | F.col("text").contains("@"), other).otherwise(none).alias("other"))
+    words = F.transform(_matches(F.col("text"), _CANDIDATE), lambda x: _mention(x, F.lit(None)))
+    runs = F.transform(_matches(F.col("text"), _RUN), lambda x: _mention(x, F.lit(None)))
+    rows = rows.withColumn("digit", digit).select("doc_id", "text_hash", F.array_sort(F.concat(*found)).alias("base"), F.when(F.col("digit") | F.col("text").contains("@"), words).otherwise(none).alias("words"), F.when(F.col("digit"), runs).otherwise(none).alias("runs"))
+    # A run's words are mentions too where they are long enough for any shape.
+    apart = F.filter("words", lambda x: (F.length(x["token"]) >= SHORTEST) | ~F.exists("runs", lambda r: (r["start"] < x["end"]) & (x["start"] < r["end"])))
+    rows = rows.select("doc_id", "text_hash", "base", F.concat(apart, F.col("runs")).alias("other"))
     free = F.filter("other", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return rows.select("doc_id", "text_hash", F.col("base").cast(_MENTIONS).alias("base"), free.cast(_MENTIONS).alias("other"))
 
@@ -109,7 +116,7 @@ def _shaped(kind: Column, token: Column) -> Column:
         F.when(kind == 0, token.rlike(r"^\S+@\S+$"))
         .when(kind == 1, token.rlike(r"^[0-9a-fA-F]+([.:][0-9a-fA-F]*){3,}$"))
         .when(kind == 2, (n >= 12) & (n <= 19) & token.rlike(r"^[0-9 -]+$"))
-        .when(kind == 3, (n >= 7) & (n <= 15) & token.rlike(r"^[+(]?[0-9][().0-9-]+[0-9]$"))
+        .when(kind == 3, (n >= 7) & (n <= 15) & token.rlike(r"^[+(]*[0-9][ ().0-9-]+[0-9]$"))
         .otherwise(False)
     )
 
@@ -121,17 +128,22 @@ def discovered(found: DataFrame) -> DataFrame:
     edges = materialise(lexical.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")), "pii-edges")
     degree = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     seeds = edges.filter("seed is not null").select("instance", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
-    support = edges.filter("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("seeds"))
-    now = seeds
-    for i in range(ROUNDS):
+    now, sums = seeds, None
+    while True:
         side = now.select(F.col("instance").alias("i"), "kind", "score")
-        total = edges.join(side, F.col("instance") == F.col("i")).groupBy("pattern", "kind").agg(F.sum("score").alias("total"))
-        scored = total.join(degree.withColumnRenamed("pattern", "p"), F.col("pattern") == F.col("p")).join(support.select(F.col("pattern").alias("sp"), F.col("kind").alias("sk"), "seeds"), (F.col("pattern") == F.col("sp")) & (F.col("kind") == F.col("sk")))
-        patterns = scored.filter(F.col("seeds") >= SUPPORT).select("pattern", "kind", F.least(F.lit(1.0), F.col("total") / (F.col("n") + 1)).alias("score"))
+        confident = F.sum(F.when(F.col("score") >= CONFIDENT, 1).otherwise(0)).alias("support")
+        total = edges.join(side, F.col("instance") == F.col("i")).groupBy("pattern", "kind").agg(F.sum("score").alias("total"), confident)
+        scored = total.filter(F.col("support") >= SUPPORT).join(degree.withColumnRenamed("pattern", "p"), F.col("pattern") == F.col("p"))
+        patterns = scored.select("pattern", "kind", F.least(F.lit(1.0), F.col("total") / (F.col("n") + 1)).alias("score"))
         patterns = materialise(patterns, "pii-patterns")
-        if i + 1 < ROUNDS:
-            missed = edges.filter("seed is null").join(patterns.select(F.col("pattern").alias("p"), "kind", "score"), F.col("pattern") == F.col("p")).groupBy("instance", "kind").agg(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))).alias("log"))
-            now = seeds.union(missed.select("instance", "kind", 1 - F.exp("log")))
+        # Scores only grow from round to round, so their sum and number say whether any still does.
+        r = patterns.agg(F.count("*").alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("s")).first()
+        if sums is not None and r["n"] == sums[0] and r["s"] - sums[1] < SETTLED or not r["n"]:
+            break
+        sums = (r["n"], r["s"])
+        missed = edges.filter("seed is null").join(patterns.select(F.col("pattern").alias("p"), "kind", "score"), F.col("pattern") == F.col("p")).filter(_shaped(F.col("kind"), F.col("instance")))
+        missed = missed.groupBy("instance", "kind").agg(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))).alias("log"))
+        now = seeds.union(missed.select("instance", "kind", 1 - F.exp("log")))
     sure = patterns.filter(F.col("score") >= CONFIDENT).select(F.col("pattern").alias("p"), F.col("kind").alias("k"), "score")
     named = lexical.filter("kind is null").join(sure, F.col("pattern") == F.col("p")).select("doc_id", "text_hash", "start", "end", "k", "score", F.regexp_replace("token", r"^[^\w+(]+|[^\w]+$", "").alias("core"), "token")
     named = named.filter(_shaped(F.col("k"), F.col("core")) & (F.col("core") != ""))
