@@ -69,6 +69,28 @@ def test_head_does_not_change_the_score(spark, monkeypatch):
     assert got[1] == pytest.approx(got[0], abs=1e-6) and got[2] == pytest.approx(got[0], abs=1e-6)
 
 
+def test_long_words_are_scored_like_others(spark, monkeypatch):
+    """A word of 100 bytes in every text: its bytes and the head change nothing."""
+    monkeypatch.setattr(lm, "STEPS", 5)
+    docs = spark.createDataFrame([(i, f"{'long' * 25} some words {i % 7} {'rare' * 30}{i}") for i in range(120)], "doc_id long, text string")
+    got = []
+    for head, size in ((200_000, 64), (200_000, 1000), (0, 0)):
+        monkeypatch.setattr(lm, "HEAD", head)
+        monkeypatch.setattr(lm, "HEAD_BYTES", size)
+        rows = lm.score_documents(docs).collect()
+        check(docs.collect(), rows)
+        got.append([r.score for r in sorted(rows)])
+    assert got[1] == pytest.approx(got[0], abs=1e-6) and got[2] == pytest.approx(got[0], abs=1e-6)
+    counts = lm.word_counts(docs)
+    assert b"long" * 25 in [bytes(r["word"]) for r in lm.head_words(counts, 1000).collect()]
+
+
+def test_repeated_ids_give_one_sample(spark):
+    rows = [(i % 3, f"text number {i} of an id") for i in range(30)]
+    a, b = (lm.sample_windows(spark.createDataFrame(x, "doc_id long, text string").repartition(3), default_path()) for x in (rows, rows[::-1]))
+    assert len(a) and a.tolist() == b.tolist()
+
+
 def test_odd_documents(spark, odd_documents, no_documents):
     check(odd_documents.collect(), lm.score_documents(odd_documents).collect())
     assert lm.score_documents(no_documents).collect() == []
@@ -82,7 +104,29 @@ def scorer():
     counts = np.bincount(np.random.default_rng(0).zipf(1.3, 5000) % 50257, minlength=50257)
     v = lm.Vocabulary.of(counts, tok.spaced)
     pairs = np.random.default_rng(1).integers(0, 4, (v.inputs, v.inputs)) * (np.random.default_rng(2).random((v.inputs, v.inputs)) < 0.01)
-    return lm.Scorer(default_path(), v, lm.Tables.of(v, pairs, counts, 7), lm.init(v), {b"the": 5, b"of": 2}, 3, 10, 3)
+    return lm.Scorer(default_path(), v, lm.Tables.of(v, pairs, counts, 7), lm.init(v), (pa.array([b"the", b"of"], pa.binary()), np.array([5, 2])), 3, 10, 3)
+
+
+def plain_hidden(m, x):
+    """One window, place by place."""
+    h0 = m["e"][x].astype(float) + m["p"]
+    q, k, v = np.split(h0 @ m["qkv"], 3, axis=1)
+    out = []
+    for i in range(len(x)):
+        a = np.exp(k[: i + 1] @ q[i] / math.sqrt(lm.WIDTH))
+        h = h0[i] + (a @ v[: i + 1] / a.sum()) @ m["o"]
+        out.append(h + np.maximum(h @ m["u"], 0) @ m["d"])
+    return np.array(out)
+
+
+def test_hidden_states_against_a_plain_loop(scorer):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, scorer.vocabulary.inputs, (3, lm.WINDOW))
+    for scale in (1, 30):  # scores so large that they need a shift
+        m = scorer.weights | {"qkv": scorer.weights["qkv"] * np.float32(scale)}
+        want = np.stack([plain_hidden(m, r) for r in x])
+        for first in (0, lm.OVERLAP):
+            assert lm.Hidden(m)(x, first) == pytest.approx(want[:, first:], abs=2e-2 if scale > 1 else 1e-4)
 
 
 def test_classes_are_distributions(scorer):
@@ -116,7 +160,7 @@ def test_positions_are_causal_and_scored_once(scorer):
             x = np.zeros(lm.WINDOW, int)
             part = given[start : start + lm.WINDOW]
             x[: len(part)] = part
-            h = lm.hidden(m, x[None])[0]
+            h = plain_hidden(m, x)
             z = h @ m["out"] + m["b"] + np.concatenate([np.tile(t.first, (lm.WINDOW, 1)), t.prior[x]], 1)
             go = (h @ m["s"])[:, 0] + t.space[x]
             for i in range(done - start, len(part)):

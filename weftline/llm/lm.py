@@ -3,19 +3,20 @@
 What the corpus gives grows with it: exact counts of all words of all training texts, and from them exact counts of all
 subword ids and of pairs of them inside words. The counts fix the base score, the ids that are predicted one by one, the
 distribution inside the classes that hold the other ids, a prior of the next class given the last subword, and a unigram
-over all training words. The attention model, one layer with a feed-forward layer
-after it, corrects that prior from the subwords before in its window. Its weights start from
-a fit on a sample (``SAMPLE_DOCS`` texts, at most ``SAMPLE_WINDOWS`` windows of each) and are then trained on every window
-of every training text: each task takes Adam steps over all its windows, and the weights that tasks end with are averaged
-by their windows (``ROUNDS`` rounds), so steps grow with the corpus.
+over all training words. The attention model, one layer with a feed-forward layer after it, corrects that prior from the
+subwords before in its window. Its weights start from a fit on a sample (``SAMPLE_DOCS`` texts, at most
+``SAMPLE_WINDOWS`` windows of each) and are then trained on every window of every training text: each task takes Adam
+steps over all its windows, and the weights that tasks end with are averaged by their windows (``ROUNDS`` rounds), so
+steps grow with the corpus. The same rows in the same partitions give the same weights.
 
 Whole texts are scored in windows of ``WINDOW`` positions that overlap by ``OVERLAP``; each position is scored once, in
 the first window that holds it, under a causal mask, many windows at a time: after a text's first window it sees the
 ``OVERLAP`` subwords before it at least and WINDOW - 1 at most. A word's probability is that of its subwords
 and of its end; it is mixed with the word unigram (weight ``UNIGRAM``).
 
-Words outside a broadcast head of at most ``HEAD`` words meet their counts, for the base score and for the unigram, in a
-join; the head takes all the hot keys out of that join and changes no score.
+Words outside a broadcast head meet their counts, for the base score and for the unigram, in a join. The head holds at
+most ``HEAD`` words of at most ``HEAD_BYTES`` bytes, and whatever the length the words, a thousand at most, that are a
+thousandth of all tokens: so it takes all the hot keys out of that join. It changes no score.
 
 Defined cases: null and empty texts are one end token; rows that share a doc_id are texts of their own; a null doc_id is
 never held out; with no training text the base has N = V = 0 and the model is uniform; an empty table gives no rows;
@@ -260,68 +261,109 @@ def init(v: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
 _MASK = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-def hidden(m: dict, x: np.ndarray, keep: bool = False):
-    """Hidden states of windows of input numbers (n x WINDOW)."""
-    n, d = x.shape[0], WIDTH
-    h0 = m["e"][x] + m["p"]
-    qkv = (h0.reshape(-1, d) @ m["qkv"]).reshape(n, WINDOW, 3 * d)
-    q, k, v = qkv[..., :d], qkv[..., d : 2 * d], qkv[..., 2 * d :]
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= np.float32(d**-0.5)
-    # Without taking off a maximum first, which is done over only where that overflows.
-    with np.errstate(over="ignore"):
-        e = np.exp(s) if keep or s.max() > MOST else np.exp(s, out=s)
-    if e is not s:
-        e = np.exp(np.minimum(s - np.where(_MASK > 0, s, -np.inf).max(2, keepdims=True), 0))
-    s = e
-    s *= _MASK
-    total = s @ np.ones((WINDOW, 1), s.dtype)
-    if keep:
-        s /= total
-        a = np.matmul(s, v)
-    else:
-        a = np.matmul(s, v)
-        a /= total
-    h1 = h0 + (a.reshape(-1, d) @ m["o"]).reshape(n, WINDOW, d)
-    u = np.maximum(h1.reshape(-1, d) @ m["u"], 0)
-    h = h1 + (u @ m["d"]).reshape(n, WINDOW, d)
-    return (h, (h0, q, k, v, s, a, h1, u)) if keep else h
+def _weights(s: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Exponentials of masked scores, in place. A maximum is taken off first only where they would overflow."""
+    if len(s) and s.max() > MOST:
+        s -= np.where(mask > 0, s, -np.inf).max(2, keepdims=True)
+        np.minimum(s, 0, out=s)
+    np.exp(s, out=s)
+    s *= mask
+    return s
 
 
 def gradients(m: dict, v: Vocabulary, t: Tables, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
-    """Mean loss over weighted positions, and its gradients: the side of every class ``y``, and the class within it."""
+    """Mean loss over weighted positions of windows of input numbers (n x WINDOW), and its gradients.
+
+    A position's loss is that of its side and of its class ``y`` within that side.
+    """
     n, d = x.shape[0], WIDTH
-    h, (h0, q, k, vv, s, a, h1, u) = hidden(m, x, True)
-    flat, x1, y = h.reshape(-1, d), x.reshape(-1), y.reshape(-1)
-    rows, w = np.arange(len(flat)), (weight / max(weight.sum(), 1)).reshape(-1).astype(np.float32)
+    x, y = x.reshape(-1), y.reshape(-1)
+    h0 = (m["e"].take(x, 0).reshape(n, WINDOW, d) + m["p"]).reshape(-1, d)
+    qkv = h0 @ m["qkv"]
+    q, k, vv = (np.ascontiguousarray(qkv[:, i * d : (i + 1) * d]).reshape(n, WINDOW, d) for i in range(3))
+    q *= np.float32(d**-0.5)
+    s = _weights(np.matmul(q, k.transpose(0, 2, 1)), _MASK)
+    s /= s @ np.ones((WINDOW, 1), s.dtype)
+    a = np.matmul(s, vv).reshape(-1, d)
+    h1 = h0 + a @ m["o"]
+    u = np.maximum(h1 @ m["u"], 0)
+    h = h1 + u @ m["d"]
+    w = (weight / max(weight.sum(), 1)).reshape(-1).astype(np.float32)
     at_space = y < v.inner
-    p = flat @ m["out"] + m["b"]
-    p[:, : v.inner] += t.first
-    p[:, v.inner :] += t.prior[x1]
-    p = np.exp(p - p.max(1, keepdims=True)) * ((np.arange(v.classes) < v.inner)[None, :] == at_space[:, None])
-    p /= p.sum(1, keepdims=True) + 1e-30
-    side = 1 / (1 + np.exp(-np.clip((flat @ m["s"])[:, 0] + t.space[x1], -30, 30)))
-    loss = float(-((np.log(p[rows, y] + 1e-30) + np.log(np.where(at_space, side, 1 - side) + 1e-30)) * w).sum())
-    p[rows, y] -= 1
-    p *= w[:, None]
-    ds = ((side - at_space) * w)[:, None].astype(p.dtype)
-    g = {"out": flat.T @ p, "b": p.sum(0), "s": flat.T @ ds}
-    dh = p @ m["out"].T + ds @ m["s"].T
+    side = 1 / (1 + np.exp(-np.clip((h @ m["s"])[:, 0] + t.space[x], -30, 30)))
+    loss = -np.dot(np.log(np.where(at_space, side, 1 - side) + 1e-30), w)
+    ds = ((side - at_space) * w)[:, None].astype(h.dtype)
+    g = {"out": np.zeros_like(m["out"]), "b": np.zeros_like(m["b"]), "s": h.T @ ds}
+    dh = ds @ m["s"].T
+    # Classes of one side only are asked for at a position.
+    for which, lo, hi in ((at_space, 0, v.inner), (~at_space, v.inner, v.classes)):
+        rows = np.flatnonzero(which & (w > 0))
+        if not len(rows):
+            continue
+        hr, out = h.take(rows, 0), np.ascontiguousarray(m["out"][:, lo:hi])
+        p = hr @ out
+        p += m["b"][lo:hi]
+        p += t.first if lo == 0 else t.prior.take(x[rows], 0)
+        if p.max() > MOST:
+            p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
+        total, at = p @ np.ones((hi - lo, 1), p.dtype), (np.arange(len(rows)), y[rows] - lo)
+        loss -= np.dot(np.log(p[at] / total[:, 0] + 1e-30), w[rows])
+        p *= w[rows, None] / total
+        p[at] -= w[rows]
+        g["out"][:, lo:hi], g["b"][lo:hi] = hr.T @ p, np.ones(len(rows), p.dtype) @ p
+        dh[rows] += p @ out.T
     g["d"] = u.T @ dh
-    du = (dh @ m["d"].T) * (u > 0)
-    g["u"] = h1.reshape(-1, d).T @ du
+    du = dh @ m["d"].T
+    du *= u > 0
+    g["u"] = h1.T @ du
     dh += du @ m["u"].T
-    g["o"] = a.reshape(-1, d).T @ dh
-    da = (dh @ m["o"].T).reshape(n, WINDOW, d)
+    g["o"] = a.T @ dh
+    da = dh @ m["o"].T
+    # What a row's weights share is the product of its output and that output's gradient.
+    shared = np.matmul((da * a).reshape(n, WINDOW, d), np.ones((d, 1), h.dtype))
+    da = da.reshape(n, WINDOW, d)
     ds = np.matmul(da, vv.transpose(0, 2, 1))
-    ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.float32(d**-0.5)
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), da)], 2).reshape(-1, 3 * d)
-    g["qkv"] = h0.reshape(-1, d).T @ dqkv
-    dh0 = dh + dqkv @ m["qkv"].T
-    g["p"] = dh0.reshape(n, WINDOW, d).sum(0)
-    g["e"] = np.zeros_like(m["e"])
-    np.add.at(g["e"], x.reshape(-1), dh0)
-    return loss, g
+    ds -= shared
+    ds *= s
+    dqkv = np.empty_like(qkv)
+    dqkv[:, :d] = np.matmul(ds, k).reshape(-1, d)
+    dqkv[:, :d] *= np.float32(d**-0.5)
+    dqkv[:, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, d)
+    dqkv[:, 2 * d :] = np.matmul(s.transpose(0, 2, 1), da).reshape(-1, d)
+    g["qkv"] = h0.T @ dqkv
+    dh += dqkv @ m["qkv"].T
+    g["p"] = dh.reshape(n, WINDOW, d).sum(0)
+    g["e"] = np.bincount((x[:, None] * d + np.arange(d)).reshape(-1), weights=dh.reshape(-1), minlength=m["e"].size).astype(m["e"].dtype).reshape(m["e"].shape)
+    return float(loss), g
+
+
+class Hidden:
+    """Hidden states for scoring. Queries, keys and values are sums of a part of the input number and one of the place."""
+
+    def __init__(self, m: dict):
+        d = WIDTH
+        parts = [m["qkv"][:, :d] * np.float32(d**-0.5), m["qkv"][:, d : 2 * d], m["qkv"][:, 2 * d :] @ m["o"]]
+        asks, holds = np.concatenate([parts[0], np.eye(d, dtype=m["e"].dtype)], 1), np.concatenate(parts[1:], 1)
+        self.asks, self.holds = (m["e"] @ asks, m["p"] @ asks), (m["e"] @ holds, m["p"] @ holds)
+        self.up, self.down = m["u"], m["d"]
+
+    def __call__(self, x: np.ndarray, first: int = 0) -> np.ndarray:
+        """Of the places from ``first`` on of windows of input numbers (n x WINDOW): n x (WINDOW - first) x WIDTH."""
+        n, d, rows = x.shape[0], WIDTH, WINDOW - first
+        asks = self.asks[0].take(x[:, first:], 0)
+        asks += self.asks[1][first:]
+        holds = self.holds[0].take(x, 0)
+        holds += self.holds[1]
+        s = _weights(np.matmul(asks[..., :d], holds[..., :d].transpose(0, 2, 1)), _MASK[first:])
+        h = np.matmul(s, holds[..., d:])
+        h /= s @ np.ones((WINDOW, 1), s.dtype)
+        h += asks[..., d:]
+        h = h.reshape(-1, d)
+        u = h @ self.up
+        np.maximum(u, 0, out=u)
+        h += u @ self.down
+        return h.reshape(n, rows, d)
 
 
 def fit(v: Vocabulary, t: Tables, windows: np.ndarray, steps: int | None = None, seed: int = 9) -> dict:
@@ -363,7 +405,7 @@ class Scorer:
     vocabulary: Vocabulary
     tables: Tables
     weights: dict
-    head: dict[bytes, int]
+    head: tuple[pa.Array, np.ndarray]  # words, and how often each occurs
     ends: int  # training texts, each of which has one end
     total: int  # N
     distinct: int  # V
@@ -392,39 +434,38 @@ class Scorer:
         begin, end = start[text] + nth * step, start[text + 1]
         lp, side = np.zeros(start[-1]), np.zeros(start[-1])
         within = np.arange(WINDOW)
+        states = Hidden(m)
         first, inner = m["b"][: v.inner] + t.first, t.prior + m["b"][v.inner :]
         out = np.ascontiguousarray(m["out"][:, : v.inner]), np.ascontiguousarray(m["out"][:, v.inner :])
         ones = [np.ones((o.shape[1], 1), np.float32) for o in out]
-        for lo in range(0, len(text), BATCH):
-            pos = begin[lo : lo + BATCH, None] + within
-            ok = pos < end[lo : lo + BATCH, None]
-            h = hidden(m, given[np.where(ok, pos, 0)]).reshape(-1, WIDTH)
-            ok &= (within >= OVERLAP) | (nth[lo : lo + BATCH, None] == 0)
-            go = (h @ m["s"])[:, 0]
-            pos, ok = pos.reshape(-1), ok.reshape(-1)
-            stands = asked[np.where(ok, pos, 0)] < v.inner
-            for which, o, one in ((ok & stands, out[0], ones[0]), (ok & ~stands, out[1], ones[1])):
-                rows = np.flatnonzero(which)
-                q = pos[rows]
-                before = given[q]
-                side[q] = go[rows] + t.space[before]
-                z = h[rows] @ o
-                z += first if o is out[0] else inner[before]
-                if len(z) and z.max() > MOST:
-                    z -= z.max(1, keepdims=True)
-                picked = z[np.arange(len(q)), asked[q] - (0 if o is out[0] else v.inner)]
-                np.exp(z, out=z)
-                lp[q] = picked - np.log((z @ one)[:, 0])
+        # The part of a window that the one before has scored only gives keys and values.
+        for known, windows in ((0, np.flatnonzero(nth == 0)), (OVERLAP, np.flatnonzero(nth > 0))):
+            for lo in range(0, len(windows), BATCH):
+                some = windows[lo : lo + BATCH]
+                pos = begin[some, None] + within
+                ok = pos < end[some, None]
+                pos[~ok] = 0
+                h = states(given[pos], known).reshape(-1, WIDTH)
+                pos, ok = pos[:, known:].reshape(-1), ok[:, known:].reshape(-1)
+                go, stands = (h @ m["s"])[:, 0], asked[pos] < v.inner
+                for which, o, one in ((ok & stands, out[0], ones[0]), (ok & ~stands, out[1], ones[1])):
+                    rows = np.flatnonzero(which)
+                    q = pos[rows]
+                    before = given[q]
+                    side[q] = go[rows] + t.space[before]
+                    z = h.take(rows, 0) @ o
+                    z += first if o is out[0] else inner.take(before, 0)
+                    if len(z) and z.max() > MOST:
+                        z -= z.max(1, keepdims=True)
+                    picked = z[np.arange(len(q)), asked[q] - (0 if o is out[0] else v.inner)]
+                    np.exp(z, out=z)
+                    lp[q] = picked - np.log((z @ one)[:, 0])
         return lp + inside, -np.logaddexp(0, -side), -np.logaddexp(0, side)
 
     def texts(self, texts: pa.Array) -> dict[str, list]:
         """Scores of a string column, and what its words outside the head still need for the base score."""
         index, words, at = words_of(texts)
-        held, starts, sizes = encoder(self.tokenizer, MEMO).words([w.decode() for w in words])
-        size = sizes[index]
-        stop = np.cumsum(size)
-        ids = held[np.repeat(starts[index] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)] if len(index) else held[:0]
-        word_at = np.concatenate([[0], stop])
+        ids, word_at = subwords(index, at, *encoder(self.tokenizer, MEMO).words([w.decode() for w in words]))
         lp, space, on = self.positions(ids.astype(np.int64), word_at[at])
         rows = len(texts)
         row = np.repeat(np.arange(rows), np.diff(at))
@@ -434,7 +475,8 @@ class Scorer:
         model = run[b] - run[a] - on[a] + space[b]
         ending = lp[word_at[at[1:]] + np.arange(rows)]
 
-        known = np.array([self.head.get(w, 0) for w in words], np.int64)
+        place = pc.index_in(pa.array(words, pa.binary()), value_set=self.head[0])
+        known = np.append(self.head[1], 0)[pc.fill_null(place, len(self.head[1])).to_numpy(zero_copy_only=False)]
         share, got = known[index] / max(self.total, 1), known[index] > 0
         mixed = np.logaddexp(model + np.log(1 - UNIGRAM), np.log(UNIGRAM) + np.log(np.maximum(share, 1e-300)))
         tail_end = np.log(UNIGRAM) + np.log(max(self.ends / max(self.total, 1), 1e-300))
@@ -460,6 +502,13 @@ class Scorer:
 _SCORED = "n_tokens long, head_known long, head_log double, floor double, score double, tail array<struct<word: binary, times: bigint>>, models array<array<double>>"
 
 
+def subwords(index: np.ndarray, at: np.ndarray, held: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts in a row, where each word's begin, and last their number): word i of a block has ``held[starts[i]:][:sizes[i]]``."""
+    size = sizes[index]
+    word_at = np.concatenate([[0], np.cumsum(size)])
+    return held[np.repeat(starts[index] - word_at[:-1], size) + np.arange(word_at[-1])] if len(index) else held[:0], word_at
+
+
 def windows_of(line: np.ndarray) -> np.ndarray:
     """All windows (n x WINDOW + 1) of a text's ids between -1 and -2: each id but the first is asked for once."""
     n = max(1, -(-(len(line) - 1) // WINDOW))
@@ -468,6 +517,17 @@ def windows_of(line: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[::WINDOW]
 
 
+def text_windows(texts: pa.Array, tokenizer: str):
+    """The windows of each text of a string column."""
+    index, words, at = words_of(texts)
+    ids, word_at = subwords(index, at, *encoder(tokenizer, MEMO).words([w.decode() for w in words]))
+    ends = word_at[at]
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        line = np.empty(b - a + 2, np.int32)
+        line[0], line[1:-1], line[-1] = -1, ids[a:b], -2
+        yield windows_of(line)
+
+
 def train(docs: DataFrame, tokenizer: str, v: Vocabulary, t: Tables, m: dict) -> tuple[dict, int]:
     """Weights after ROUNDS passes over all windows of all training texts from ``m``, and how many windows a pass has."""
     rows, spark = docs.filter(_training()).select(F.col("text").cast("string").alias("text")), docs.sparkSession
@@ -487,10 +547,7 @@ def train(docs: DataFrame, tokenizer: str, v: Vocabulary, t: Tables, m: dict) ->
             waiting, size = [], 0
             for batch in grouped(batches, 0, 1_000_000):
                 for lo, hi in blocks(batch.column(0), 4096, 1_000_000):
-                    index, words, at = words_of(batch.column(0)[lo:hi])
-                    ids, starts, sizes = encoder(tokenizer, MEMO).words([w.decode() for w in words])
-                    for a, b in zip(at[:-1], at[1:], strict=True):
-                        cut = windows_of(np.concatenate([[-1], *(ids[starts[i] : starts[i] + sizes[i]] for i in index[a:b]), [-2]]))
+                    for cut in text_windows(batch.column(0)[lo:hi], tokenizer):
                         waiting.append(cut)
                         size += len(cut)
                         if size >= 4096:
@@ -526,15 +583,12 @@ def sample_windows(docs: DataFrame, tokenizer: str) -> np.ndarray:
         for batch in batches:
             out = []
             for lo, hi in blocks(batch.column(1)):
-                index, words, at = words_of(batch.column(1)[lo:hi])
-                held, starts, sizes = encoder(tokenizer).words([w.decode() for w in words])
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    ids = [held[starts[i] : starts[i] + sizes[i]] for i in index[a:b]]
-                    cut = windows_of(np.concatenate([[-1], *ids, [-2]]))
+                for cut in text_windows(batch.column(1)[lo:hi], tokenizer):
                     out += [w.astype("<i4").tobytes() for w in cut[np.unique(np.linspace(0, len(cut) - 1, SAMPLE_WINDOWS).astype(int))]]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["w"])
 
-    met = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("c_id")).select("doc_id", "text").dropDuplicates(["doc_id"])
+    # Of the texts that share an id the one with the least hash.
+    met = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("c_id")).groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
     got = sorted(r[0] for r in met.mapInArrow(per_batch, "w binary").collect())
     return np.frombuffer(b"".join(got), "<i4").reshape(-1, WINDOW + 1)
 
@@ -544,7 +598,8 @@ def build(docs: DataFrame, tokenizer: str | None = None) -> tuple[Scorer, DataFr
     path = tokenizer or default_path()
     counts = materialise(word_counts(docs), "word-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("ends")).first()
-    head = {bytes(r["word"]): r["n"] for r in head_words(counts).toLocalIterator()}
+    most = [(bytes(r["word"]), r["n"]) for r in head_words(counts, sums["n"]).toLocalIterator()]
+    head = pa.array([w for w, _ in most], pa.binary()), np.array([n for _, n in most], np.int64)
     pairs = materialise(subword_pairs(counts, path), "subword-pairs")
     spaced = encoder(path).spaced
     ids = subword_counts(pairs, len(spaced))
@@ -554,17 +609,21 @@ def build(docs: DataFrame, tokenizer: str | None = None) -> tuple[Scorer, DataFr
     return Scorer(path, v, tables, weights, head, sums["ends"], sums["n"], sums["v"]), counts
 
 
-def head_words(counts: DataFrame) -> DataFrame:
-    """At most HEAD of the most frequent words, cut at a count that a histogram of counts gives: nothing is sorted."""
-    words = counts.filter(F.col("word").isNotNull() & (F.octet_length("word") <= HEAD_BYTES))
+def head_words(counts: DataFrame, total: int) -> DataFrame:
+    """At most HEAD of the most frequent words, cut at a count that a histogram of counts gives: nothing is sorted.
+
+    They have at most HEAD_BYTES bytes, but for the words, a thousand at most, that are a thousandth of all tokens each.
+    """
+    words = counts.filter("word is not null")
+    short, hot = F.octet_length("word") <= HEAD_BYTES, F.col("n") >= max(1.0, total / 1000)
     often = F.floor(F.log2("n") * 64).cast("int")
     least, held = None, 0
-    for r in sorted(words.groupBy(often.alias("b")).agg(F.count("*").alias("n")).collect(), reverse=True):
+    for r in sorted(words.filter(short).groupBy(often.alias("b")).agg(F.count("*").alias("n")).collect(), reverse=True):
         held += r["n"]
         if held > HEAD:
             break
         least = r["b"]
-    return words.filter(often >= least) if least is not None else words.limit(0)
+    return words.filter(hot | (short & (often >= least)) if least is not None else hot)
 
 
 def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -575,8 +634,8 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     held = spark.sparkContext.broadcast(scorer)
 
     def per_batch(batches):
-        for batch in grouped(batches, 2, 3_000_000):
-            for lo, hi in blocks(batch.column(2), 4096, 3_000_000):
+        for batch in grouped(batches, 2, 1_500_000):
+            for lo, hi in blocks(batch.column(2), 4096, 1_500_000):
                 part = batch.slice(lo, hi - lo)
                 got = held.value.texts(part.column(2))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *got.values()], names=["row", "doc_id", *got])
