@@ -57,9 +57,9 @@ def test_odd_documents(spark, odd_documents, no_documents):
     assert simhash.near_duplicates(no_documents).collect() == []
 
 
-@pytest.mark.parametrize("tile", [1024, 6])
+@pytest.mark.parametrize("tile", [1024, 40, 4])
 def test_links_connect_what_all_pairs_connect(spark, monkeypatch, tile):
-    """Dense clusters and chains of fingerprints; with small tiles every list is dealt to tiles."""
+    """Dense clusters and chains of fingerprints; with small bounds lists are posted again, and those look neighbours up."""
     monkeypatch.setattr(simhash, "TILE", tile)
     rng, prints = random.Random(3), set()
     for _ in range(12):
@@ -81,14 +81,58 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch, tile):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
-def test_wide_lists_stream(monkeypatch):
+def test_tally():
+    """Shared positional bytes of each pair, against plain Python; a pair within three bits reaches the least number."""
+    rng = random.Random(4)
+    a = [rng.getrandbits(64) for _ in range(400)]
+    b = [x ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(7))) for x in a]
+    got = simhash.tally(np.array(a, np.uint64), np.array(b, np.uint64))
+    assert got.tolist() == [sum(x.to_bytes(8)[i] == y.to_bytes(8)[i] for i in range(8)) for x, y in zip(a, b)]
+    assert all(n >= simhash.LEAST_SHARED for n, x, y in zip(got, a, b) if (x ^ y).bit_count() <= 3)
+
+
+def test_postings_are_eight_and_bring_linked_pairs_together(spark):
+    rng = random.Random(8)
+    a = [rng.getrandbits(64) for _ in range(300)]
+    rows = [(i, x ^ flip) for i, x in enumerate(a) for flip in (0, sum(1 << k for k in rng.sample(range(64), 3)))]
+    df = spark.createDataFrame([(i, int(np.uint64(x).view(np.int64))) for i, x in rows], "pair long, fp long")
+    keys = df.select("pair", "fp", simhash.F.array(*(simhash._posting(i, c) for i, c in enumerate(simhash.POSTED))).alias("keys")).collect()
+    met = {}
+    for r in keys:
+        assert len(set(r["keys"])) == 8
+        met.setdefault(r["pair"], []).append(set(r["keys"]))
+    assert all(x & y for x, y in met.values())
+
+
+def test_flips_connect_what_pairs_connect():
+    rng = np.random.default_rng(2)
+    fp = np.unique(rng.integers(0, 1 << 12, 900).astype(np.uint64) << np.uint64(30) | np.uint64(5 << 50))
+    for values in (fp, np.concatenate([fp, fp | np.uint64(0xFFFF << 10)])):
+        got = brute_components(values.tolist())
+        a, b = simhash._flips(values)
+        label = {x: x for x in values.tolist()}
+        for x, y in zip(a.tolist(), b.tolist()):
+            label[max(x, y)] = min(x, y)
+        groups, want = {}, {}
+        for x in values.tolist():
+            y = x
+            while label[y] != y:
+                y = label[y]
+            groups.setdefault(y, set()).add(x)
+            want.setdefault(got[x], set()).add(x)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_lists_stream():
     import pyarrow as pa
 
-    monkeypatch.setattr(simhash, "TILE", 5)
     keys = [1] * 3 + [2] * 30 + [3] * 2 + [4] * 9 + [5]
     fps = [7 << 40 | i for i in range(len(keys))]
+    got = []
     for step in (1, 4, 45):
         batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + step]), pa.array(fps[i : i + step])], names=["key", "fp"]) for i in range(0, len(keys), step)]
-        rows = [r for b in simhash._link_lists(iter(batches)) for r in b.to_pylist()]
-        assert sorted((r["key"], r["a"]) for r in rows if r["b"] is None) == sorted((k, f) for k, f in zip(keys, fps) if k in (2, 4))
-        assert {f for r in rows if r["b"] is not None for f in (r["a"], r["b"])} == {f for k, f in zip(keys, fps) if k in (1, 3)}
+        got.append({(r["a"], r["b"]) for b in simhash._link_lists(iter(batches)) for r in b.to_pylist()})
+    assert got[0] == got[1] == got[2]
+    key = dict(zip(fps, keys))
+    assert all(key[a] == key[b] for a, b in got[0])
+    assert {key[a] for a, _ in got[0]} == {1, 2, 3, 4}

@@ -1,21 +1,22 @@
 """SimHash near-duplicates through an inverted index over positional bytes, with count filtering.
 
 A fingerprint is eight positional bytes. Two fingerprints that differ in at most three bits share at least FIVE of them,
-so a pair is a candidate only if its tally of shared (position, byte) postings reaches five. Postings are kept on every
-choice of five positions rather than on single ones: a pair lies together in a posting list exactly if its tally reaches
-five, and lists of single bytes, each holding one 256th of all fingerprints, never have to be paired up. Every list is
-verified on the 64 bits and leaves as a spanning forest of its links, not as its pairs.
+so every pair that meets in the index has its shared positional bytes tallied, only pairs whose tally reaches five are
+retained, and those are verified on the 64 bits.
 
-Equal fingerprints are collapsed first, so a group of copies is one entry of the index. A list longer than ``TILE`` is
-not paired in one task: its entries are dealt to tiles and every pair of tiles is a group of its own (a list has five
-fixed bytes, so it can never hold more than 2^24 different fingerprints).
+A list of one byte value would hold one 256th of all fingerprints. Of five shared bytes three at least lie in one half of
+the fingerprint, so a posting holds three bytes of a half: four choices in each half, EIGHT postings a fingerprint.
+Equal fingerprints are collapsed first: a group of copies is one entry. Lists of more than ``TILE`` entries, counted by a
+partial aggregate before anything is gathered, are never paired: their entries are posted again with two more bytes of
+the five positions left (a retained pair shares two of those), and a list that is still longer differs in three bytes
+only, 2^24 values at most, where each entry looks its neighbours up by flipping up to three bits, in linear time. Lists
+leave as links that connect what they connect, not as all their pairs.
 
 Defined cases: a null, empty or blank text has no words and the fingerprint zero, which links like any other; fewer than
 three words are one shingle; rows repeating a doc_id are documents of their own that share the component id rule; a null
 doc_id takes part and is never a component id unless no other doc_id is reachable; an empty table gives no rows; other
 columns are ignored.
 """
-
 from __future__ import annotations
 
 from itertools import combinations
@@ -23,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.tokens import bounded_batches, releasing
@@ -33,8 +34,8 @@ from weftline.storage import materialise, partitions
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Bytes that a pair must share: 8 positions, at most one spoilt by each differing bit.
 LEAST_SHARED = 8 - MAX_BITS
-#: Most fingerprints of one posting list that a task pairs up.
-TILE = 1024
+#: Most fingerprints of one posting list that are paired up, and most lists that a broadcast names.
+TILE, BROADCAST_KEYS = 1024, 200_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -70,94 +71,143 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(releasing(per_batch), "doc_id long, text_hash long, fp long")
 
 
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many positional bytes each pair shares."""
+    x = np.ascontiguousarray(a ^ b)
+    return (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(-1)
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs are retained by their tally and verified."""
+    return (tally(a, b) >= LEAST_SHARED) & (np.bitwise_count(a ^ b) <= MAX_BITS)
+
+
 def _forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is reachable within ``MAX_BITS`` steps in one list, each as (least member, member)."""
-    n, rows = len(fp), 256
+    """Links that join what is reachable within one list, each as (least member, member)."""
+    n, rows = len(fp), 128
     cuts = range(0, n, rows)  # a block of rows at a time: temporaries stay small
-    near = np.concatenate([np.bitwise_count(fp[i : i + rows, None] ^ fp[None, :]) <= MAX_BITS for i in cuts])
-    label, old = np.arange(n, dtype=np.int32), None
+    near = np.concatenate([_linked(*np.broadcast_arrays(fp[i : i + rows, None], fp[None, :])) for i in cuts])
+    return _spanning(fp, lambda old: np.concatenate([np.where(near[i : i + rows], old[None, :], np.int32(n)).min(1) for i in cuts]))
+
+
+def _spanning(fp: np.ndarray, least) -> tuple[np.ndarray, np.ndarray]:
+    """``least`` gives each entry the least label among its neighbours and itself; repeated until no label changes."""
+    label, old = np.arange(len(fp), dtype=np.int32), None
     while old is None or (label != old).any():
         old = label
-        label = np.concatenate([np.where(near[i : i + rows], old[None, :], np.int32(n)).min(1) for i in cuts])
+        label = least(old)
         label = label[label]
-    at = np.flatnonzero(label != np.arange(n))
+    at = np.flatnonzero(label != np.arange(len(fp)))
     return fp[label[at]], fp[at]
 
 
-def _link_lists(batches):
-    """Streams posting lists sorted by key: links of each list, or, of a list beyond TILE, its entries (``b`` is null)."""
-    key, fp, wide = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
+def _flips(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a long list whose entries differ in at most 24 bits: each entry flips up to MAX_BITS of them."""
+    bits = [i for i in range(64) if int(np.bitwise_or.reduce(fp ^ fp[0])) >> i & 1]
+    if len(bits) > 24:
+        # Only where the hashes of two lists collide.
+        high = fp & np.uint64(sum(1 << i for i in bits[:-24]))
+        parts = [_flips(fp[high == x]) for x in np.unique(high)]
+        return tuple(np.concatenate([x[i] for x in parts]) for i in (0, 1))
+    dense = np.zeros(len(fp), np.int32)
+    for k, i in enumerate(bits):
+        dense |= (fp >> np.uint64(i) & np.uint64(1)).astype(np.int32) << k
+    table = np.full(1 << len(bits), -1, np.int32)
+    table[dense] = np.arange(len(fp), dtype=np.int32)
+    masks = [sum(1 << i for i in chosen) for n in range(1, MAX_BITS + 1) for chosen in combinations(range(len(bits)), n)]
+
+    def least(old):
+        label = old.copy()
+        for mask in masks:
+            at = table[dense ^ np.int32(mask)]
+            np.minimum(label, np.where(at >= 0, old[at], label), out=label)
+        return label
+
+    return _spanning(fp, least)
 
-    def row(k, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)) if b is not None else pa.nulls(len(a), pa.int64())], names=["key", "a", "b"])
+
+def _link_lists(batches):
+    """Streams posting lists of at most TILE entries, sorted by key: the links of each list."""
 
     def close(key, fp):
-        """All complete lists."""
+        """All complete lists; those of a few entries together."""
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
         size = np.diff(np.append(cut, len(key)))
-        two = cut[size == 2]
-        a, b = fp[two], fp[two + 1]
-        ok = np.bitwise_count(a ^ b) <= MAX_BITS
-        links = [(a[ok], b[ok])] + [_forest(fp[c : c + n]) for c, n in zip(cut[size > 2], size[size > 2], strict=True)]
-        a, b = (np.concatenate([x[i] for x in links]) for i in (0, 1))
+        links = []
+        for n in np.unique(size[size > 1]).tolist():
+            first = cut[size == n]
+            if n <= 16:
+                i, j = np.triu_indices(n, 1)
+                a, b = fp[first[:, None] + i].reshape(-1), fp[first[:, None] + j].reshape(-1)
+                ok = _linked(a, b)
+                links.append((a[ok], b[ok]))
+            else:
+                links += [_forest(fp[c : c + n]) for c in first.tolist()]
+        a, b = (np.concatenate([x[i] for x in links] or [np.zeros(0, np.uint64)]) for i in (0, 1))
         if len(a):
             a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield row([None] * len(a), np.ascontiguousarray(a), np.ascontiguousarray(b))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
+    key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     for batch in batches:
-        k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        if not len(k):
-            continue
-        if wide is not None:
-            n = int(np.searchsorted(k != wide, True)) if (k != wide).any() else len(k)
-            if n:
-                yield row([wide] * n, f[:n].copy(), None)
-            k, f = k[n:], f[n:]
-            if not len(k):
-                continue
-            wide = None
-        key, fp = np.concatenate([key, k]), np.concatenate([fp, f])
-        last = np.flatnonzero(key != key[-1])
-        last = int(last[-1]) + 1 if len(last) else 0
-        # Lists inside this stretch that are too wide leave as entries; the others are linked here.
-        cut = np.flatnonzero(np.concatenate([[True], key[1:last] != key[: last - 1]])) if last else np.zeros(0, int)
-        size = np.diff(np.append(cut, last))
-        keep = np.ones(last, bool)
-        for c, n in zip(cut[size > TILE], size[size > TILE], strict=True):
-            keep[c : c + n] = False
-            yield row(key[c : c + n], fp[c : c + n].copy(), None)
-        yield from close(key[:last][keep], fp[:last][keep])
-        key, fp = key[last:], fp[last:]
-        if len(key) > TILE:
-            yield row(key, fp.copy(), None)
-            wide, key, fp = key[0], key[:0], fp[:0]
+        key, fp = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([fp, batch.column(1).to_numpy().view(np.uint64)])
+        other = np.flatnonzero(key != key[-1]) if len(key) else key
+        done = int(other[-1]) + 1 if len(other) else 0  # the last list may go on in the next batch
+        yield from close(key[:done], fp[:done])
+        key, fp = key[done:], fp[done:]
     yield from close(key, fp)
 
 
-def _link_tiles(pdf):
-    """One pair of tiles of a wide list."""
+def _link_long(pdf):
+    """One list that has all but three bytes in common."""
     import pandas as pd
 
-    a, b = _forest(np.unique(pdf["fp"].to_numpy().view(np.uint64)))
+    a, b = _flips(np.unique(pdf["fp"].to_numpy().view(np.uint64)))
     return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
 
+def _posting(number: int, positions) -> Column:
+    """The key of the bytes at ``positions``; its three lowest bits are ``number``."""
+    mask = sum(255 << 8 * i for i in positions)
+    held = F.xxhash64(F.lit(mask - (1 << 64) if mask >> 63 else mask), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+    return held.bitwiseAND(F.lit(-8)).bitwiseOR(F.lit(number))
+
+
+#: The positions of the eight postings: three of a half.
+POSTED = [chosen for half in (range(4), range(4, 8)) for chosen in combinations(half, 3)]
+
+
+def _by_length(postings: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The postings of lists of at most TILE entries, and those of longer lists (None if there are none)."""
+    keys = materialise(postings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select(F.col("key").alias("k")), "long-lists")
+    n = keys.count()
+    if not n:
+        return postings, None
+    keys = F.broadcast(keys) if n <= BROADCAST_KEYS else keys
+    return tuple(postings.join(keys, F.col("key") == F.col("k"), how) for how in ("left_anti", "left_semi"))
+
+
+def _links_of(postings: DataFrame) -> DataFrame:
+    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(_link_lists, "a long, b long")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between different fingerprints (column ``fp``) that connect exactly what MAX_BITS connects."""
-    masks = [sum(255 << 8 * i for i in chosen) for chosen in combinations(range(8), LEAST_SHARED)]
-    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(masks)]
-    # A hash stands for (choice of positions, bytes): a collision adds entries to a list, and all are verified.
     # A small file would be a task or two: the fingerprints are dealt out before each becomes its postings.
     dealt = distinct.repartition(partitions(distinct.sparkSession))
-    postings = dealt.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    found = materialise(postings.repartition("key").sortWithinPartitions("key").mapInArrow(_link_lists, "key long, a long, b long"), "links")
-    wide = found.filter("b is null").select("key", F.col("a").alias("fp"))
-    tiles = wide.groupBy("key").agg(F.ceil(F.count("*") * 2 / F.lit(TILE)).cast("int").alias("tiles"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    dealt = wide.join(tiles, "key").withColumn("mine", mine).select("key", "fp", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"), "mine")
-    pairs = dealt.select("key", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("u"), "fp")
-    tiled = pairs.groupBy("key", "t", "u").applyInPandas(_link_tiles, "a long, b long")
-    return found.filter("b is not null").select("a", "b").union(tiled).distinct()
+    postings = dealt.select(F.explode(F.array(*(_posting(i, chosen) for i, chosen in enumerate(POSTED)))).alias("key"), "fp")
+    short, long = _by_length(postings)
+    found = _links_of(short)
+    if long is not None:
+        # Two more of the five positions that the list's posting leaves out.
+        again = [[(*chosen, *more) for more in combinations(sorted({*range(8)} - {*chosen}), LEAST_SHARED - 3)] for chosen in POSTED]
+        keys = F.coalesce(*(F.when(F.col("key").bitwiseAND(F.lit(7)) == i, F.array(*(_posting(0, x) for x in several))) for i, several in enumerate(again)))
+        longer = materialise(long.select(F.explode(keys).alias("key"), "fp").distinct(), "long-postings")
+        short, long = _by_length(longer)
+        found = found.union(_links_of(short))
+        if long is not None:
+            found = found.union(long.groupBy("key").applyInPandas(_link_long, "a long, b long"))
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
