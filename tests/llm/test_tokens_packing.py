@@ -5,6 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tokenizers import Tokenizer
+
 from weftline.llm import packing
 from weftline.llm.tokens import ChunkEncoder, default_path, pack_ids
 
@@ -16,12 +18,21 @@ def tok():
     return ChunkEncoder(default_path())
 
 
+PLAIN = Tokenizer.from_file(default_path())  # the library by itself
+
+
 def whole(tok, text):
-    return pack_ids(tok.tokenizer.encode(text, add_special_tokens=False).ids)
+    return pack_ids(PLAIN.encode(text, add_special_tokens=False).ids)
+
+
+def test_special_tokens_have_their_own_ids(tok):
+    for text in ("<|endoftext|>", "a <|endoftext|> b", " x<|endoftext|>\ny, <|endoftext|> ", "<|endoftext", "<|endoftext|>" * 3):
+        assert tok.encode([text, "a b"]) == [whole(tok, text), whole(tok, "a b")]
+    assert 50256 in PLAIN.encode("a <|endoftext|> b", add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list(" \n\t\u00a0\u2003\x0b\x1fab'std1.,\u00e9\u4e2d\U0001f600<|>")), max_size=40), max_size=4))
+@given(st.lists(st.lists(st.sampled_from([*" \n\t  \x0b\x1fab'std1.,é中\U0001f600<|>", "<|endoftext|>"]), max_size=40).map("".join), max_size=4))
 def test_memo_gives_the_ids_of_the_whole_text(texts):
     tok = test_memo_gives_the_ids_of_the_whole_text.__dict__.setdefault("tok", ChunkEncoder(default_path(), limit=20))
     assert tok.encode(texts) == [whole(tok, t) for t in texts]
@@ -60,6 +71,15 @@ def test_pack(spark, documents, tok):
     assert check(rows, documents, tok) > 0.97
 
 
+def test_repeated_ids_of_one_length_are_spread(spark):
+    """Null and repeated doc_ids share neither a salt nor, then, a task."""
+    docs = spark.createDataFrame([(None, "one text")] * 3000 + [(7, "one text")] * 1000, "doc_id long, text string")
+    rows = packing.pack_documents(docs).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) == 4000
+    pieces = packing.materialise(packing.cut_documents(docs).withColumn("piece", packing.F.monotonically_increasing_id()), "t")
+    assert pieces.select(packing.F.pmod(packing.F.xxhash64("piece"), packing.F.lit(64)).alias("s")).groupBy("s").count().agg({"count": "max"}).first()[0] < 200
+
+
 def test_odd_documents(spark, odd_documents, no_documents, tok):
     check(packing.pack_documents(odd_documents, keep_ids=False).collect(), odd_documents.collect(), tok)
     assert packing.pack_documents(no_documents).collect() == []

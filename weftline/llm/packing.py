@@ -4,10 +4,11 @@ Each document's ids (its end id included) are cut at multiples of the sequence l
 Only the histogram of piece lengths, at most ``length`` numbers, is packed: lengths are placed longest first, each into
 the pattern with the most room left, and patterns carry counts. Pieces then find their pattern by their rank among the
 pieces of their length. Ranks come from windows over (length, salt) and a prefix sum over salts, so a length that a
-third of all pieces share is spread over many tasks.
+third of all pieces share is spread over many tasks. The salt is a hash of a number that each written piece has of its
+own, so null and repeated doc_ids are spread like others.
 
-Defined cases: a null or empty text is its end id alone; null and repeated doc_ids are documents of their own; an empty
-table gives no rows; a text of any length is cut; other columns are ignored.
+Defined cases: a null or empty text is its end id alone; null and repeated doc_ids are documents of their own; special
+tokens in a text have their own ids; an empty table gives no rows; a text of any length is cut; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,17 +94,17 @@ def slots(patterns: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, in
 
 
 def place_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``sequence_id`` and ``offset`` for every row of ``pieces``, which has ``doc_id, start, length`` and any other columns."""
+    """``sequence_id`` and ``offset`` for every row of ``pieces``: ``piece``, a number of its own, ``length`` and other columns."""
     spark = pieces.sparkSession
     salts = max(64, partitions(spark))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int"))
     counts = materialise(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "pack-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     # The pattern table is bounded by the sequence length alone, whatever the number of pieces.
     table = F.broadcast(spark.createDataFrame(slots(pack_histogram(histogram, length)), "s_length int, lo long, hi long, first long, offset long"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select(F.col("length").alias("b_length"), F.col("salt").alias("b_salt"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "start")
+    order = Window.partitionBy("length", "salt").orderBy("piece")
     ranked = salted.withColumn("at", F.row_number().over(order)).join(base, (F.col("length") == F.col("b_length")) & (F.col("salt") == F.col("b_salt")))
     ranked = ranked.withColumn("rank", F.col("base") + F.col("at") - 1)
     met = ranked.join(table, (F.col("length") == F.col("s_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
@@ -116,7 +117,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, length: int =
     ``work`` is that of ``cut_documents``. Texts are encoded once; the pieces are written to the shared folder and read from there.
     """
     pieces = cut_documents(docs, tokenizer, length, **work).withColumn("ids_crc32", F.crc32("ids")).withColumn("length", F.col("length").cast("int"))
-    pieces = materialise(pieces if keep_ids else pieces.drop("ids"), "pieces")
+    pieces = materialise((pieces if keep_ids else pieces.drop("ids")).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     placed = place_pieces(pieces, length)
     columns = ["doc_id", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return placed.select(*columns, *(["ids"] if keep_ids else []))

@@ -3,12 +3,14 @@
 The byte-level BPE's split pattern always starts a new piece at a space that a non-space follows. A text in which every
 space is followed by a non-space (or ends the text) can therefore be cut before each space, and equal cuts have equal
 ids wherever they stand; each distinct cut is encoded by the library and looked up afterwards. Any other text is
-encoded whole. Both ways give the ids of the whole text (tests/llm compare them).
+encoded whole, and so is one that holds a special token of the file. Both ways give the ids of the library's plain call
+for the whole text (tests/llm compare them).
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -71,7 +73,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unsafe = "|".join([_UNSAFE, *map(re.escape, special)])
         self.limit, self.memo, self.old = limit, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -125,7 +128,7 @@ class ChunkEncoder:
         if len(self.memo) > self.limit:
             self.memo, self.old = {}, self.memo
         texts = pc.fill_null(texts, "")
-        unsafe = pc.match_substring_regex(texts, _UNSAFE)
+        unsafe = pc.match_substring_regex(texts, self.unsafe)
         some = pc.any(unsafe).as_py()
         words = pc.split_pattern(pc.if_else(unsafe, "", texts) if some else texts, " ")
         at, coded = words.offsets.to_numpy(), pc.dictionary_encode(words.values)
@@ -184,11 +187,15 @@ def encoder(path: str, limit: int = 250_000) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def bounded_batches(spark, rows: int = 1024) -> None:
-    """Lower the session's Arrow batches to so many rows: whole texts pass through them."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, rows)
+def bounded_batches(spark, rows: int = 1024, size: int = 32_000_000) -> None:
+    """Lower the session's Arrow batches to so many rows and bytes: whole texts pass through them.
+
+    The settings stay lowered, as frames are executed after the operator that made them has returned.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
 
 
 def releasing(function):
