@@ -5,11 +5,15 @@ says which of them continue, and a rank directory (one count per 512 bits) turns
 on level k + 1. Any id is read by one chunk and one rank per level, without decoding its neighbours.
 
 A segment is one self-contained byte string: header, document directory, levels. Segments are rows of a Parquet dataset
-(``part, segment, ids_before, n_ids, payload``) in ascending document order, so that writing needs nothing but Spark's
-own committed output and reading works on any store that Spark reads.
-
-Defined cases: a null or empty text is its end id alone; null doc_ids sort first; repeated doc_ids are documents of their
-own, ordered by the hash of their text; an empty table gives an empty dataset and no rows; other columns are ignored.
+(``part, segment, ids_before, n_ids, doc_ids, starts, payload``) in ascending document order, so that writing needs
+nothing but Spark's own committed output and reading works on any store that Spark reads. Files are not compressed:
+``lookup_tokens`` finds a document's segment in the two directory columns alone, and reads any of its tokens from the
+stored bytes by one chunk and one rank a level.
+
+Defined cases: a null or empty text is its end id alone; special tokens in a text have their own ids; null doc_ids sort
+first; repeated doc_ids are documents of their own, ordered by the hash of their text; rows equal in both are spread like
+others; an empty table gives an empty dataset and no rows; a lookup of an unknown doc_id or of a position outside a
+document gives no row, one of a repeated doc_id a row for each of its documents; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from weftline.storage import new_path, partitions
 MAGIC, BLOCK = b"DACS", 512
 #: Ids after which a segment is closed; a longer document has one of its own.
 SEGMENT_IDS = 1 << 20
-FILE = "part int, segment int, ids_before long, n_ids long, payload binary"
+FILE = "part int, segment int, ids_before long, n_ids long, doc_ids array<long>, starts array<long>, payload binary"
 
 
 def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -94,6 +98,23 @@ class Segment:
             i, shift = int(ranks[block]) + int(within.sum()), shift + 8
         return value
 
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The ids at many positions: for each, one chunk and one rank a level."""
+        out, rows, i = np.zeros(len(places), np.uint32), np.arange(len(places)), places.astype(np.int64)
+        for k, (chunks, bits, ranks) in enumerate(self.levels):
+            out[rows] |= chunks[i].astype(np.uint32) << np.uint32(8 * k)
+            more = (bits[i >> 3] >> (i & 7).astype(np.uint8) & 1).astype(bool)
+            rows, i = rows[more], i[more]
+            if not len(rows):
+                break
+            block = i // BLOCK
+            # The set bits before each position in its block of bits.
+            at = block[:, None] * (BLOCK // 8) + np.arange(BLOCK // 8)
+            left = np.clip(i[:, None] - 8 * at, 0, 8)
+            held = bits[np.minimum(at, len(bits) - 1)] & ((1 << left) - 1).astype(np.uint8)
+            i = ranks[block].astype(np.int64) + np.bitwise_count(held).sum(1, dtype=np.int64)
+        return out
+
     def ids(self) -> np.ndarray:
         """All ids, level by level."""
         out, at = np.zeros(self.n_ids, np.uint32), None
@@ -119,8 +140,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
 
         def close():
             nonlocal segment, before, names, lengths, held, n
-            payload = encode_segment(names, lengths, np.concatenate(held))
-            row = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (segment, pa.int32()), (before, pa.int64()), (n, pa.int64()), (payload, pa.binary()))], names=["part", "segment", "ids_before", "n_ids", "payload"])
+            payload, starts = encode_segment(names, lengths, np.concatenate(held)), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in ((part, pa.int32()), (segment, pa.int32()), (before, pa.int64()), (n, pa.int64()), (names, pa.list_(pa.int64())), (starts, pa.list_(pa.int64())), (payload, pa.binary()))],
+                names=["part", "segment", "ids_before", "n_ids", "doc_ids", "starts", "payload"],
+            )
             segment, before, names, lengths, held, n = segment + 1, before + n, [], [], [], 0
             return row
 
@@ -142,11 +166,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
         if names:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # The hash parts a doc_id that very many rows repeat.
-    keys = [F.col("doc_id"), F.xxhash64("text")]
+    # The hash parts a doc_id that very many rows repeat, and the row's number rows that are equal in both.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    keys = [F.col("doc_id"), F.xxhash64("text"), F.col("row")]
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
-    ordered.mapInArrow(releasing(segments), FILE).write.parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(releasing(segments), FILE).write.option("compression", "none").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -171,6 +195,30 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(base), F.col("part") == F.col("b_part")).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def lookup_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """``doc_id, position, id`` for the rows (``doc_id``, ``position``) of ``wanted``: random access to the files at ``path``."""
+    files = spark.read.schema(FILE).parquet(path)
+    # Only the directory's columns are read here.
+    held = F.explode(F.arrays_zip(F.col("doc_ids").alias("doc"), F.col("starts").alias("start"), F.concat(F.slice("starts", 2, F.size("starts")), F.array("n_ids")).alias("stop"))).alias("d")
+    documents = files.select("part", "segment", "n_ids", held).select("part", "segment", "d.doc", "d.start", "d.stop")
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position"))
+    met = asked.join(documents, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("position") >= 0) & (F.col("position") < F.col("stop") - F.col("start")))
+    # A segment's bytes meet the positions asked of it in stretches of a bounded number.
+    places = met.groupBy("part", "segment", F.pmod(F.xxhash64("doc_id", "position"), F.lit(16)).alias("salt")).agg(F.collect_list(F.struct("doc_id", "position", (F.col("start") + F.col("position")).alias("at"))).alias("places"))
+    places = places.select(F.col("part").alias("p_part"), F.col("segment").alias("p_segment"), "places")
+    rows = files.select("part", "segment", "payload").join(places, (F.col("part") == F.col("p_part")) & (F.col("segment") == F.col("p_segment"))).select("payload", "places")
+
+    def read(batches):
+        for batch in batches:
+            for payload, places in zip(batch.column(0), batch.column(1), strict=True):
+                each = places.values
+                doc_ids, positions, at = (each.field(i) for i in range(3))
+                ids = Segment(payload.as_buffer().to_pybytes()).at(at.to_numpy())
+                yield pa.RecordBatch.from_arrays([doc_ids, positions, pa.array(ids.astype(np.int64))], names=["doc_id", "position", "id"])
+
+    return rows.mapInArrow(read, "doc_id long, position long, id long")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
