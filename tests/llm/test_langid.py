@@ -1,3 +1,8 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
 
 from weftline.llm import langid
@@ -53,5 +58,75 @@ def test_odd_documents(spark, model, odd_documents, no_documents):
     assert kept.columns[:-3] == odd_documents.columns
 
 
+def test_counts_against_plain_loops():
+    rng = random.Random(3)
+    for text in ("", "a", "ab", "Déjà vu, 12!", "".join(rng.choice("abcé \n中Z9") for _ in range(500)), "x" * 70_000):
+        b = (" " + text.lower() + " ").encode()
+        want = Counter()
+        for n in langid.GRAMS:
+            for i in range(len(b) - n + 1):
+                h = 0
+                for c in b[i : i + n]:
+                    h = (h * 0x01000193 + c + 1) % 2**32
+                want[((h ^ h >> 15) * 0x85EBCA6B) % 2**32 >> 32 - 13] += 1
+        got = langid.counts(text)
+        assert {i: int(got[i]) for i in np.flatnonzero(got)} == dict(want)
+
+
+def test_gradients():
+    rng = np.random.default_rng(1)
+    x, y = rng.random((5, 8)), rng.integers(0, 3, 5)
+    m = [rng.normal(size=s) for s in ((8, 4), (4, 3), (3,))]
+
+    def loss():
+        z = x @ m[0] @ m[1] + m[2]
+        return (np.log(np.exp(z).sum(1)) - z[np.arange(5), y]).mean()
+
+    for part, g in zip(m, langid.gradients(x, y, *m), strict=True):
+        for i in np.ndindex(part.shape):
+            old, both = part[i], []
+            for step in (1e-5, -1e-5):
+                part[i] = old + step
+                both.append(loss())
+            part[i] = old
+            assert (both[0] - both[1]) / 2e-5 == pytest.approx(g[i], abs=1e-6)
+
+
+def test_calibration_against_plain_loops():
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 3, 300)
+    x = np.stack([langid.counts("abc"[k] * 30 + "".join(rng.choice(list("abcdef"), 40))) for k in y])
+    held = np.arange(300) % 5 == 0
+    model = langid.train(x, y, ["a", "b", "c"], held)
+    p = model.scores(x)
+    for row, counts in zip(p[:20], x[:20], strict=True):
+        z = [sum(counts[i] / counts.sum() * model.table[i, k] for i in np.flatnonzero(counts)) + model.bias[k] for k in range(3)]
+        assert row == pytest.approx([math.exp(v) / sum(map(math.exp, z)) for v in z])
+    # No other temperature of the grid gives the held rows a smaller loss, and few of them fall below the threshold.
+    z = np.log(p[held])
+    loss = lambda t: -np.mean([v[k] / t - math.log(sum(math.exp(u / t) for u in v)) for v, k in zip(z, y[held], strict=True)])
+    steps = np.geomspace(0.05, 20, 60)
+    assert loss(1) <= min(loss(steps[1] / steps[0]), loss(steps[0] / steps[1])) + 1e-9
+    assert model.threshold <= langid.SURE and (p[held].max(1) < model.threshold).mean() <= 0.02
+
+
+def test_long_training_texts_are_not_clipped(spark):
+    docs = spark.createDataFrame([(i, "ab " * 80_000 if i % 2 else "xy z " * 30, "l1" if i % 2 else "l2") for i in range(12)], "doc_id long, text string, lang string")
+    seen = []
+    real, langid_train = langid.train, langid
+    langid_train.train = lambda x, *rest: seen.append(x) or real(x, *rest)
+    try:
+        langid.fit(docs)
+    finally:
+        langid_train.train = real
+    assert seen[0].max() > 65535 and max(r.sum() for r in seen[0]) == langid.counts("ab " * 80_000).sum()
+
+
+def test_columns_of_any_name_stay(spark, model):
+    docs = spark.createDataFrame([(1, "the of and to in is that", "u", 2.0, True, "w")], "doc_id long, text string, lang_pred string, score double, rejected boolean, __score string")
+    out = langid.identify(docs, model)
+    assert out.columns[:-3] == docs.columns and out.select(*docs.columns).collect() == docs.collect()
+
+
 def test_no_letter():
     assert [langid.has_letter(t) for t in (None, "", "12 !", "中", "a", "é")] == [False, False, False, True, True, True]

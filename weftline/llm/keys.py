@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 BROADCAST_KEYS = 200_000
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each made longer until no column is called so, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def join_keys(docs: DataFrame, keys: DataFrame, how: str, rows: int) -> DataFrame:
     """``docs`` joined to ``keys`` (``k_id``, ``k_hash`` and any other columns) on doc_id, null-safe, and xxhash64 of the text.
 

@@ -8,7 +8,7 @@ and the rejection threshold, which is set so that at most ``REJECTED`` of it, an
 
 Defined cases: a null text or one without a letter has ``lang_pred = und``, score 0 and is rejected; with nothing to
 learn from, all rows are ``und``; repeated rows get equal results; an empty table gives no rows; texts of any length are
-read whole; other columns are never read by a prediction.
+read whole; other columns are never read by a prediction and keep their names and values, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.llm.keys import fresh
 from weftline.llm.tokens import blocks, bounded_batches
 
 GRAMS, BUCKETS, WIDTH = (1, 2, 3, 4), 1 << 13, 16
@@ -63,6 +64,17 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
 
+def gradients(x: np.ndarray, y: np.ndarray, e: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean loss of rows of shares ``x`` by embeddings ``e``, weights ``w`` and bias ``b``."""
+    hidden = x @ e
+    logits = hidden @ w + b
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(x)), y] -= 1
+    p /= len(x)
+    return x.T @ (p @ w.T), hidden.T @ p, p.sum(0)
+
+
 def train(x: np.ndarray, y: np.ndarray, languages: list[str], held: np.ndarray, seed: int = 11) -> Model:
     """Fit on rows of counts ``x`` with language numbers ``y``; rows where ``held`` calibrate."""
     rng, k = np.random.default_rng(seed), len(languages)
@@ -76,16 +88,10 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], held: np.ndarray,
         order = rng.permutation(fit)
         for at in range(0, len(order), 64):
             rows = order[at : at + 64]
-            hidden = x[rows] @ e
-            logits = hidden @ w + b
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), y[rows]] -= 1
-            p /= len(rows)
-            back = p @ w.T
-            w -= rate * (hidden.T @ p)
-            b -= rate * p.sum(0)
-            e -= rate * scale * (x[rows].T @ back)
+            of_e, of_w, of_b = gradients(x[rows], y[rows], e, w, b)
+            w -= rate * of_w
+            b -= rate * of_b
+            e -= rate * scale * of_e
     table = (e @ w).astype(np.float64)
     use = held if held.any() else ~held
     logits, truth = x[use] @ table + b, y[use]
@@ -118,7 +124,7 @@ def fit(docs: DataFrame) -> Model | None:
     def features(batches):
         for batch in batches:
             out = [counts(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.minimum(x, 65535).astype("<u2").tobytes() for x in out], pa.binary())], names=["doc_id", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())], names=["doc_id", "lang", "x"])
 
     met = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("c_id")) & (F.col("lang") == F.col("c_lang"))).select("doc_id", "lang", "text")
     # One row a doc_id and language, so that repeated rows cannot pass the bound.
@@ -127,7 +133,7 @@ def fit(docs: DataFrame) -> Model | None:
         return None
     got.sort(key=lambda r: (r["lang"], r["doc_id"]))
     languages = sorted({r["lang"] for r in got})
-    x = np.stack([np.frombuffer(r["x"], "<u2") for r in got])
+    x = np.stack([np.frombuffer(r["x"], "<u4") for r in got])
     y = np.array([languages.index(r["lang"]) for r in got])
     return train(x, y, languages, np.arange(len(got)) % 5 == 0)
 
@@ -145,9 +151,9 @@ def predict_texts(model: Model | None, texts: list[str | None]) -> list[tuple[st
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Every column of ``docs`` and, last, ``__lang_pred, __score, __rejected`` of its ``text``."""
+    """Every column of ``docs`` and, last, three of other names: language, score and whether ``text`` is rejected."""
     bounded_batches(docs.sparkSession)
-    names = docs.columns
+    names, made = docs.columns, fresh(docs.columns, "lang_pred", "score", "rejected")
     text, held = names.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def per_batch(batches):
@@ -155,11 +161,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = batch.column(text)
             got = [x for lo, hi in blocks(texts, 256) for x in predict_texts(held.value, texts[lo:hi].to_pylist())]
             extra = [pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, "__lang_pred", "__score", "__rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*names, *made])
 
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("__lang_pred", StringType()), StructField("__score", DoubleType()), StructField("__rejected", BooleanType())])
+    schema = StructType([*docs.schema.fields, *(StructField(n, t()) for n, t in zip(made, (StringType, DoubleType, BooleanType), strict=True))])
     return docs.mapInArrow(per_batch, schema)
 
 
@@ -167,12 +173,13 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected`` of every row."""
     rows = identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
-    return rows.select("doc_id", held_out.alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose language is rejected or undetermined."""
-    return identify(docs, fit(docs)).filter(~F.col("__rejected")).drop("__lang_pred", "__score", "__rejected")
+    rows = identify(docs, fit(docs))
+    return rows.filter(~F.col(rows.columns[-1])).drop(*rows.columns[-3:])
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
