@@ -40,6 +40,16 @@ def test_hot_group_is_split_and_other_groups_stay_whole(spark):
     assert sum(len(s) > 1 for s in shards.values()) == 1
 
 
+def test_equal_rows_are_split_too(spark):
+    """Null ids with one text: the law holds although hash of doc_id cannot part them."""
+    rows = [(None, "hot text of many " * 6)] * 4000 + [(i, f"text {i} " * 12) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sharding.shard_documents(docs).collect()
+    sizes = check(docs.collect(), got)
+    mean = sum(sizes.values()) / 8
+    assert max(sizes.values()) < 1.05 * mean and min(sizes.values()) > 0.95 * mean
+
+
 def test_odd_documents(spark, odd_documents, no_documents):
     check(odd_documents.collect(), sharding.shard_documents(odd_documents).collect())
     assert sharding.shard_documents(no_documents).collect() == []

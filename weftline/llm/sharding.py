@@ -2,11 +2,13 @@
 
 The range key is the 64-bit hash of the text, so equal texts lie together. ``FINE`` ranges are cut at quantiles of a
 size-weighted sample; their exact bytes and rows are then counted, ranges that are overfull (a hot text, or a bad draw)
-are subdivided by the hash of doc_id, and the ranges, in key order, are dealt to shards so that bytes come out near
-equal. DataFrame operations only; the driver holds the sample and one row per range, both of a fixed size.
+are subdivided by the hash of doc_id, parts that are overfull still (rows equal in doc_id and text) by the hash of a row
+number, and all of them, in key order, are dealt to shards so that bytes come out near equal. DataFrame operations only;
+the driver holds the sample and one row per range or part, all of a fixed size.
 
-Defined cases: a null text has size 1 and the CRC of the empty text; null and repeated doc_ids are rows like any other;
-an empty table gives no rows; with fewer rows than shards some shards stay empty; other columns are ignored.
+Defined cases: a null text has size 1 and the CRC of the empty text; null and repeated doc_ids are rows like any other,
+and rows that very often repeat both doc_id and text are split over shards where equal sizes need it; an empty table
+gives no rows; with fewer rows than shards some shards stay empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,30 +59,42 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, seed: int = 17) -> DataF
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row, under the law ``bytes``."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key")), "shard-rows")
+    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("row")), "shard-rows")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     bounds = _splitters(rows, total["bytes"], seed) if total["n"] else []
     spark_bounds = rows.withColumn("range", _range_of(F.col("key"), bounds))
 
-    stats = spark_bounds.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
     most = OVERFULL * total["bytes"] / n_shards
     most_rows = max(OVERFULL_ROWS, 4 * total["n"] // FINE)
-    parts = {s["range"]: int(max(5 * s["bytes"] / most if s["bytes"] > most else 1, 2 * s["n"] / most_rows if s["n"] > most_rows else 1)) for s in stats}
-    # One row per range and subrange: at most FINE plus 5 * n_shards / OVERFULL plus FINE / 2 of them.
-    split = F.broadcast(spark.createDataFrame([(r, p) for r, p in parts.items() if p > 1], "s_range int, parts int"))
-    placed = spark_bounds.join(split, F.col("range") == F.col("s_range"), "left").select(*rows.columns, "range", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(seed)), F.col("parts")).cast("int")).alias("part"))
-    cells = sorted((tuple(x) for x in placed.groupBy("range", "part").agg(F.sum("size"), F.count("*")).collect()))
+
+    def split(frame: DataFrame, by: list[str], name: str, *hashed: str, least: int = 1) -> DataFrame:
+        """``frame`` with a column ``name``: the subrange, by hash, of a row whose cell of ``by`` is overfull, else 0.
+
+        Cells of fewer than ``least`` rows are left whole.
+        """
+        stats = frame.groupBy(*by).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter(F.col("n") >= least).collect()
+        parts = [(*(s[c] for c in by), int(max(5 * s["bytes"] / most if s["bytes"] > most else 1, 2 * s["n"] / most_rows if s["n"] > most_rows else 1))) for s in stats]
+        # At most 5 * n_shards / OVERFULL plus FINE / 2 subranges are made.
+        table = F.broadcast(spark.createDataFrame([p for p in parts if p[-1] > 1], ", ".join(f"s_{c} int" for c in by) + ", parts int"))
+        on = [F.col(c) == F.col(f"s_{c}") for c in by]
+        part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*hashed, F.lit(seed)), F.col("parts")).cast("int"))
+        return frame.join(table, on, "left").select(*frame.columns, part.alias(name))
+
+    parted = split(spark_bounds, ["range"], "part", "doc_id", "text_crc32")
+    # So many rows that a hash of doc_id leaves together are equal rows.
+    placed = split(parted, ["range", "part"], "sub", "row", least=20)
+    cells = sorted((tuple(x) for x in placed.groupBy("range", "part", "sub").agg(F.sum("size"), F.count("*")).collect()))
 
     edges = [total["bytes"] * (i + 1) / n_shards for i in range(n_shards - 1)]
     table, before, filled = [], 0, [0] * n_shards
-    for r, p, size, n in cells:
+    for r, p, q, size, n in cells:
         shard = bisect_right(edges, before + size / 2)
-        table.append((r, p, shard, filled[shard]))
+        table.append((r, p, q, shard, filled[shard]))
         before, filled[shard] = before + size, filled[shard] + n
-    cell = F.broadcast(spark.createDataFrame(table, "c_range int, c_part int, shard int, base long"))
-    order = Window.partitionBy("range", "part").orderBy("key", "doc_id", "text_crc32")
+    cell = F.broadcast(spark.createDataFrame(table, "c_range int, c_part int, c_sub int, shard int, base long"))
+    order = Window.partitionBy("range", "part", "sub").orderBy("key", "doc_id", "text_crc32")
     ranked = placed.withColumn("rank", F.row_number().over(order))
-    return ranked.join(cell, (F.col("range") == F.col("c_range")) & (F.col("part") == F.col("c_part"))).select(
+    return ranked.join(cell, (F.col("range") == F.col("c_range")) & (F.col("part") == F.col("c_part")) & (F.col("sub") == F.col("c_sub"))).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
