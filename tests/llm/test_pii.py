@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -109,3 +110,84 @@ def test_discovery_takes_runs_hops_and_rounds(spark):
     assert all(len(got[i]) == 1 for i in range(15)) and not luhn("4222222222222222")
     at = text[300].index("4222")
     assert got[300] == [(at, 2, at + 16)]
+
+
+def test_scores_against_plain_python(spark):
+    """Patterns and instances of a random graph: the same confidences as plain loops over it give."""
+    import random
+
+    rng = random.Random(12)
+    good = [f"4111{i:012}" for i in range(60)]
+    seeds = {c for c in good if rng.random() < 0.6}
+    edges = {(f"p{rng.randrange(12)}", c) for c in good for _ in range(3)} | {("p1", "a word1"), ("p2", "a word1")}
+    df = spark.createDataFrame([(p, c, 2 if c in seeds else None) for p, c in edges], "pattern string, instance string, seed int")
+    got, instances = pii.scores(df)
+    held, before = {c: 1.0 for c in seeds}, None
+    while True:
+        patterns = {}
+        for p in sorted({p for p, _ in edges}):
+            mine = [c for q, c in edges if q == p]
+            if sum(held.get(c, 0) >= pii.CONFIDENT for c in mine) >= pii.SUPPORT:
+                patterns[p] = min(1.0, sum(held.get(c, 0) for c in mine) / (len(mine) + 1))
+        now = (len(patterns), sum(patterns.values()))
+        if before and now[0] == before[0] and now[1] - before[1] < pii.SETTLED or not patterns:
+            break
+        before, held = now, {c: 1.0 for c in seeds}
+        for c in set(good) - seeds:
+            miss = 1.0
+            for p, d in edges:
+                if d == c and p in patterns:
+                    miss *= 1 - min(patterns[p], 0.999)
+            if any(d == c and p in patterns for p, d in edges):
+                held[c] = 1 - miss
+    assert {r.pattern: r.score for r in got.collect()} == pytest.approx(patterns) and len(patterns) > 5
+    assert {r.instance: r.score for r in instances.collect()} == pytest.approx(held)
+
+
+def test_secrets(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, f'then token = "{key}"### and on'), (2, f"api_key: {key[:24]}, so"), (3, f"a digest {key} of no one"), (4, "token = short1 and password = alllettersbutnodigitshere"), (5, f"PASSWORD='{key}x'")]
+    rows += [(10 + i, f"set the deploy value to {key[:30]}{i:03}z now, token = {key[:30]}{i:03}z") for i in range(6)]
+    rows += [(30, f"set the deploy value to {key[::-1]} now")]  # only its context gives it away
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find_pii(frame(spark, rows)).collect()}
+    cut = {i: [dict(rows)[i][a:b] for a, k, b in got[i] if k == pii.SECRET] for i in got}
+    assert cut[1] == [key] and cut[2] == [key[:24]] and cut[3] == [] and cut[4] == [] and cut[5] == [key + "x"]
+    assert cut[30] == [key[::-1]] and all(len(cut[10 + i]) == 2 for i in range(6))
+    out = {r.doc_id: r.text for r in pii.redact(frame(spark, rows)).collect()}
+    assert out[1] == 'then token = "[SECRET]"### and on'
+
+
+def test_very_many_matches_in_one_text(spark):
+    """A log file in one row: positions are exact, and work grows in proportion to the matches."""
+    import time
+
+    lines = [f"{i} user{i}@host{i % 97}.example from 10.{i % 256}.{i // 256 % 256}.7 ref A{i:09}" for i in range(50_000)]
+    text, began = "\n".join(lines), time.perf_counter()
+    df = frame(spark, [(1, text)])
+    got = pii.mentions(df).selectExpr("transform(base, x -> struct(x.start, x.kind, x.end)) as base", "size(other) as others").collect()[0]
+    assert [tuple(x) for x in got.base] == base(text) and len(got.base) == 100_000 and got.others == 100_000
+    assert time.perf_counter() - began < 60
+    spans = [tuple(x) for x in got.base]
+    out, at = [], 0
+    for a, k, b in spans:
+        if a >= at:
+            out.append(text[at:a] + f"[{RULES[k][0].upper()}]")
+        at = max(at, b)
+    rows = pii.redact(df).collect()
+    assert rows[0].text == "".join(out) + text[at:]
+
+
+def test_running_values(spark):
+    import random
+
+    rng = random.Random(1)
+    for n in (0, 1, pii.STRETCH - 1, pii.STRETCH, pii.STRETCH + 1, 3 * pii.STRETCH + 5):
+        values = [rng.randrange(100) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        sums, most = df.select(pii._before(pii.F.col("v"), lambda a, b: a + b), pii._before(pii.F.col("v"), lambda a, b: pii.F.greatest(a, b))).first()
+        assert sums == [sum(values[:i]) for i in range(n + 1)] and most == [max([0, *values[:i]]) for i in range(n + 1)]
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "to a@b.cd", "s", "k", 3)], "doc_id long, text string, spans string, k_id string, k_hash int")
+    assert pii.redact(df).collect() == [(1, "to [EMAIL]", "s", "k", 3)]
