@@ -211,16 +211,20 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fingerprint, component_id, text_hash`` of every row of ``docs``."""
+    """``doc_id, fingerprint, component_id, text_hash, component`` of every row of ``docs``.
+
+    ``component`` names the row's group by a fingerprint of it: two groups never share one, while documents that repeat
+    a doc_id, or have none, may give two groups the same ``component_id``.
+    """
     prints = materialise(fingerprints(docs), "fingerprints")
     least = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     parts = connected_components(links(least.select("fp"))).withColumnRenamed("node", "n_fp")
     met = least.join(parts, F.col("fp") == F.col("n_fp"), "left").withColumn("component", F.coalesce("component", "fp"))
     roots = met.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "r")
-    named = materialise(met.join(roots, F.col("component") == F.col("r")).select(F.col("fp").alias("c_fp"), "component_id"), "components")
+    named = materialise(met.join(roots, F.col("component") == F.col("r")).select(F.col("fp").alias("c_fp"), "component", "component_id"), "components")
     out = prints.join(named, F.col("fp") == F.col("c_fp"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash", "component")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("component")
