@@ -3,14 +3,15 @@
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that the one before has kept; ``run`` writes each stage's
 rows to the shared folder and reads them back for the next. All but the last keep the columns of ``docs``.
 
-Defined cases, besides those of the operators: of rows that repeat a kept doc_id the one with the least text hash stays;
-rows with a null doc_id stay if their fingerprint's component has no doc_id at all and then count as one group; a
-benchmark table without rows removes nothing; an empty table stays empty.
+Defined cases, besides those of the operators: only documents of one group of linked fingerprints remove one another,
+whatever doc_ids they repeat or lack; a document without doc_id stays if its group has none with one and its text hash is
+the least; of rows equal in doc_id and text one stays; a benchmark table without rows removes nothing; an empty table
+stays empty; columns of any name keep their names and values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import decontam, langid, packing, pii, simhash
@@ -24,20 +25,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the least doc_id."""
-    rows = simhash.near_duplicates(docs).groupBy("doc_id", "text_hash", "component_id").agg(F.count("*").alias("n"))
-    chosen = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    # Of several texts under one doc_id the one with the least hash is its document.
-    least = F.min(F.when(chosen, F.col("text_hash"))).over(Window.partitionBy("doc_id"))
-    keys = materialise(rows.withColumn("kept", chosen & (F.col("text_hash") == least)).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "n", "kept"), "keys")
+    """One document of each group of linked fingerprints: the one with the least doc_id, of several the least text hash."""
+    rows = simhash.near_duplicates(docs).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    rows = materialise(rows, "near-duplicates")
+    # A null doc_id comes after all others. The first of a group is a partial aggregate, however large the group is.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    kept = rows.groupBy(F.col("component").alias("c")).agg(first)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    keys = materialise(rows.join(kept, F.col("component") == F.col("c")).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "n", stays.alias("kept")), "keys")
     gone, often = keys.filter("not kept").select("k_id", "k_hash"), keys.filter("kept and n > 1").select("k_id", "k_hash")
     n_gone, n_often = gone.count(), often.count()
     out = join_keys(docs, gone, "left_anti", n_gone)
     if not n_often:
         return out
-    # Rows that are equal in doc_id and text: one of them stays.
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = join_keys(docs, often, "left_semi", n_often).withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    # Rows that are equal in doc_id and text: the one whose columns have the least hash stays.
+    same = join_keys(docs, often, "left_semi", n_often)
+    hashed = [docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    one = same.groupBy(docs["doc_id"], F.xxhash64(docs["text"])).agg(F.min_by(F.struct(*(docs[c] for c in docs.columns)), F.xxhash64(*hashed)).alias("row")).select("row.*")
     return join_keys(out, often, "left_anti", n_often).union(one)
 
 
