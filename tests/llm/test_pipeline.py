@@ -109,6 +109,38 @@ def test_run_and_odd_documents(spark, odd_documents, no_documents, stages):
     assert docs.count() == 0
 
 
+def test_only_members_of_a_group_remove_one_another(spark):
+    """Null and repeated doc_ids on unrelated texts, against plain Python over fingerprints."""
+    names = "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu nu xi omikron pi rho sigma tau ypsilon".split()
+    unrelated = [" ".join(names[(i * 7 + j * (i + 1)) % 20] for j in range(12)) for i in range(9)]
+    ids = [None, None, None, 7, 7, 7, 7, 2, 1]
+    rows = list(zip(ids, unrelated)) + [(None, unrelated[3]), (9, unrelated[0]), (5, unrelated[4]), (None, unrelated[1]), (7, unrelated[5]), (8, unrelated[8])]
+    rows = [(i, t, f"s{n}", n, n / 2, f"u{n}", n) for n, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, __n int, __score double, row string, component int")
+    component = brute_components([brute_print(t) for t in unrelated])
+    groups = {}
+    for i, t, *_ in rows:
+        groups.setdefault(component[brute_print(t)], set()).add((i is None, i or 0, t))
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    got = out.collect()
+    assert out.columns == docs.columns and len(got) == len(groups) > 7
+    assert {component[brute_print(r.text)] for r in got} == set(groups)
+    for r in got:
+        least = min(x[:2] for x in groups[component[brute_print(r.text)]])
+        assert (r.doc_id is None, r.doc_id or 0) == least
+        assert tuple(r) in rows
+
+
+def test_columns_of_any_name_survive_every_stage(spark):
+    rows = [(1, "the of and to in is that write to a@b.cd please", "x", 1, 0.5, True), (2, "the of and to in is that other words", "y", 2, 1.5, False)]
+    docs = spark.createDataFrame([(*r, "en", "s", 9) for r in rows], "doc_id long, text string, spans string, __n int, __score double, __rejected boolean, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = corpus_pipeline.materialise(stage(spark, docs, SF), name)
+        assert docs.columns == columns, name
+    assert sorted((r.doc_id, r.spans, r["__n"], r["__score"]) for r in docs.collect()) == [(1, "x", 1, 0.5), (2, "y", 2, 1.5)]
+
+
 def test_one_document_of_each_group(spark):
     rows = [(5, "same text as the other"), (3, "same text as the other"), (3, "same text as the other"), (None, "same text as the other"), (None, "lonely words over here now"), (None, "lonely words over here now")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
