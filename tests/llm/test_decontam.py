@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import product
 
 import pytest
 
@@ -111,3 +112,61 @@ def test_every_occurrence_is_judged_by_itself(spark):
     three = Q.replace("Paris", "Zagreb").replace("40", "11").replace("Anna", "Aida").replace("12", "99").replace(" 3 ", " 1 ")
     docs = [(1, f"{one}. {two}."), (2, f"{one}. {three}."), (3, f"{three} and so on. {two}. {one}.")]
     assert found(spark, docs, [(3, Q)]) == {(i, 3): "template" for i in (1, 2, 3)}
+
+
+def test_short_items(spark):
+    docs = [(1, "well, the quick Fox ran"), (2, "quick the fox"), (3, "one"), (4, "say one thing"), (5, "quick fox"), (6, None), (7, "the quick. fox jumps over it all day and night")]
+    items = [(1, "The quick fox"), (2, "one"), (3, "..."), (4, "over it all day"), (5, ""), (6, "it all day and night")]
+    assert found(spark, docs, items) == {(1, 1): "verbatim", (7, 1): "verbatim", (3, 2): "verbatim", (4, 2): "verbatim", (7, 4): "verbatim", (7, 6): "verbatim"}
+    # Items shorter than a window change nothing for the others.
+    assert {k: v for k, v in found(spark, docs, items).items() if k[1] == 6} == found(spark, docs, items[-1:])
+
+
+def brute_template(text, item):
+    """(least, most) windows of five words that agree at the item's best place: under the commonest reading of its numbers, under any."""
+    words, mine = text.split(), item.split()
+    least = most = 0
+    for at in range(len(words) - len(mine) + 1):
+        part = words[at : at + len(mine)]
+        votes = {}
+        for a, b in zip(mine, part):
+            if a.isdigit() and b.isdigit():
+                votes.setdefault(a, []).append(b)
+
+        def agree(reading):
+            ok = [reading.get(a) == b if a.isdigit() and b.isdigit() else a == b for a, b in zip(mine, part)]
+            return sum(all(ok[i : i + 5]) for i in range(len(mine) - 4))
+
+        commonest = {a: v[0] if len(set(v)) == 1 else max(set(v), key=v.count) for a, v in votes.items()}
+        clear = all(sorted(map(v.count, set(v)))[-2:-1] != [v.count(commonest[a])] for a, v in votes.items())
+        least = max(least, agree(commonest) if clear else 0)
+        most = max([most, *(agree(dict(zip(votes, x))) for x in product(*map(set, votes.values())))])
+    return least, most
+
+
+def test_templates_against_brute_force(spark):
+    """Items with new numbers, in one reading or in several, and with changed words, hidden in other text."""
+    rng = random.Random(6)
+    vocabulary = [a + b for a in ("ba", "de", "fi", "go", "lu", "mar") for b in ("ko", "lim", "nat", "per", "quo")]
+    items, docs = [], []
+    for i in range(12):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(14, 30))]
+        for p in rng.sample(range(len(words)), 4):
+            words[p] = str(rng.choice([11, 27, 35]))
+        items.append((i, " ".join(words)))
+        for how in ("consistent", "mixed", "word", "two"):
+            reading = {x: str(rng.randrange(100, 999)) for x in ("11", "27", "35")}
+            new = [reading.get(w, w) if how != "mixed" or not w.isdigit() else str(rng.randrange(100, 999)) for w in words]
+            for _ in range({"word": 1, "two": 2}.get(how, 0)):
+                new[rng.randrange(len(new))] = "changed"
+            around = [[rng.choice(vocabulary) + "x" for _ in range(rng.randrange(3, 20))] for _ in range(2)]
+            docs.append((len(docs), " ".join(around[0] + new + around[1])))
+    least, most = set(), set()
+    for d, text in docs:
+        for i, item in items:
+            k = len({tuple(item.split()[j : j + 5]) for j in range(len(item.split()) - 4)})
+            for n, into in zip(brute_template(text, item), (least, most)):
+                if n >= 0.8 * k:
+                    into.add((d, i))
+    got = set(found(spark, docs, items))
+    assert least <= got <= most and 12 < len(least) <= len(most) < len(docs)

@@ -12,7 +12,9 @@ matches are grouped by the document's position less the item's, half an item eit
 Windows that no benchmark window can equal are left out before the join by a bitmap of a fixed size (``BITS`` bits, built
 from the benchmark and sent to the executors); a full bitmap would let more rows through, never fewer.
 
-Defined cases: null and empty texts hold nothing; items of fewer than five words have no window and are never found;
+An item of fewer than five words is one window as a whole and is found where its words stand in a row.
+
+Defined cases: null and empty texts hold nothing, and items without any word are never found;
 items that are equal as canonical words are one item with the least of their item_ids; rows equal in doc_id and text
 are one document, rows that share only the doc_id are judged apart; a null doc_id is reported as null; empty tables give
 no rows; texts of any length are read whole; other columns are ignored.
@@ -70,9 +72,9 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return _mixed(run[at[1:]] - run[at[:-1]] + raw.astype(np.uint64))
 
 
-def _windows(x: np.ndarray) -> np.ndarray:
-    n = len(x) - WORDS + 1
-    return _mixed(sum(x[i : i + n] * _MIX[i] for i in range(WORDS)))
+def _windows(x: np.ndarray, words: int = WORDS) -> np.ndarray:
+    n = len(x) - words + 1
+    return _mixed(sum(x[i : i + n] * _MIX[i] for i in range(words)))
 
 
 def _anchored(x: np.ndarray, plain: np.ndarray, row: np.ndarray):
@@ -102,9 +104,12 @@ def _value(chunk: str, word: str) -> str:
     return re.sub(r"[^\d.+-]", "", chunk.replace(",", "")).strip(".") or word
 
 
-def scan(texts: pa.Array, bitmap: np.ndarray | None):
+def scan(texts: pa.Array, bitmap: np.ndarray | None, short: tuple[int, ...] = ()):
     """(text number, window position, hash, slots or None) of every window that the bitmap lets through.
 
+    ``short`` are lengths below WORDS whose windows are given too. Without a bitmap the texts are items: one that has just
+    so many words is that window, at the position that is its length below zero.
+
     Slots are None for a literal window, else the placeholders' kinds and values joined by U+001F. A literal window
     that repeats within a text is given once, a template at each of its places.
     """
@@ -119,7 +124,7 @@ def scan(texts: pa.Array, bitmap: np.ndarray | None):
     at, coded = split.offsets.to_numpy().astype(np.int64), pc.dictionary_encode(split.flatten())
     chunks, index = coded.dictionary, coded.indices.to_numpy()
     row = np.repeat(np.arange(len(texts)), np.diff(at))
-    if len(index) < WORDS:
+    if not len(index):
         return
     low = pc.utf8_lower(chunks)
     word = pc.replace_substring_regex(low, r"[^\pL\pN]+", "")
@@ -133,7 +138,7 @@ def scan(texts: pa.Array, bitmap: np.ndarray | None):
     money = flag(pc.is_in(word, pa.array(sorted(MONEY))))
     keep = kept[index]
     index, row = index[keep], row[keep]
-    if len(index) < WORDS:
+    if not len(index):
         return
     literal, kind = hashes[index], kind[index]
     opens = np.concatenate([[True], ends[index[:-1]] | (row[1:] != row[:-1])])
@@ -144,11 +149,17 @@ def scan(texts: pa.Array, bitmap: np.ndarray | None):
     # A capital that opens a sentence may be a name or not: its windows are templates both ways.
     upper = capital[index] & (kind == _PLAIN)
     named, kind = np.where(upper, _NAME, kind), np.where(upper & ~opens, _NAME, kind)
-    opener = np.convolve(named != kind, np.ones(WORDS, int), "valid") > 0
-    inside = row[WORDS - 1 :] == row[: len(row) - WORDS + 1]
-    first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(texts)))])
-    passes = [(_windows(literal), inside, None)]
-    for kinds, which in ((kind, inside), (named, inside & opener)):
+    sizes = np.bincount(row, minlength=len(texts))
+    first, passes, long = np.concatenate([[0], np.cumsum(sizes)]), [], len(index) >= WORDS
+    for k in (k for k in short if k <= len(index)):
+        n = len(index) - k + 1
+        within = row[k - 1 :] == row[:n]
+        passes.append((_windows(literal, k) + np.uint64(8 + k), within if bitmap is not None else within & (sizes[row[:n]] == k), None))
+    if long:
+        opener = np.convolve(named != kind, np.ones(WORDS, int), "valid") > 0
+        inside = row[WORDS - 1 :] == row[: len(row) - WORDS + 1]
+        passes.append((_windows(literal), inside, None))
+    for kinds, which in ((kind, inside), (named, inside & opener)) if long else ():
         held = np.convolve(kinds > 0, np.ones(WORDS, int), "valid")
         template = np.where(kinds == _PLAIN, literal, _PLACE[kinds])
         passes.append((_windows(template) + np.uint64(1), which & (held > 0) & (held <= WORDS - LITERALS), kinds))
@@ -169,16 +180,16 @@ def scan(texts: pa.Array, bitmap: np.ndarray | None):
                 slots = "\x1f".join(values)
             if (key := (int(row[p]), int(h[p]), slots and p)) not in seen:
                 seen.add(key)
-                yield key[0], int(p - first[row[p]]), key[1], slots
+                yield key[0], int(p - first[row[p]]) if bitmap is not None or sizes[key[0]] >= WORDS else -int(sizes[key[0]]), key[1], slots
 
 
-def _scan_frame(rows: DataFrame, keys: list[str], bitmap=None) -> DataFrame:
+def _scan_frame(rows: DataFrame, keys: list[str], short: tuple[int, ...], bitmap=None) -> DataFrame:
     """Windows of ``rows`` (``keys`` and, last, ``text``): keys, pos, hash, slots."""
 
     def per_batch(batches):
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         for batch in grouped(batches, len(keys), 6_000_000):
-            found = list(scan(batch.column(len(keys)), bits))
+            found = list(scan(batch.column(len(keys)), bits, short))
             at = pa.array([f[0] for f in found], pa.int64())
             columns = [batch.column(i).take(at) for i in range(len(keys))]
             columns += [pa.array([f[1] for f in found], pa.int32()), pa.array(np.array([f[2] for f in found], np.uint64).view(np.int64)), pa.array([f[3] for f in found], pa.string())]
@@ -189,7 +200,7 @@ def _scan_frame(rows: DataFrame, keys: list[str], bitmap=None) -> DataFrame:
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """``item_id, windows, pos, hash, slots``: every window of every item that differs from the others as canonical words."""
-    rows = _scan_frame(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), ["item_id"])
+    rows = _scan_frame(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), ["item_id"], tuple(range(1, WORDS)))
     # Items with the same literal windows are one item.
     literal = rows.filter("slots is null").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("all"))
     chosen = literal.groupBy(F.sha2(F.to_json("all"), 256).alias("same")).agg(F.min("item_id").alias("i_id"), F.min(F.size("all")).alias("windows"))
@@ -247,7 +258,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialise(benchmark_windows(benchmark), "benchmark-windows")
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    windows = _scan_frame(rows, ["doc_id", "text_hash"], bitmap)
+    short = tuple(sorted(r[0] for r in items.filter("pos < 0").select(-F.col("pos")).distinct().collect()))
+    windows = _scan_frame(rows, ["doc_id", "text_hash"], short, bitmap)
     side = items.select(F.col("hash").alias("i_hash"), F.col("item_id").alias("i_item"), F.col("pos").alias("i_pos"), F.col("slots").alias("i_slots"), "windows")
     met = windows.join(side, (F.col("hash") == F.col("i_hash")) & (F.col("slots").isNull() == F.col("i_slots").isNull())).select("doc_id", "text_hash", "pos", "slots", "i_item", "i_pos", "i_slots", "windows")
     met = materialise(met, "window-matches")
