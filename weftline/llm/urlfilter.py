@@ -16,6 +16,8 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.storage import materialise
+
 #: The rules of the contract: verdict, host, path.
 RULES = [
     ("allow", "org", "/"),
@@ -24,8 +26,8 @@ RULES = [
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 ]
-#: Rule tables of up to this many rows, counted first, are broadcast; larger ones are joined by shuffle.
-BROADCAST_RULES = 50_000
+#: Tables of up to this many rows and characters, counted first, are broadcast; larger ones are joined by shuffle.
+BROADCAST_RULES, BROADCAST_SIZE = 50_000, 8_000_000
 
 
 def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
@@ -68,7 +70,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         listed = F.broadcast(listed)
     hits = expressions.join(listed, "short").filter("digest = full")
     best = hits.groupBy("host", "head").agg(F.max(F.struct(F.length("rule").alias("n"), "host_length", "rule", "verdict")).alias("best"))
-    best = best.select(F.col("host").alias("k_host"), F.col("head").alias("k_head"), "best")
+    best = materialise(best.select(F.col("host").alias("k_host"), F.col("head").alias("k_head"), "best"), "url-hits")
+    # A written table: a join with a host that very many pages share can be split, unless the hits are few anyway.
+    held = best.agg(F.coalesce(F.sum(F.length("k_host") + F.length("k_head") + F.length("best.rule")), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
+    if held["n"] <= BROADCAST_RULES and held["size"] <= BROADCAST_SIZE:
+        best = F.broadcast(best)
     joined = parsed.join(best, (F.col("host") == F.col("k_host")) & (F.col("head") == F.col("k_head")), "left")
     return joined.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
