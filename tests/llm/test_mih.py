@@ -66,6 +66,29 @@ def test_odd_vectors(spark):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-6)
 
 
+def test_tiny_and_huge_vectors(spark):
+    """Components whose squares vanish or overflow: the cosines are those of the same directions."""
+    rng = np.random.default_rng(3)
+    plain = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)]
+    scaled = [(i, [x * (1e-200, 1.0, 1e200, 1e-5)[i % 4] for x in v]) for i, v in plain]
+    df = spark.createDataFrame(scaled, "vec_id long, embedding array<double>")
+    got, want = answers(mih.nearest(df)), brute(plain)
+    assert set(got) == set(want) and all([j for j, _ in got[q]] == [j for j, _ in want[q]] for q in want)
+    assert all([s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-9) for q in want)
+
+
+def test_an_id_of_several_near_vectors(spark):
+    """A query's own vectors take none of its five places; ids beyond 2^53 are told apart."""
+    rng = np.random.default_rng(5)
+    big = 50 * (2**54 // 50)
+    rows = [(big, [1.0, 0.0, 0.0, i / 1000]) for i in range(9)] + [(big + 1 + i, [float(x) for x in rng.normal(size=4)]) for i in range(20)]
+    got = mih.nearest(frame(spark, rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 9 * 5 and big not in by[big]
+
+
 def test_few_and_none(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])]
     assert [j for j, _ in answers(mih.nearest(frame(spark, rows)))[0]] == [1, 2]

@@ -13,13 +13,14 @@ vectors to blocks, both of bounded size; each (shard, block) cell builds its sha
 
 Defined cases: null, zero and non-finite vectors, and vectors that hold nulls, take no part, neither as queries nor as
 candidates; vectors of a length other than the commonest take no part either; a null id takes no part; rows that repeat
-an id are candidates of their own, but never for a query with their id; an empty table gives no rows; ties go to the
-smaller id; other columns are ignored.
+an id are candidates of their own, but never for a query with their id; vectors of tiny or huge components are compared
+after a division by the largest of them; an empty table gives no rows; ties go to the smaller id; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -97,7 +98,11 @@ def valid(vectors: DataFrame) -> DataFrame:
     """``vec_id, embedding`` (array of double) of the rows that take part."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null and size(embedding) > 0")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
+    rows = rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
+    # A cosine knows no scale; squares of such components would be 0 or infinite.
+    most = F.array_max(F.transform("embedding", F.abs))
+    scaled = F.when((most > 1e-100) & (most < 1e100), F.col("embedding")).otherwise(F.transform("embedding", lambda x: x / most))
+    return rows.select("vec_id", scaled.alias("embedding"))
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = QUERY_EVERY) -> DataFrame:
@@ -112,7 +117,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = QUERY_EVERY) -> DataFra
     few = rows.distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= keep)
     entries = materialise(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("entry", F.xxhash64("embedding")), "entries")
     asked = materialise(rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("query"), "embedding").distinct(), "queries")
-    queries = asked.select("query", "embedding").distinct()
+    # Where one id only asks with a vector, what is that id's alone is left out before lists are cut.
+    queries = asked.groupBy("query", "embedding").agg(F.min("query_id").alias("only"), (F.count("*") == 1).alias("alone"))
 
     n, m = entries.count(), queries.count()
     sample = entries.select("entry", "embedding").orderBy(F.xxhash64("entry", F.lit(3)), "entry").limit(SAMPLE).collect()
@@ -126,8 +132,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = QUERY_EVERY) -> DataFra
     shards, blocks = math.ceil(n / SHARD), math.ceil(m / BLOCK)
     shard = F.pmod(F.xxhash64("entry", F.lit(1)), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("query", F.lit(2)), F.lit(blocks)).cast("int")
-    left = entries.select(shard.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "entry", "embedding")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), block.alias("b"), "query", "embedding")
+    left = entries.select(shard.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "entry", "embedding", F.get("ids", F.lit(0)).alias("owner"), (F.size("ids") == 1).alias("owned"))
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), block.alias("b"), "query", "embedding", "only", "alone")
 
     def cell(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "entry": [], "score": []}
@@ -136,12 +142,17 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = QUERY_EVERY) -> DataFra
             x, q = np.stack(entries["embedding"]).astype(float), np.stack(queries["embedding"]).astype(float)
             ids, index = entries["entry"].to_numpy(), MultiIndex(codes.encode(x))
             lengths = np.sqrt((x * x).sum(1))
-            for name, v, c in zip(queries["query"].tolist(), q, codes.encode(q), strict=True):
+            own = defaultdict(list)
+            for i, (owner, owned) in enumerate(zip(entries["owner"].tolist(), entries["owned"].tolist(), strict=True)):
+                if owned:
+                    own[owner].append(i)
+            for name, v, c, only, alone in zip(queries["query"].tolist(), q, codes.encode(q), queries["only"].tolist(), queries["alone"].tolist(), strict=True):
+                mine = own.get(only, []) if alone else []
                 r = radius
-                at = index.within(c, r)
-                while len(at) < min(keep, len(x)):
+                at = np.setdiff1d(index.within(c, r), mine)
+                while len(at) < min(keep, len(x) - len(mine)):
                     r = min(codes.bits, r + len(c))
-                    at = index.within(c, r)
+                    at = np.setdiff1d(index.within(c, r), mine)
                 score = x[at] @ v / (lengths[at] * np.sqrt((v * v).sum()))
                 if len(at) > keep:
                     # Equal scores stay together: the smaller id decides between them later.
