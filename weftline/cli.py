@@ -9,8 +9,10 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from weftline.plans import pipeline
+from weftline.storage import materialise
 
 log = logging.getLogger("weftline")
 
@@ -29,17 +31,43 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     return args
 
 
-def emit(result, out: str | None, pretty: bool) -> None:
-    """To standard output and, if asked for, a file; a file that cannot be written is only a warning."""
-    text = json.dumps(result, ensure_ascii=False, indent=2 if pretty else None)
-    print(text)
+def emit(rows, many: bool, out: str | None, pretty: bool) -> None:
+    """JSON to standard output and, if asked for, a file, one row after another; of many rows, a list.
+
+    A file that cannot be written is only a warning.
+    """
+    indent, file = 2 if pretty else None, None
     if out:
         try:
             Path(out).parent.mkdir(parents=True, exist_ok=True)
-            Path(out).write_text(text, encoding="utf-8")
+            file = Path(out).open("w", encoding="utf-8")
         except OSError as error:
             log.warning("cannot write %s: %s", out, error)
 
+    def write(text: str) -> None:
+        nonlocal file
+        sys.stdout.write(text)
+        if file:
+            try:
+                file.write(text)
+            except OSError as error:
+                log.warning("cannot write %s: %s", out, error)
+                file = None
+
+    try:
+        if many:
+            write("[")
+        for i, row in enumerate(rows):
+            text = json.dumps(row, ensure_ascii=False, indent=indent)
+            if many:
+                text = ("," if i else "") + ("\n  " + text.replace("\n", "\n  ") if pretty else " " * bool(i) + text)
+            write(text)
+        write(("\n]" if pretty else "]") * many)
+    finally:
+        sys.stdout.write("\n")
+        if file:
+            file.close()
+
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, extractor=None) -> int:
     args = parse_args(argv)
@@ -52,17 +80,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, extra
     spark = spark or SparkSession.builder.appName("weftline").getOrCreate()
     profiles, quarantine = pipeline.ingest(spark, args.ats, args.notes, **({"extractor": extractor} if extractor else {}))
     if quarantine is not None:
-        for row in quarantine.select("_source_id", "reason").toLocalIterator():
-            log.warning("%s is skipped: %s", row["_source_id"], row["reason"])
+        # Reasons and a few names; the rows themselves are in the quarantine frame.
+        for row in quarantine.groupBy("reason").agg(F.count("*").alias("n"), F.min("_source_id").alias("one")).orderBy(F.desc("n")).limit(20).collect():
+            log.warning("%d records are skipped, %s among them: %s", row["n"], row["one"], row["reason"])
     if not profiles.take(1):
         log.error("no source could be read")
         return 1
     try:
-        rows = [json.loads(r["json"]) for r in pipeline.run(profiles, config, args.all_candidates).orderBy("cluster_id").toLocalIterator()]
+        # All rows are made and written before the first is printed: an error prints none.
+        rows = materialise(pipeline.run(profiles, config, args.all_candidates), "projected").orderBy("cluster_id")
     except Exception as error:
         log.error("%s", error)
         return 1
-    emit(rows if args.all_candidates else rows[0], args.out, args.pretty)
+    emit((json.loads(r["json"]) for r in rows.toLocalIterator()), args.all_candidates, args.out, args.pretty)
     return 0
 
 
