@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.keys import join_keys
-from weftline.llm.tokens import bounded_batches, grouped, releasing
+from weftline.llm.tokens import blocks, bounded_batches, grouped, releasing
 from weftline.storage import materialise
 
 WORDS, SIMILARITY, LITERALS = 5, 0.8, 2
@@ -188,12 +188,14 @@ def _scan_frame(rows: DataFrame, keys: list[str], short: tuple[int, ...], bitmap
 
     def per_batch(batches):
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
-        for batch in grouped(batches, len(keys), 6_000_000):
-            found = list(scan(batch.column(len(keys)), bits, short))
-            at = pa.array([f[0] for f in found], pa.int64())
-            columns = [batch.column(i).take(at) for i in range(len(keys))]
-            columns += [pa.array([f[1] for f in found], pa.int32()), pa.array(np.array([f[2] for f in found], np.uint64).view(np.int64)), pa.array([f[3] for f in found], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "pos", "hash", "slots"])
+        for batch in grouped(batches, len(keys), 2_000_000):
+            for lo, hi in blocks(batch.column(len(keys)), size=2_000_000):
+                part = batch.slice(lo, hi - lo)
+                found = list(scan(pa.concat_arrays([part.column(len(keys))]), bits, short))
+                at = pa.array([f[0] for f in found], pa.int64())
+                columns = [part.column(i).take(at) for i in range(len(keys))]
+                columns += [pa.array([f[1] for f in found], pa.int32()), pa.array(np.array([f[2] for f in found], np.uint64).view(np.int64)), pa.array([f[3] for f in found], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "pos", "hash", "slots"])
 
     return rows.mapInArrow(releasing(per_batch), ", ".join(f"{k} long" for k in keys) + ", pos int, hash long, slots string")
 
