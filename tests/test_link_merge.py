@@ -57,9 +57,11 @@ def test_greedy_linkage(frame, records):
     assert got == want and max(map(len, oracle.greedy(records))) >= 5
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_greedy_linkage_of_bridges(spark, seed):
-    """Few keys, so that later records often bridge clusters."""
+@pytest.mark.parametrize("seed, replayed, span", [(0, 10_000, 100_000), (1, 10_000, 100_000), (2, 0, 7), (3, 0, 1), (4, 0, 100_000)])
+def test_greedy_linkage_of_bridges(spark, monkeypatch, seed, replayed, span):
+    """Few keys, so that later records often bridge clusters; by replay and by rounds, with split keys."""
+    monkeypatch.setattr(link, "REPLAYED", replayed)
+    monkeypatch.setattr(link, "SPAN", span)
     rng = random.Random(seed)
     rows = [{**record(rng, i), "emails": [f"e{rng.randrange(12)}@x" for _ in range(rng.randrange(3))], "phones": [f"+1000000{rng.randrange(6)}"] * rng.randrange(2)} for i in range(60)]
     frame = spark.createDataFrame(rows, RAW_PROFILE)
@@ -127,3 +129,30 @@ def test_resolve_scalar(spark):
     df = spark.createDataFrame(rows, "c string, cw double, i string, iw double")
     out = df.select(*[c.alias(k) for k, c in merge.resolve_scalar(F.col("c"), F.col("cw"), F.col("i"), F.col("iw")).items()]).collect()
     assert [tuple(r) for r in out] == [("x", 0.5, "initial_write", "x"), ("a", 0.5, None, None), ("a", 0.5, None, None), ("b", 0.9, "confidence_override", "b"), ("a", 0.9, "confidence_held", "a")]
+
+
+def test_upserts_equal_one_run(spark, tmp_path):
+    """Batches in any order of ordinals, one of them replayed, give the entities of one run over all records."""
+    from weftline.streaming import upsert
+
+    rng = random.Random(9)
+    rows = [{**record(rng, i), "emails": [f"e{rng.randrange(60)}@x" for _ in range(rng.randrange(1, 3))]} for i in range(60)]
+    everything = spark.createDataFrame(rows, RAW_PROFILE)
+    order = [2, 0, 3, 1]
+    for n in order:
+        spark.createDataFrame(rows[n * 15 : n * 15 + 15], RAW_PROFILE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(everything.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store = str(tmp_path / "store")
+    query = upsert.upsert_entities(stream, store).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+    def state(frame):
+        return {r.cluster_id: plain(r) for r in frame.select(*sorted(frame.columns)).collect()}
+
+    want = state(merge.consolidate(everything))
+    assert state(upsert.latest_entities(spark, store)) == want and len(want) < 60
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "store" / "profiles").glob("batch=*"))
+    assert last >= 3
+    again = spark.read.parquet(str(next(iter(sorted((tmp_path / "in").glob("*.parquet"), key=lambda p: p.stat().st_mtime, reverse=True)))))
+    upsert._add(again, last, store, "greedy")
+    assert state(upsert.latest_entities(spark, store)) == want
