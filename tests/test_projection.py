@@ -60,8 +60,16 @@ def test_writes_of_one_path(df):
     assert project(df, ("id", "a", "null"), ("tags[0]", "a.b", "omit")) == [{"a": {"b": "x"}}, {"a": 2}]
     assert project(df, ("tags[0]", "a.b", "omit"), ("id", "a", "null")) == [{"a": 1}, {"a": 2}]
     assert project(df, ("id", ".", "null")) == [{}, {}]
-    with pytest.raises(ValueError, match="whole"):
-        project(df, ("loc", "a", "null"), ("id", "a.b", "null"))
+
+
+def test_writes_into_a_whole_object(df):
+    assert project(df, ("loc", "a", "null"), ("id", "a.b", "null")) == [{"a": {"city": "Rome", "code": None, "b": 1}}, {"a": {"b": 2}}]
+    got = project(df, ("id", "a.city", "null"), ("name", "a.x", "null"), ("loc", "a", "omit"), ("tags[0]", "a.code", "omit"))
+    assert got == [{"a": {"city": "Rome", "code": "x"}}, {"a": None}]
+    assert project(df, ("loc", "a", "null"), ("id", "a.b", "null"), ("name", "a", "null")) == [{"a": "ann"}, {"a": None}]
+    assert project(df, ("loc", "a", "null"), ("tags[0]", "a.city.x", "omit")) == [{"a": {"city": {"x": "x"}, "code": None}}, {"a": None}]
+    (first, _) = project_json(df, {"fields": [{"from": ".", "path": "r", "on_missing": "null"}, {"from": "id", "path": "r.loc.zip", "on_missing": "null"}]}).collect()
+    assert json.loads(first.json)["r"]["loc"] == {"city": "Rome", "code": None, "zip": 1} and list(json.loads(first.json)["r"])[:2] == ["id", "name"]
 
 
 def test_flags(df):

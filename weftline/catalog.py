@@ -15,6 +15,7 @@ from weftline.functions.formats import FORMATS
 from weftline.operators import link as L
 from weftline.operators import merge as M
 from weftline.plans import pipeline, projection
+from weftline.plans import validate as V
 from weftline.sources import profiles as S
 
 # --- derived records ------------------------------------------------------------------------------------------------
@@ -288,7 +289,17 @@ def link_components(spark, sf_dir):
     return L.link(derived_profiles(spark, sf_dir), "transitive")
 
 
-@query()
+# The single pass itself, one record after the other in every component at once: ``held`` lists (key, cluster).
+_GREEDY = _COMPONENTS + """, rec AS (SELECT c.cluster_id AS comp, c.ordinal, coalesce(list(k.kind || ':' || k.key) FILTER (k.key IS NOT NULL), []) AS keys, row_number() OVER (PARTITION BY c.cluster_id ORDER BY c.ordinal) AS n
+        FROM comp c LEFT JOIN k ON c.ordinal = k.ordinal GROUP BY c.cluster_id, c.ordinal),
+    walk AS (SELECT comp, n, ordinal, ordinal AS cluster_id, list_transform(keys, lambda x: {'key': x, 'c': ordinal}) AS held FROM rec WHERE n = 1
+        UNION ALL SELECT comp, n, ordinal, joins, list_concat(held, list_transform(keys, lambda x: {'key': x, 'c': joins})) FROM (
+            SELECT rec.comp, rec.n, rec.ordinal, rec.keys, walk.held, coalesce(list_min(list_transform(list_filter(walk.held, lambda h: list_contains(rec.keys, h.key)), lambda h: h.c)), rec.ordinal) AS joins
+            FROM walk JOIN rec ON rec.comp = walk.comp AND rec.n = walk.n + 1)),
+    greedy AS (SELECT ordinal, cluster_id FROM walk)"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT ordinal, cluster_id FROM greedy")
 def link_greedy(spark, sf_dir):
     return L.link(derived_profiles(spark, sf_dir), "greedy")
 
@@ -394,13 +405,93 @@ def lineage_sources(spark, sf_dir):
     return _merged(spark, sf_dir).select("cluster_id", F.array_join("raw_sources", "|").alias("sources"))
 
 
-@query(f"""WITH {_RANKED}, v AS (SELECT cluster_id, rank, source_type AS source, {d_safe('full_name')} AS v FROM r), w AS (SELECT *, first_value(v) OVER (PARTITION BY cluster_id ORDER BY rank) AS winner, row_number() OVER (PARTITION BY cluster_id ORDER BY rank) AS n FROM v WHERE v IS NOT NULL),
-    em AS (SELECT cluster_id, rank, source_type AS source, unnest(emails) AS e, generate_subscripts(emails, 1) AS pos FROM r), en AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, lower({d_strip('e')}) ORDER BY rank, pos) AS n FROM em WHERE {d_strip('e')} <> '')
-    SELECT cluster_id, 'full_name' AS field, source, CASE WHEN n = 1 THEN 'initial_write' ELSE 'confidence_held' END AS method, winner AS value FROM w WHERE n = 1 OR lower(v) <> lower(winner)
-    UNION ALL SELECT cluster_id, 'emails', source, 'array_union', e FROM en WHERE n = 1""")
+def _scalar_log(stage: int, field: str, value: str, pos: int = 0, first: str | None = None) -> str:
+    """Audit rows of a scalar field: the first value is written, later ones that differ but for case are held."""
+    return f"""SELECT cluster_id, rank, {stage} AS stage, 0 AS phase, {pos} AS pos, '{field}' AS field, source_type AS source, CASE WHEN n = 1 THEN 'initial_write' ELSE 'confidence_held' END AS method, CASE WHEN n = 1 THEN raw ELSE winner END AS value
+        FROM (SELECT *, first_value(v) OVER w AS winner, row_number() OVER w AS n FROM (SELECT cluster_id, rank, source_type, {value} AS v, {first or value} AS raw FROM g) WHERE v IS NOT NULL WINDOW w AS (PARTITION BY cluster_id ORDER BY rank)) WHERE n = 1 OR lower(v) <> lower(winner)"""
+
+
+def _contact_log(stage: int, field: str, key: str) -> str:
+    return f"""SELECT cluster_id, rank, {stage}, 0, pos - 1, '{field}', source_type, 'array_union', e FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, key ORDER BY rank, pos) AS n
+        FROM (SELECT *, {key} AS key FROM (SELECT cluster_id, rank, source_type, unnest({field}) AS e, generate_subscripts({field}, 1) AS pos FROM g)) WHERE key <> '') WHERE n = 1"""
+
+
+_RAW_COUNTRY = f"coalesce({d_country('country')}, {d_safe('country')})"
+_JOB = "company || ' / ' || title"
+# ``g``: the ranked records, and whether a record is the first of its cluster that has a location.
+_LOG = f"""{_RANKED}, g AS (SELECT *, rank = min(CASE WHEN coalesce({d_safe('city')}, {d_safe('region')}, {d_safe('country')}) IS NOT NULL THEN rank END) OVER (PARTITION BY cluster_id) AS first_place FROM r),
+    skill AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, key ORDER BY rank, pos) AS n, first_value(name) OVER (PARTITION BY cluster_id, key ORDER BY rank, pos) AS spelt, row_number() OVER (PARTITION BY cluster_id, key, source_type ORDER BY rank, pos) AS by_source
+        FROM (SELECT *, {d_strip('s')} AS name, lower({d_strip('s')}) AS key FROM (SELECT cluster_id, rank, source_type, unnest(skills) AS s, generate_subscripts(skills, 1) AS pos FROM g)) WHERE name <> ''),
+    job AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, lower(company), lower(title) ORDER BY rank) AS n
+        FROM (SELECT cluster_id, rank, source_type, {d_safe('company')} AS company, {d_safe('title')} AS title, coalesce({d_date('started')}, {d_safe('started')}, '') AS started, coalesce({d_date('ended')}, {d_safe('ended')}) AS ended FROM g) WHERE company IS NOT NULL AND title IS NOT NULL),
+    school AS (SELECT cluster_id, rank, source_type, school, row_number() OVER (PARTITION BY cluster_id, lower(school) ORDER BY rank) AS n FROM g),
+    log AS ({_scalar_log(0, 'full_name', d_safe('full_name'))}
+        UNION ALL {_contact_log(1, 'emails', f"lower({d_strip('e')})")} UNION ALL {_contact_log(2, 'phones', d_phone('e'))}
+        UNION ALL SELECT cluster_id, rank, 3, 0, pos - 1, 'skills[' || spelt || ']', source_type, CASE WHEN n = 1 THEN 'initial_write' ELSE 'skill_source_added' END, spelt FROM skill WHERE by_source = 1
+        UNION ALL SELECT cluster_id, rank, 4, 0, 0, 'experience[' || company || '|' || title || ']', source_type, 'initial_write', {_JOB} || ' (' || started || ' → ' || coalesce(ended, 'Present') || ')' FROM job
+        UNION ALL SELECT cluster_id, rank, 4, 1, 0, 'experience[' || company || '|' || title || ']', source_type, 'duplicate_confirmed', {_JOB} FROM job WHERE n > 1
+        UNION ALL SELECT cluster_id, rank, 5, 0, 0, 'education[' || school || ']', source_type, 'initial_write', school FROM school
+        UNION ALL SELECT cluster_id, rank, 5, 1, 0, 'education[' || school || ']', source_type, 'duplicate_confirmed', school FROM school WHERE n > 1
+        UNION ALL {_scalar_log(6, 'location.city', d_safe('city'), 0)} UNION ALL {_scalar_log(6, 'location.region', d_safe('region'), 1)}
+        UNION ALL {_scalar_log(6, 'location.country', f'upper({_RAW_COUNTRY})', 2, f'CASE WHEN first_place THEN {_RAW_COUNTRY} ELSE upper({_RAW_COUNTRY}) END')}
+        UNION ALL {_scalar_log(7, 'links.linkedin', d_safe('linkedin'))})"""
+
+
+@query(f"WITH {_LOG} SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY rank, stage, phase, pos) - 1 AS place, field, source, method, value FROM log")
 def provenance_log(spark, sf_dir):
-    rows = _merged(spark, sf_dir).select("cluster_id", F.explode("provenance").alias("e")).select("cluster_id", "e.*")
-    return rows.filter(F.col("field").isin("full_name", "emails"))
+    """All audit rows of all stages, with their places in the entity's log."""
+    rows = _merged(spark, sf_dir).select("cluster_id", F.posexplode("provenance").alias("place", "e"))
+    return rows.select("cluster_id", F.col("place").cast("long").alias("place"), "e.*")
+
+
+@query(f"WITH {_JOBS} SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY rank) - 1 AS place, company, title FROM z WHERE n = 1")
+def experience_order(spark, sf_dir):
+    rows = _merged(spark, sf_dir).select("cluster_id", F.posexplode("experience").alias("place", "e"))
+    return rows.select("cluster_id", F.col("place").cast("long").alias("place"), "e.company", "e.title")
+
+
+# --- validation -----------------------------------------------------------------------------------------------------
+
+
+def _rough(spark, sf_dir) -> DataFrame:
+    """Entities that break rules and are not normalised."""
+    f, n = _flat(spark, sf_dir), F.col("ordinal")
+    null = F.lit(None).cast("string")
+    audit = F.struct(F.lit("full_name").alias("field"), F.when(n % 9 != 0, F.col("source_type")).alias("source"), F.lit("initial_write").alias("method"), F.col("full_name").alias("value"))
+    return f.select(
+        F.when(n % 6 != 0, F.col("source_id")).alias("candidate_id"),
+        F.concat("emails", "emails").alias("emails"),
+        "phones",
+        F.when(n % 4 != 0, F.struct("city", "region", "country")).alias("location"),
+        F.transform("skills", lambda x: F.struct(F.when(x != "BUILDING", x).alias("name"), F.when(n % 5 == 0, 1.5).otherwise(0.5).alias("confidence"), F.array("source_type").alias("sources"))).alias("skills"),
+        F.array(F.struct(F.concat(F.lit(" "), "company").alias("company"), F.when(n % 7 != 0, F.col("title")).alias("title"), F.lit("2020-01").alias("start"), null.alias("end"), null.alias("summary"))).alias("experience"),
+        F.array(F.struct(F.when(n % 8 != 0, F.concat("school", F.lit("  "))).alias("institution"), null.alias("degree"), null.alias("field_of_study"), null.alias("start"), null.alias("end"))).alias("education"),
+        F.when(n % 3 == 0, -0.5).when(n % 3 == 1, 1.0).alias("overall_confidence"),
+        F.array(audit).alias("provenance"),
+    )
+
+
+_PROBLEMS = {
+    "candidate_id is missing": "ordinal % 6 = 0",
+    "overall_confidence is not between 0 and 1": "ordinal % 3 <> 1",
+    "a skill has no name": "list_contains(skills, 'BUILDING')",
+    "a skill''s confidence is not between 0 and 1": "ordinal % 5 = 0 AND len(skills) > 0",
+    "a job has no company, title or start": "ordinal % 7 = 0",
+    "a school has no name": "ordinal % 8 = 0",
+    "an audit row is incomplete": "ordinal % 9 = 0",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT CASE WHEN ordinal % 6 <> 0 THEN source_id END AS candidate_id, '{problem}' AS problem FROM ({DUCK_PROFILES}) WHERE {rule}" for problem, rule in _PROBLEMS.items()))
+def validate_problems(spark, sf_dir):
+    return V.problems(_rough(spark, sf_dir))
+
+
+@query(f"""SELECT CASE WHEN ordinal % 6 <> 0 THEN source_id END AS candidate_id, CASE WHEN ordinal % 4 <> 0 THEN upper({d_strip('country')}) END AS country, CAST(len(list_distinct(emails)) + CAST(list_contains(list_transform(emails, lambda x: x IS NULL), true) AS INT) AS BIGINT) AS emails,
+    array_to_string(list_transform(list_filter(skills, lambda x: x <> 'BUILDING'), lambda x: {d_strip('x')}), '|') AS skills, company, CASE WHEN ordinal % 8 <> 0 THEN school END AS institution FROM ({DUCK_PROFILES})""")
+def validate_normalised(spark, sf_dir):
+    names = F.filter(F.transform("skills", lambda x: x["name"]), lambda x: x.isNotNull())
+    return V.normalised(_rough(spark, sf_dir)).select("candidate_id", "location.country", F.size("emails").cast("long").alias("emails"), F.array_join(names, "|").alias("skills"), F.col("experience")[0]["company"].alias("company"), F.col("education")[0]["institution"].alias("institution"))
 
 
 # --- projection -----------------------------------------------------------------------------------------------------
@@ -437,10 +528,11 @@ def proj_negative_index(spark, sf_dir):
     return _project(_entities(spark, sf_dir), ("emails[-1]", "last", "null"), ("emails[-4]", "far", "null")).select("cluster_id", "last", "far")
 
 
-@query(f"WITH {_RANKED}, {_SKILLS} SELECT cluster_id, array_to_string(names, '|') AS names FROM sm")
+@query(f"WITH {_RANKED}, {_SKILLS}, {_EMAILS} SELECT cluster_id, array_to_string(names, '|') AS names, array_to_string(emails, '|') AS emails FROM sm JOIN m USING (cluster_id)")
 def proj_wildcard(spark, sf_dir):
+    """A field of every item, and whole items."""
     got = _project(_entities(spark, sf_dir), ("skills[].name", "names", "null"), ("emails[]", "emails", "null"))
-    return got.select("cluster_id", F.array_join("names", "|").alias("names"))
+    return got.select("cluster_id", F.array_join("names", "|").alias("names"), F.array_join("emails", "|").alias("emails"))
 
 
 @query(f"""WITH {_RANKED}, {_EMAILS} SELECT cluster_id, '{{"fourth": ' || coalesce('"' || emails[4] || '"', 'null') || ', "gone": null}}' AS json FROM m""")
@@ -455,6 +547,36 @@ def proj_on_missing_omit(spark, sf_dir):
     return projection.project_json(_entities(spark, sf_dir), {"fields": fields}, keep=["cluster_id"])
 
 
+@query(f"""WITH {_RANKED}, {_EMAILS} SELECT cluster_id, '{{"first": "' || emails[1] || '", "github": null}}' AS json FROM m""")
+def proj_on_missing_error(spark, sf_dir):
+    """A present null is not missing, so nothing is raised."""
+    fields = [{"from": s, "path": p, "on_missing": "error"} for s, p in (("emails[0]", "first"), ("links.github", "github"))]
+    return projection.project_json(_entities(spark, sf_dir), {"fields": fields}, keep=["cluster_id"])
+
+
+@query(f"""WITH {_RANKED}, {_EMAILS} SELECT cluster_id, '{{"contact": ' || CASE WHEN emails[4] IS NULL THEN '"' || emails[1] || '"' ELSE '{{"fourth": "' || emails[4] || '"}}' END || ', "who": "' || emails[1] || '"}}' AS json FROM m""")
+def proj_nested_overwrite(spark, sf_dir):
+    """An object takes the place of a value where its path is present, and a value that of an object."""
+    writes = (("emails[0]", "contact", "null"), ("emails[3]", "contact.fourth", "omit"), ("full_name", "who.name", "null"), ("emails[0]", "who", "null"))
+    fields = [{"from": s, "path": p, "on_missing": m} for s, p, m in writes]
+    return projection.project_json(_entities(spark, sf_dir), {"fields": fields}, keep=["cluster_id"])
+
+
+@query(f"""WITH {_RANKED}, {_EMAILS}, l AS (SELECT cluster_id, arg_min(c, rank) FILTER (c IS NOT NULL) AS city, arg_min(g, rank) FILTER (g IS NOT NULL) AS region, arg_min(n, rank) FILTER (n IS NOT NULL) AS country
+        FROM (SELECT cluster_id, rank, {d_safe('city')} AS c, {d_safe('region')} AS g, upper({_RAW_COUNTRY}) AS n FROM r) GROUP BY ALL)
+    SELECT cluster_id, '{{"place": {{' || CASE WHEN coalesce(city, region, country) IS NULL THEN '' ELSE '"city": ' || coalesce('"' || city || '"', 'null') || ', "region": ' || coalesce('"' || region || '"', 'null') || ', "country": ' || coalesce('"' || country || '"', 'null') || ', ' END || '"mail": "' || emails[1] || '"}}}}' AS json FROM l JOIN m USING (cluster_id)""")
+def proj_write_into_object(spark, sf_dir):
+    fields = [{"from": s, "path": p, "on_missing": "null"} for s, p in (("location", "place"), ("emails[0]", "place.mail"))]
+    return projection.project_json(_entities(spark, sf_dir), {"fields": fields}, keep=["cluster_id"])
+
+
+@query(f"""WITH {_RANKED} SELECT DISTINCT cluster_id, '{{"gone": null}}' AS json FROM r""")
+def proj_unknown_format(spark, sf_dir):
+    """An unknown format raises only where its path is present."""
+    fields = [{"from": "no.such", "path": "gone", "on_missing": "null", "format": "nope"}, {"from": "emails[99]", "path": "far", "on_missing": "omit", "format": "nope"}]
+    return projection.project_json(_entities(spark, sf_dir), {"fields": fields}, keep=["cluster_id"])
+
+
 def _format(name: str, column: str, table: str, key: str):
     def run(spark, sf_dir):
         df = read(spark, sf_dir, table)
@@ -511,11 +633,12 @@ CONFIG = {
 
 _PHONES = f"""px AS (SELECT cluster_id, rank, unnest(phones) AS e, generate_subscripts(phones, 1) AS pos FROM r), py AS (SELECT *, {d_phone('e')} AS key FROM px WHERE {d_phone('e')} IS NOT NULL),
     pz AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, key ORDER BY rank, pos) AS n FROM py), pm AS (SELECT cluster_id, list(key ORDER BY rank, pos) AS phones FROM pz WHERE n = 1 GROUP BY ALL)"""
-_LINKED = _COMPONENTS + """, r AS (SELECT p.*, comp.cluster_id, CASE source_type WHEN 'ats' THEN 0.95::DOUBLE ELSE 0.75::DOUBLE END AS weight, row_number() OVER (PARTITION BY comp.cluster_id ORDER BY CASE source_type WHEN 'ats' THEN 0.95::DOUBLE ELSE 0.75::DOUBLE END DESC, ordinal) AS rank FROM p JOIN comp USING (ordinal))"""
+_LINKED = """, r AS (SELECT p.*, l.cluster_id, CASE source_type WHEN 'ats' THEN 0.95::DOUBLE ELSE 0.75::DOUBLE END AS weight, row_number() OVER (PARTITION BY l.cluster_id ORDER BY CASE source_type WHEN 'ats' THEN 0.95::DOUBLE ELSE 0.75::DOUBLE END DESC, ordinal) AS rank FROM p JOIN {} l USING (ordinal))"""
 _TITLE = r"array_to_string(list_transform(regexp_extract_all(lower(x), '\p{L}+|\P{L}+'), lambda t: upper(t[1]) || t[2:]), '')"
-_PIPELINE_SQL = f"""WITH RECURSIVE {_LINKED}, {_EMAILS}, {_PHONES}, {_SKILLS}, h AS (SELECT cluster_id, {d_safe('full_name')} AS x, weight FROM r WHERE rank = 1)
+_RUN_SQL = f"""{_EMAILS}, {_PHONES}, {_SKILLS}, h AS (SELECT cluster_id, {d_safe('full_name')} AS x, weight FROM r WHERE rank = 1)
     SELECT cluster_id, '{{"id": "cand-' || left(sha256(array_to_string(list_sort(list_distinct(list_concat(emails, coalesce(phones, [])))), '|')), 12) || '", "name": "' || {_TITLE} || '", "contact": {{"email": "' || emails[1] || '"' || coalesce(', "phone": "' || phones[1] || '"', '') || '}}, "skill_count": ' || len(names) || ', "overall_confidence": ' || weight || '}}' AS json
     FROM h JOIN m USING (cluster_id) LEFT JOIN pm USING (cluster_id) JOIN sm USING (cluster_id)"""
+_PIPELINE_SQL = f"WITH RECURSIVE {_COMPONENTS}{_LINKED.format('comp')}, {_RUN_SQL}"
 
 
 @query(_PIPELINE_SQL)
@@ -528,7 +651,7 @@ def first_candidate(spark, sf_dir):
     return pipeline.run(derived_profiles(spark, sf_dir).drop("grp"), CONFIG, linkage="transitive")
 
 
-@query()
+@query(f"WITH RECURSIVE {_GREEDY}{_LINKED.format('greedy')}, {_RUN_SQL}")
 def all_candidates(spark, sf_dir):
     """The default, greedy linkage, over all entities."""
     return pipeline.run(derived_profiles(spark, sf_dir).drop("grp"), CONFIG, all_candidates=True)

@@ -156,7 +156,7 @@ def _tree(record: Value, config: Config, formats: dict[str, Format]) -> _Node:
         for part in parts:
             node = node.children.setdefault(part, _Node())
         if parts:
-            order = put.order = put.order + 1
+            order = put.order = put.order + 2  # the odd numbers are for fields of whole objects
             node.writes.append(_Write(order, value))
 
     put.order = 0
@@ -201,8 +201,28 @@ def _writes_below(node: _Node) -> list[_Write]:
     return [w for c in node.children.values() for w in (*c.writes, *_writes_below(c))]
 
 
+def _opened(node: _Node) -> _Node:
+    """The node, with the fields of an object written whole as children if later writes go into that object."""
+    below = max((w.order for w in _writes_below(node)), default=0)
+    whole = [w for w in node.writes if isinstance(w.value.kind, T.StructType) and w.order < below]
+    if not whole:
+        return node
+    children = {k: _Node(list(c.writes), c.children) for k, c in node.children.items()}
+    for w in whole:
+        present = w.value.present & w.value.column.isNotNull()
+        for f in w.value.kind.fields:
+            children.setdefault(f.name, _Node()).writes.append(_Write(w.order + 1, Value(present, w.value.column.getField(f.name), f.dataType)))
+    for c in children.values():
+        c.writes.sort(key=lambda w: w.order)
+    # Fields of one object share an order and keep their places in it.
+    place = {f.name: i for w in whole for i, f in enumerate(w.value.kind.fields)}
+    first = lambda k: (min(w.order for w in (*children[k].writes, *_writes_below(children[k]))), place.get(k, -1))
+    return _Node(node.writes, {k: children[k] for k in sorted(children, key=first)})
+
+
 def _render(node: _Node, after: Column | None) -> tuple[Column, Column]:
     """(does the node exist, its JSON text), counting writes with an order above ``after`` only."""
+    node = _opened(node)
     live = [(w, w.value.present if after is None else w.value.present & (F.lit(w.order) > after)) for w in node.writes]
     leaf = None
     for w, ok in live:
@@ -212,8 +232,6 @@ def _render(node: _Node, after: Column | None) -> tuple[Column, Column]:
     here = reduce(lambda a, b: a | b, [ok for _, ok in live]) if live else F.lit(False)
     if not node.children:
         return here, leaf
-    if any(isinstance(w.value.kind, T.StructType) and w.order < max(x.order for x in _writes_below(node)) for w in node.writes):
-        raise ValueError("a path writes into an object that another path has written whole")
     if node.writes:
         floor = F.greatest(_last(node), F.lit(0) if after is None else after)
         inside, text = _object(node, floor)
