@@ -1,6 +1,6 @@
 """Normalisers as Column functions: ``try_*`` gives null for what cannot be normalised, ``strict`` raises.
 
-Everything here is a built-in expression, so it stays inside whole-stage code generation.
+Everything here is a built-in expression that runs in the JVM, without Python workers.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from weftline.functions.normalize import clean_list, email_key, safe_str, source_weight, strip, try_country, try_date, try_phone
 from weftline.operators.link import link
 from weftline.schemas import CANONICAL, struct_of, type_of
+from weftline.storage import materialise
 
 # What an audit row says has happened.
 INITIAL, OVERRIDE, HELD, UNION, SOURCE_ADDED, CONFIRMED = "initial_write", "confidence_override", "confidence_held", "array_union", "skill_source_added", "duplicate_confirmed"
@@ -145,6 +146,8 @@ def merge(profiles: DataFrame, clusters: DataFrame, weights: dict[str, float] |
     first_place = F.min(F.when(F.col("_placed"), F.col("rank"))).over(Window.partitionBy("cluster_id"))
     # The country of the first record that has a location is logged as it was written.
     p = p.withColumn("_logged_country", F.when(F.col("rank") == first_place, F.col("_raw_country")).otherwise(F.col("_country")))
+    # Every field has a branch of its own; ranks and cleaned values are made once for all of them.
+    p = materialise(p, "ranked")
 
     events, winners = [], {}
     scalars = [("full_name", "full_name", "_name", 0)] + [("location", f"location.{k}", f"_{k}", i) for i, k in enumerate(("city", "region", "country"))] + [("links", f"links.{k}", f"_{k}", i) for i, k in enumerate(links)]

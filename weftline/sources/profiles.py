@@ -55,14 +55,11 @@ def _kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
-def _text(v: Column) -> Column:
-    """The string form of a value; booleans are capitalised."""
-    s = F.try_variant_get(v, "$", "string")
-    return F.when(_kind(v) == "BOOLEAN", F.initcap(s)).when(_kind(v) == "VOID", None).otherwise(s)
+def _text_of(kind: Column, s: Column) -> Column:
+    return F.when(kind == "BOOLEAN", F.initcap(s)).when(kind == "VOID", None).otherwise(s)
 
 
-def _truthy(v: Column) -> Column:
-    s, kind = F.try_variant_get(v, "$", "string"), _kind(v)
+def _truthy_of(kind: Column, s: Column) -> Column:
     return F.coalesce(
         F.when(kind == "VOID", False)
         .when(kind == "STRING", s != "")
@@ -73,17 +70,34 @@ def _truthy(v: Column) -> Column:
     )
 
 
-def _pick(v: Column, keys: tuple[str, ...]) -> Column:
-    """The first truthy value among the names of a field, as a variant."""
-    return F.coalesce(*[F.when(_truthy(_get(v, k)), _get(v, k)) for k in keys])
+def _text(v: Column) -> Column:
+    """The string form of a value; booleans are capitalised."""
+    return _text_of(_kind(v), F.try_variant_get(v, "$", "string"))
+
+
+def _truthy(v: Column) -> Column:
+    return _truthy_of(_kind(v), F.try_variant_get(v, "$", "string"))
+
+
+def _found(v: Column, keys: tuple[str, ...]) -> Column:
+    """The values ``v, kind, s`` that a variant has under some names. Every name is read once, whatever is asked of it."""
+    values = F.filter(F.array(*[_get(v, k) for k in keys]), lambda x: x.isNotNull())
+    return F.transform(values, lambda x: F.struct(x.alias("v"), _kind(x).alias("kind"), F.try_variant_get(x, "$", "string").alias("s")))
+
+
+def _chosen(v: Column, keys: tuple[str, ...]) -> Column:
+    """The truthy ones among them; the first is the value of a field."""
+    return F.filter(_found(v, keys), lambda f: _truthy_of(f["kind"], f["s"]))
 
 
 def _field(v: Column, name: str, fallback: str | None = None) -> Column:
-    return safe_str(_text(_pick(v, KEYS[name])), fallback)
+    text = F.get(F.transform(F.slice(_chosen(v, KEYS[name]), 1, 1), lambda f: safe_str(_text_of(f["kind"], f["s"]))), F.lit(0))
+    return text if fallback is None else F.coalesce(text, F.lit(fallback))
 
 
 def _all(v: Column, name: str) -> Column:
-    return F.array_compact(F.array(*[safe_str(_text(_get(v, k))) for k in KEYS[name]]))
+    texts = F.transform(_found(v, KEYS[name]), lambda f: safe_str(_text_of(f["kind"], f["s"])))
+    return F.coalesce(F.array_compact(texts), F.array().cast("array<string>"))
 
 
 def _list(v: Column) -> Column:
@@ -107,8 +121,8 @@ def map_json_documents(docs: DataFrame, source_type: str = "ats") -> tuple[DataF
     """``(profiles, quarantine)`` of rows ``_source_id, value``; value is the text of one JSON object."""
     v = F.col("v")
     rows = docs.select("_source_id", "value", F.try_parse_json("value").alias("v"))
-    wrong = lambda key: _truthy(_get(v, key)) & (_kind(_get(v, key)) != "OBJECT")
-    listless = lambda key: _truthy(_get(v, key)) & ~_kind(_get(v, key)).isin("ARRAY", "OBJECT", "STRING")
+    wrong = lambda key: F.exists(_chosen(v, (key,)), lambda f: f["kind"] != "OBJECT")
+    listless = lambda key: F.exists(_chosen(v, (key,)), lambda f: ~f["kind"].isin("ARRAY", "OBJECT", "STRING"))
     reason = (
         F.when(v.isNull(), "not valid JSON")
         .when(_kind(v) != "OBJECT", "not a JSON object")
@@ -129,7 +143,7 @@ def map_json_documents(docs: DataFrame, source_type: str = "ats") -> tuple[DataF
         _all(v, "phones").alias("phones"),
         F.struct(*[_field(place, k).alias(k) for k in ("city", "region", "country")]).alias("location"),
         F.struct(*[_field(social, k).alias(k) for k in ("linkedin", "github", "portfolio")], F.expr("cast(array() as array<string>)").alias("other")).alias("links"),
-        _strings(_pick(v, KEYS["skills"])).alias("skills"),
+        F.coalesce(F.get(F.transform(F.slice(_chosen(v, KEYS["skills"]), 1, 1), lambda f: _strings(f["v"])), F.lit(0)), F.expr("cast(array() as array<string>)")).alias("skills"),
         F.filter(experience, lambda x: x["company"].isNotNull() & x["title"].isNotNull()).alias("experience"),
         F.filter(education, lambda x: x["institution"].isNotNull()).alias("education"),
         "_source_id",
