@@ -191,6 +191,23 @@ def test_every_position_sees_half_a_window_before_it(scorer):
         assert abs(scorer.positions(other, at)[0][q] - lp[q]) > 1e-7
 
 
+def test_places_are_computed_once(scorer, monkeypatch):
+    """A text costs its places and what fills its last half window, a short one half a window."""
+    computed, rng = [], np.random.default_rng(8)
+
+    class Counted(lm.Hidden):
+        def __call__(self, x, first=0):
+            out = super().__call__(x, first)
+            computed.append(out.shape[0] * out.shape[1])
+            return out
+
+    monkeypatch.setattr(lm, "Hidden", Counted)
+    for n in (0, 3, lm.OVERLAP - 1, lm.OVERLAP, lm.WINDOW, 300):
+        computed.clear()
+        scorer.positions(rng.integers(0, 50257, n), np.array([0, n]))
+        assert sum(computed) == -(-(n + 1) // lm.OVERLAP) * lm.OVERLAP
+
+
 def test_training_takes_every_window(spark, scorer, monkeypatch):
     """Every id of every training text is asked for once, also beyond the sample's bounds; the windows' number grows along."""
     line = np.concatenate([[-1], np.arange(20_000), [-2]])
@@ -225,6 +242,23 @@ def test_gradients(scorer):
         assert (losses[0] - losses[1]) / (2 * step) == pytest.approx(float(g[k][i]), rel=2e-2, abs=1e-5)
 
 
+def test_gradients_of_queries_keys_and_values(scorer):
+    """They are taken through products of weights: each against differences of the loss."""
+    v, rng, d = scorer.vocabulary, np.random.default_rng(12), lm.WIDTH
+    m = {k: x.astype(np.float64) for k, x in lm.init(v).items()}
+    x, y, w = rng.integers(0, v.inputs, (2, lm.WINDOW)), rng.integers(0, v.classes, (2, lm.WINDOW)), np.ones((2, lm.WINDOW))
+    _, g = lm.gradients(m, v, scorer.tables, x, y, w)
+    for k, part in (("qkv", slice(0, d)), ("qkv", slice(d, 2 * d)), ("qkv", slice(2 * d, 3 * d)), ("o", slice(0, d)), ("e", slice(0, d)), ("p", slice(0, d))):
+        mine, own = g[k][:, part], m[k][:, part]
+        for i in (np.unravel_index(j, mine.shape) for j in np.argsort(-np.abs(mine), axis=None)[:3]):
+            old, losses = own[i], []
+            for step in (1e-4, -1e-4):
+                own[i] = old + step
+                losses.append(lm.gradients(m, v, scorer.tables, x, y, w)[0])
+            own[i] = old
+            assert (losses[0] - losses[1]) / 2e-4 == pytest.approx(float(mine[i]), rel=2e-2, abs=1e-5)
+
+
 def test_batches_of_a_column_do_not_matter(scorer):
     texts = ["The of the", None, "", "x" * 300 + " of", "the"] * 3
     a = scorer.texts(pa.array(texts))

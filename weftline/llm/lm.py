@@ -11,7 +11,7 @@ steps grow with the corpus. The same rows in the same partitions give the same w
 
 Whole texts are scored in windows of ``WINDOW`` positions that overlap by ``OVERLAP``; each position is scored once, in
 the first window that holds it, under a causal mask, many windows at a time: after a text's first window it sees the
-``OVERLAP`` subwords before it at least and WINDOW - 1 at most. A word's probability is that of its subwords
+``OVERLAP`` subwords before it at least and WINDOW - 1 at most. No place is computed twice. A word's probability is that of its subwords
 and of its end; it is mixed with the word unigram (weight ``UNIGRAM``).
 
 Words outside a broadcast head meet their counts, for the base score and for the unigram, in a join. The head holds at
@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -278,61 +279,75 @@ def gradients(m: dict, v: Vocabulary, t: Tables, x: np.ndarray, y: np.ndarray, w
     """
     n, d = x.shape[0], WIDTH
     x, y = x.reshape(-1), y.reshape(-1)
-    h0 = (m["e"].take(x, 0).reshape(n, WINDOW, d) + m["p"]).reshape(-1, d)
-    qkv = h0 @ m["qkv"]
-    q, k, vv = (np.ascontiguousarray(qkv[:, i * d : (i + 1) * d]).reshape(n, WINDOW, d) for i in range(3))
-    q *= np.float32(d**-0.5)
-    s = _weights(np.matmul(q, k.transpose(0, 2, 1)), _MASK)
-    s /= s @ np.ones((WINDOW, 1), s.dtype)
-    a = np.matmul(s, vv).reshape(-1, d)
-    h1 = h0 + a @ m["o"]
-    u = np.maximum(h1 @ m["u"], 0)
-    h = h1 + u @ m["d"]
+    # Queries times keys and values times "o" are one product of weights each, so keys are the inputs themselves.
+    asks, keys, values = m["qkv"][:, :d] * np.float32(d**-0.5), m["qkv"][:, d : 2 * d], m["qkv"][:, 2 * d :]
+    both = np.concatenate([asks @ keys.T, values @ m["o"]], 1)
+    h0 = m["e"].take(x, 0).reshape(n, WINDOW, d)
+    h0 += m["p"]
+    flat = h0.reshape(-1, d)
+    qv = (flat @ both).reshape(n, WINDOW, 2 * d)
+    q, vv = qv[..., :d], qv[..., d:]
+    s = _weights(np.matmul(q, h0.transpose(0, 2, 1)), _MASK)
+    part = 1 / (s @ np.ones((WINDOW, 1), s.dtype))  # rows of s are left unscaled: what they meet is scaled
+    a = np.matmul(s, vv)
+    a *= part
+    h1 = flat + a.reshape(-1, d)
+    u = h1 @ m["u"]
+    u += np.abs(u)  # twice the rectified values
+    h = u @ (m["d"] * np.float32(0.5))
+    h += h1
     w = (weight / max(weight.sum(), 1)).reshape(-1).astype(np.float32)
     at_space = y < v.inner
     side = 1 / (1 + np.exp(-np.clip((h @ m["s"])[:, 0] + t.space[x], -30, 30)))
     loss = -np.dot(np.log(np.where(at_space, side, 1 - side) + 1e-30), w)
     ds = ((side - at_space) * w)[:, None].astype(h.dtype)
     g = {"out": np.zeros_like(m["out"]), "b": np.zeros_like(m["b"]), "s": h.T @ ds}
-    dh = ds @ m["s"].T
+    dh = ds * m["s"].T
     # Classes of one side only are asked for at a position.
     for which, lo, hi in ((at_space, 0, v.inner), (~at_space, v.inner, v.classes)):
         rows = np.flatnonzero(which & (w > 0))
         if not len(rows):
             continue
-        hr, out = h.take(rows, 0), np.ascontiguousarray(m["out"][:, lo:hi])
+        hr, out, wr = h.take(rows, 0), np.ascontiguousarray(m["out"][:, lo:hi]), w[rows]
         p = hr @ out
-        p += m["b"][lo:hi]
-        p += t.first if lo == 0 else t.prior.take(x[rows], 0)
+        if lo == 0:
+            p += m["b"][lo:hi] + t.first
+        else:
+            p += m["b"][lo:hi]
+            p += t.prior.take(x[rows], 0)
         if p.max() > MOST:
             p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
-        total, at = p @ np.ones((hi - lo, 1), p.dtype), (np.arange(len(rows)), y[rows] - lo)
-        loss -= np.dot(np.log(p[at] / total[:, 0] + 1e-30), w[rows])
-        p *= w[rows, None] / total
-        p[at] -= w[rows]
-        g["out"][:, lo:hi], g["b"][lo:hi] = hr.T @ p, np.ones(len(rows), p.dtype) @ p
+        total, at = p @ np.ones((hi - lo, 1), p.dtype), np.arange(len(rows)) * (hi - lo) + (y[rows] - lo)
+        one = p.reshape(-1)
+        loss -= np.dot(np.log(one[at] / total[:, 0] + 1e-30), wr)
+        p *= wr[:, None] / total
+        one[at] -= wr
+        g["out"][:, lo:hi], g["b"][lo:hi] = (p.T @ hr).T, np.ones(len(rows), p.dtype) @ p
         dh[rows] += p @ out.T
-    g["d"] = u.T @ dh
+    g["d"] = np.float32(0.5) * (u.T @ dh)
     du = dh @ m["d"].T
     du *= u > 0
-    g["u"] = h1.T @ du
+    g["u"] = np.ascontiguousarray(h1.T) @ du
     dh += du @ m["u"].T
-    g["o"] = a.T @ dh
-    da = dh @ m["o"].T
+    da = dh.reshape(n, WINDOW, d)
     # What a row's weights share is the product of its output and that output's gradient.
-    shared = np.matmul((da * a).reshape(n, WINDOW, d), np.ones((d, 1), h.dtype))
-    da = da.reshape(n, WINDOW, d)
+    a *= da
+    shared = a @ np.ones((d, 1), h.dtype)
+    shared *= part
+    da = da * part
     ds = np.matmul(da, vv.transpose(0, 2, 1))
     ds -= shared
     ds *= s
-    dqkv = np.empty_like(qkv)
-    dqkv[:, :d] = np.matmul(ds, k).reshape(-1, d)
-    dqkv[:, :d] *= np.float32(d**-0.5)
-    dqkv[:, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, d)
-    dqkv[:, 2 * d :] = np.matmul(s.transpose(0, 2, 1), da).reshape(-1, d)
-    g["qkv"] = h0.T @ dqkv
-    dh += dqkv @ m["qkv"].T
+    dqv = np.empty_like(qv)
+    dqv[..., :d] = np.matmul(ds, h0)
+    dqv[..., d:] = np.matmul(s.transpose(0, 2, 1), da)
+    dh += np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, d)
+    dqv = dqv.reshape(-1, 2 * d)
+    dboth = np.ascontiguousarray(flat.T) @ dqv
+    g["qkv"] = np.concatenate([dboth[:, :d] @ keys * np.float32(d**-0.5), dboth[:, :d].T @ asks, dboth[:, d:] @ m["o"].T], 1)
+    g["o"] = values.T @ dboth[:, d:]
+    dh += dqv @ both.T
     g["p"] = dh.reshape(n, WINDOW, d).sum(0)
     g["e"] = np.bincount((x[:, None] * d + np.arange(d)).reshape(-1), weights=dh.reshape(-1), minlength=m["e"].size).astype(m["e"].dtype).reshape(m["e"].shape)
     return float(loss), g
@@ -346,24 +361,24 @@ class Hidden:
         parts = [m["qkv"][:, :d] * np.float32(d**-0.5), m["qkv"][:, d : 2 * d], m["qkv"][:, 2 * d :] @ m["o"]]
         asks, holds = np.concatenate([parts[0], np.eye(d, dtype=m["e"].dtype)], 1), np.concatenate(parts[1:], 1)
         self.asks, self.holds = (m["e"] @ asks, m["p"] @ asks), (m["e"] @ holds, m["p"] @ holds)
-        self.up, self.down = m["u"], m["d"]
+        self.up, self.down = m["u"], m["d"] * np.float32(0.5)
 
     def __call__(self, x: np.ndarray, first: int = 0) -> np.ndarray:
-        """Of the places from ``first`` on of windows of input numbers (n x WINDOW): n x (WINDOW - first) x WIDTH."""
-        n, d, rows = x.shape[0], WIDTH, WINDOW - first
+        """Of the places from ``first`` on of the first places of windows, given as input numbers (n x size): n x (size - first) x WIDTH."""
+        n, size, d = *x.shape, WIDTH
         asks = self.asks[0].take(x[:, first:], 0)
-        asks += self.asks[1][first:]
+        asks += self.asks[1][first:size]
         holds = self.holds[0].take(x, 0)
-        holds += self.holds[1]
-        s = _weights(np.matmul(asks[..., :d], holds[..., :d].transpose(0, 2, 1)), _MASK[first:])
+        holds += self.holds[1][:size]
+        s = _weights(np.matmul(asks[..., :d], holds[..., :d].transpose(0, 2, 1)), _MASK[first:size, :size])
         h = np.matmul(s, holds[..., d:])
-        h /= s @ np.ones((WINDOW, 1), s.dtype)
+        h /= s @ np.ones((size, 1), s.dtype)
         h += asks[..., d:]
         h = h.reshape(-1, d)
         u = h @ self.up
-        np.maximum(u, 0, out=u)
+        u += np.abs(u)  # twice the rectified values
         h += u @ self.down
-        return h.reshape(n, rows, d)
+        return h.reshape(n, size - first, d)
 
 
 def fit(v: Vocabulary, t: Tables, windows: np.ndarray, steps: int | None = None, seed: int = 9) -> dict:
@@ -416,51 +431,65 @@ class Scorer:
         ``ids`` are the subwords of all texts, ``at`` their offsets; a text's end stands after its subwords.
         """
         v, m, t = self.vocabulary, self.weights, self.tables
+        shares, own, numbers, kinds = self.shares
         lengths = np.diff(at) + 1
         start = np.concatenate([[0], np.cumsum(lengths)])
-        given, asked, inside = np.zeros(start[-1], np.int32), np.zeros(start[-1], np.int32), np.zeros(start[-1])
+        total = int(start[-1])
+        # A window may reach beyond the last text; -1 asks for nothing.
+        given, asked, lp, side = np.zeros(total + WINDOW, np.int32), np.full(total + WINDOW, -1, np.int32), np.zeros(total), np.zeros(total, np.float32)
         where = np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), np.diff(at))
-        number, kind = v.input[ids], v.output[ids]
+        number, kind = numbers.take(ids), kinds.take(ids)
+        asked[start[1:] - 1] = 0
         asked[where], given[where + 1] = kind, number
         # A text's own beginning is 0, like the space before its first word.
         seen = np.concatenate([[0], kind])[: len(ids)]
         seen[kind < v.inner] = 0
         seen[at[:-1][np.diff(at) > 0]] = 0
-        inside[where] = np.where(t.single[ids], t.inside[seen, number], v.inside[ids] + t.back[seen, kind])
-        step = WINDOW - OVERLAP
-        n = 1 + -(-np.maximum(lengths - WINDOW, 0) // step)
-        text = np.repeat(np.arange(len(n)), n)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        begin, end = start[text] + nth * step, start[text + 1]
-        lp, side = np.zeros(start[-1]), np.zeros(start[-1])
-        within = np.arange(WINDOW)
+        seen *= v.inputs
+        seen += number
+        lp[where] = shares.take(seen)
+        lp[where] += own.take(ids)
+        # The first OVERLAP places of a text stand alone; a window then asks for its other places, and the part that is
+        # known gives keys and values only. So no place is computed twice.
+        step, each = WINDOW - OVERLAP, np.arange(WINDOW)
+        n = -(-np.maximum(lengths - OVERLAP, 0) // step)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         states = Hidden(m)
         first, inner = m["b"][: v.inner] + t.first, t.prior + m["b"][v.inner :]
-        out = np.ascontiguousarray(m["out"][:, : v.inner]), np.ascontiguousarray(m["out"][:, v.inner :])
-        ones = [np.ones((o.shape[1], 1), np.float32) for o in out]
-        # The part of a window that the one before has scored only gives keys and values.
-        for known, windows in ((0, np.flatnonzero(nth == 0)), (OVERLAP, np.flatnonzero(nth > 0))):
-            for lo in range(0, len(windows), BATCH):
-                some = windows[lo : lo + BATCH]
-                pos = begin[some, None] + within
-                ok = pos < end[some, None]
-                pos[~ok] = 0
-                h = states(given[pos], known).reshape(-1, WIDTH)
-                pos, ok = pos[:, known:].reshape(-1), ok[:, known:].reshape(-1)
-                go, stands = (h @ m["s"])[:, 0], asked[pos] < v.inner
-                for which, o, one in ((ok & stands, out[0], ones[0]), (ok & ~stands, out[1], ones[1])):
-                    rows = np.flatnonzero(which)
-                    q = pos[rows]
-                    before = given[q]
-                    side[q] = go[rows] + t.space[before]
+        outs = [np.ascontiguousarray(m["out"][:, : v.inner]), np.ascontiguousarray(m["out"][:, v.inner :])]
+        ones = [np.ones((o.shape[1], 1), np.float32) for o in outs]
+        for known, size, begin, end in ((0, OVERLAP, start[:-1], start[1:]), (OVERLAP, WINDOW, np.repeat(start[:-1], n) + nth * step, np.repeat(start[1:], n))):
+            for lo in range(0, len(begin), BATCH):
+                pos = begin[lo : lo + BATCH, None] + each[:size]
+                x = given.take(pos)
+                h = states(x, known).reshape(-1, WIDTH)
+                pos, x = pos[:, known:], x[:, known:].reshape(-1)
+                y = np.where(pos < end[lo : lo + BATCH, None], asked.take(pos), -1).reshape(-1)
+                pos = pos.reshape(-1)
+                go = (h @ m["s"])[:, 0]
+                go += t.space.take(x)
+                for lowest, rows, o, one in ((0, np.flatnonzero((y >= 0) & (y < v.inner)), outs[0], ones[0]), (v.inner, np.flatnonzero(y >= v.inner), outs[1], ones[1])):
+                    q = pos.take(rows)
+                    side[q] = go.take(rows)
                     z = h.take(rows, 0) @ o
-                    z += first if o is out[0] else inner.take(before, 0)
+                    z += inner.take(x.take(rows), 0) if lowest else first
                     if len(z) and z.max() > MOST:
                         z -= z.max(1, keepdims=True)
-                    picked = z[np.arange(len(q)), asked[q] - (0 if o is out[0] else v.inner)]
+                    picked = z.reshape(-1).take(np.arange(len(q)) * o.shape[1] + (y.take(rows) - lowest))
                     np.exp(z, out=z)
-                    lp[q] = picked - np.log((z @ one)[:, 0])
-        return lp + inside, -np.logaddexp(0, -side), -np.logaddexp(0, side)
+                    picked -= np.log((z @ one)[:, 0])
+                    lp[q] += picked
+        # Logs of both sides, from the odds.
+        space = np.minimum(side, 0) - np.log1p(np.exp(-np.abs(side)))
+        return lp, space, space - side
+
+    @cached_property
+    def shares(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """An id's share of its class, as a part by the class before and its input number and one of its own; input numbers and classes of ids."""
+        v, t = self.vocabulary, self.tables
+        by = t.inside.copy()
+        by[:, 1 : v.classes + 1] = t.back  # ids without a number of their own are seen as 1 + their class
+        return by.reshape(-1), np.where(t.single, 0, v.inside), v.input.astype(np.int32), v.output.astype(np.int32)
 
     def texts(self, texts: pa.Array) -> dict[str, list]:
         """Scores of a string column, and what its words outside the head still need for the base score."""
