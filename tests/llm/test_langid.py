@@ -130,3 +130,31 @@ def test_columns_of_any_name_stay(spark, model):
 
 def test_no_letter():
     assert [langid.has_letter(t) for t in (None, "", "12 !", "中", "a", "é")] == [False, False, False, True, True, True]
+
+
+def test_the_driver_holds_counts_without_their_zeros(spark):
+    import tracemalloc
+    import zlib
+
+    rng = np.random.default_rng(4)
+    languages = ["a", "b", "c"]
+    y = np.arange(600) % 3
+    dense = np.stack([langid.counts("abc"[k] * 20 + "".join(rng.choice(list("abcdef"), 60))) for k in y])
+    held = np.arange(600) % 5 == 0
+    # As the features of texts come to the driver.
+    seen, real = [], langid.train
+    langid.train = lambda x, *rest: seen.append(x) or real(x, *rest)
+    try:
+        langid.fit(spark.createDataFrame([(i, "en", "some words of text " * 3) for i in range(40)], "doc_id long, lang string, text string"))
+    finally:
+        langid.train = real
+    assert not isinstance(seen[0], np.ndarray)
+    x = type(seen[0])([zlib.compress(r.astype("<u4").tobytes(), 1) for r in dense])
+    assert (np.stack(list(x)) == dense).all() and x.max() == dense.max() and type(x)([]).max() == 0
+    tracemalloc.start()
+    model = langid.train(x, y, languages, held)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    same = langid.train(dense, y, languages, held)
+    assert (model.table == same.table).all() and (model.bias == same.bias).all() and model.threshold == same.threshold
+    assert most < 600 * langid.BUCKETS * 4

@@ -13,6 +13,7 @@ read whole; other columns are never read by a prediction and keep their names an
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +47,36 @@ def counts(text: str) -> np.ndarray:
     return out
 
 
+class Counts:
+    """Rows of counts of buckets, from bytes as ``features`` sends them. Only rows that are asked for are held with their zeros."""
+
+    def __init__(self, packed: list[bytes]):
+        self.bucket, self.count = [], []
+        for p in packed:
+            row = np.frombuffer(zlib.decompress(p), "<u4")
+            some = np.flatnonzero(row)
+            self.bucket.append(some.astype(np.uint16))
+            self.count.append(row[some])
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), BUCKETS), np.uint32)
+        for row, i in zip(out, rows, strict=True):
+            row[self.bucket[i]] = self.count[i]
+        return out
+
+    def __iter__(self):
+        return (self[[i]][0] for i in range(len(self.count)))
+
+    def max(self) -> int:
+        return max((int(c.max(initial=0)) for c in self.count), default=0)
+
+
+def shares(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float32)
+    x /= np.maximum(x.sum(1, keepdims=True), 1)
+    return x
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and _LETTER.search(text) is not None
 
@@ -75,11 +106,9 @@ def gradients(x: np.ndarray, y: np.ndarray, e: np.ndarray, w: np.ndarray, b: np.
     return x.T @ (p @ w.T), hidden.T @ p, p.sum(0)
 
 
-def train(x: np.ndarray, y: np.ndarray, languages: list[str], held: np.ndarray, seed: int = 11) -> Model:
+def train(x: Counts | np.ndarray, y: np.ndarray, languages: list[str], held: np.ndarray, seed: int = 11) -> Model:
     """Fit on rows of counts ``x`` with language numbers ``y``; rows where ``held`` calibrate."""
     rng, k = np.random.default_rng(seed), len(languages)
-    x = x.astype(np.float32)
-    x /= np.maximum(x.sum(1, keepdims=True), 1)
     fit = np.flatnonzero(~held)
     e, w, b = rng.normal(0, 1, (BUCKETS, WIDTH)).astype(np.float32), np.zeros((WIDTH, k), np.float32), np.zeros(k, np.float32)
     scale = np.float32(50)  # averaged counts are small; rows of e move in proportion
@@ -88,13 +117,14 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], held: np.ndarray,
         order = rng.permutation(fit)
         for at in range(0, len(order), 64):
             rows = order[at : at + 64]
-            of_e, of_w, of_b = gradients(x[rows], y[rows], e, w, b)
+            of_e, of_w, of_b = gradients(shares(x[rows]), y[rows], e, w, b)
             w -= rate * of_w
             b -= rate * of_b
             e -= rate * scale * of_e
     table = (e @ w).astype(np.float64)
-    use = held if held.any() else ~held
-    logits, truth = x[use] @ table + b, y[use]
+    use = np.flatnonzero(held if held.any() else ~held)
+    asked = shares(x[use])
+    logits, truth = asked @ table + b, y[use]
 
     def loss(t):
         z = logits / t
@@ -103,7 +133,7 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], held: np.ndarray,
     temperature = min(np.geomspace(0.05, 20, 60), key=loss) if len(truth) else 1.0
     model = Model(languages, table / temperature, b / temperature, 0.0)
     if len(truth):
-        model.threshold = float(min(SURE, np.quantile(model.scores(x[use]).max(1), REJECTED)))
+        model.threshold = float(min(SURE, np.quantile(model.scores(asked).max(1), REJECTED)))
     return model
 
 
@@ -124,7 +154,7 @@ def fit(docs: DataFrame) -> Model | None:
     def features(batches):
         for batch in batches:
             out = [counts(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())], names=["doc_id", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([zlib.compress(x.astype("<u4").tobytes(), 1) for x in out], pa.binary())], names=["doc_id", "lang", "x"])
 
     met = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("c_id")) & (F.col("lang") == F.col("c_lang"))).select("doc_id", "lang", "text")
     # One row a doc_id and language, so that repeated rows cannot pass the bound.
@@ -133,9 +163,8 @@ def fit(docs: DataFrame) -> Model | None:
         return None
     got.sort(key=lambda r: (r["lang"], r["doc_id"]))
     languages = sorted({r["lang"] for r in got})
-    x = np.stack([np.frombuffer(r["x"], "<u4") for r in got])
     y = np.array([languages.index(r["lang"]) for r in got])
-    return train(x, y, languages, np.arange(len(got)) % 5 == 0)
+    return train(Counts([r["x"] for r in got]), y, languages, np.arange(len(got)) % 5 == 0)
 
 
 def predict_texts(model: Model | None, texts: list[str | None]) -> list[tuple[str, float, bool]]:
