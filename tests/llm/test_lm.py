@@ -266,3 +266,36 @@ def test_batches_of_a_column_do_not_matter(scorer):
         b = scorer.texts(pa.array(texts).slice(i, 4))
         assert b["score"].to_pylist() == pytest.approx(a["score"].to_pylist()[i : i + 4])
         assert b["tail"].to_pylist() == a["tail"].to_pylist()[i : i + 4]
+
+
+def test_a_step_holds_parts_of_its_windows(scorer, monkeypatch):
+    import tracemalloc
+
+    v, t, rng = scorer.vocabulary, scorer.tables, np.random.default_rng(8)
+    m = {k: x.copy() for k, x in scorer.weights.items()}
+    x, y = rng.integers(0, v.inputs, (70, lm.WINDOW)), rng.integers(0, v.classes, (70, lm.WINDOW))
+    w = (rng.random((70, lm.WINDOW)) < 0.9).astype(np.float32)
+    got, most = [], []
+    for part in (8, 70):
+        monkeypatch.setattr(lm, "PART", part)
+        tracemalloc.start()
+        got.append(lm.gradients(m, v, t, x, y, w))
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert got[0][0] == pytest.approx(got[1][0], rel=1e-5)
+    for k in m:
+        assert np.abs(got[0][1][k] - got[1][1][k]).max() <= 1e-5 * np.abs(got[1][1][k]).max() + 1e-9
+    assert most[0] < most[1] / 2
+
+    # Adam's rule written out, from the same gradients.
+    monkeypatch.setattr(lm, "gradients", lambda *a: (0.0, {k: p * np.float32(0.3) + np.float32(0.01) for k, p in got[0][1].items()}))
+    adam, plain = lm.Adam({k: p.copy() for k, p in m.items()}), {k: p.copy() for k, p in m.items()}
+    g = lm.gradients()[1]
+    first, second = {k: np.zeros_like(p) for k, p in m.items()}, {k: np.zeros_like(p) for k, p in m.items()}
+    for i in (1, 2, 3):
+        adam.step(v, t, np.zeros((2, lm.WINDOW + 1), np.int32), 0.01)
+        for k in m:
+            first[k] += (g[k] - first[k]) * np.float32(0.1)
+            second[k] += (g[k] * g[k] - second[k]) * np.float32(0.01)
+            plain[k] -= np.float32(0.01 / (1 - 0.9**i)) * first[k] / (np.sqrt(second[k] / np.float32(1 - 0.99**i)) + np.float32(1e-8))
+    assert all((adam.m[k] == plain[k]).all() for k in m)

@@ -43,6 +43,7 @@ WINDOW, OVERLAP, WIDTH, BATCH = 64, 32, 32, 48
 SINGLE, GROUPS = 216, 4  # ids predicted one by one, and classes of other ids on either side of the space
 INPUTS = 2048
 SMOOTH = 5.0  # counts that a distribution over fewer conditions is worth
+PART = 32  # windows whose gradients are computed at a time
 MOST = 60.0  # of scores and logits that need no shift before they are exponentiated
 HEAD, HEAD_BYTES, UNIGRAM = 200_000, 64, 0.1
 SAMPLE_DOCS, SAMPLE_WINDOWS, STEPS, PASSES, RATE = 3000, 16, 3000, 8, 0.01
@@ -275,13 +276,30 @@ def _weights(s: np.ndarray, mask: np.ndarray) -> np.ndarray:
 def gradients(m: dict, v: Vocabulary, t: Tables, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
     """Mean loss over weighted positions of windows of input numbers (n x WINDOW), and its gradients.
 
-    A position's loss is that of its side and of its class ``y`` within that side.
+    A position's loss is that of its side and of its class ``y`` within that side. Windows are taken ``PART`` at a time, so
+    that what a part holds stays in a core's cache and no new memory is asked for; the gradients are sums over all parts.
     """
-    n, d = x.shape[0], WIDTH
-    x, y = x.reshape(-1), y.reshape(-1)
+    d, w = WIDTH, (weight / max(weight.sum(), 1)).astype(np.float32)
     # Queries times keys and values times "o" are one product of weights each, so keys are the inputs themselves.
     asks, keys, values = m["qkv"][:, :d] * np.float32(d**-0.5), m["qkv"][:, d : 2 * d], m["qkv"][:, 2 * d :]
     both = np.concatenate([asks @ keys.T, values @ m["o"]], 1)
+    outs = [np.ascontiguousarray(m["out"][:, : v.inner]), np.ascontiguousarray(m["out"][:, v.inner :])]
+    g = {k: np.zeros_like(m[k]) for k in ("out", "b", "s", "d", "u", "p")}
+    dboth, dh, loss = np.zeros_like(both), np.empty((*x.shape, d), m["e"].dtype), 0.0
+    for lo in range(0, len(x), PART):
+        part = slice(lo, lo + PART)
+        loss += _gradients(m, v, t, both, outs, x[part], y[part].reshape(-1), w[part].reshape(-1), g, dboth, dh[part])
+    g["d"] *= np.float32(0.5)
+    g["qkv"] = np.concatenate([dboth[:, :d] @ keys * np.float32(d**-0.5), dboth[:, :d].T @ asks, dboth[:, d:] @ m["o"].T], 1)
+    g["o"] = values.T @ dboth[:, d:]
+    g["e"] = np.bincount((x.reshape(-1, 1) * d + np.arange(d)).reshape(-1), weights=dh.reshape(-1), minlength=m["e"].size).astype(m["e"].dtype).reshape(m["e"].shape)
+    return float(loss), g
+
+
+def _gradients(m: dict, v: Vocabulary, t: Tables, both: np.ndarray, outs: list, x: np.ndarray, y: np.ndarray, w: np.ndarray, g: dict, dboth: np.ndarray, dx: np.ndarray) -> float:
+    """Loss of some windows with weights ``w``; their gradients are added to ``g`` and ``dboth``, those of the inputs written to ``dx``."""
+    n, d = x.shape[0], WIDTH
+    x = x.reshape(-1)
     h0 = m["e"].take(x, 0).reshape(n, WINDOW, d)
     h0 += m["p"]
     flat = h0.reshape(-1, d)
@@ -296,19 +314,18 @@ def gradients(m: dict, v: Vocabulary, t: Tables, x: np.ndarray, y: np.ndarray, w
     u += np.abs(u)  # twice the rectified values
     h = u @ (m["d"] * np.float32(0.5))
     h += h1
-    w = (weight / max(weight.sum(), 1)).reshape(-1).astype(np.float32)
     at_space = y < v.inner
     side = 1 / (1 + np.exp(-np.clip((h @ m["s"])[:, 0] + t.space[x], -30, 30)))
     loss = -np.dot(np.log(np.where(at_space, side, 1 - side) + 1e-30), w)
     ds = ((side - at_space) * w)[:, None].astype(h.dtype)
-    g = {"out": np.zeros_like(m["out"]), "b": np.zeros_like(m["b"]), "s": h.T @ ds}
+    g["s"] += h.T @ ds
     dh = ds * m["s"].T
     # Classes of one side only are asked for at a position.
-    for which, lo, hi in ((at_space, 0, v.inner), (~at_space, v.inner, v.classes)):
+    for which, lo, hi, out in ((at_space, 0, v.inner, outs[0]), (~at_space, v.inner, v.classes, outs[1])):
         rows = np.flatnonzero(which & (w > 0))
         if not len(rows):
             continue
-        hr, out, wr = h.take(rows, 0), np.ascontiguousarray(m["out"][:, lo:hi]), w[rows]
+        hr, wr = h.take(rows, 0), w[rows]
         p = hr @ out
         if lo == 0:
             p += m["b"][lo:hi] + t.first
@@ -323,12 +340,13 @@ def gradients(m: dict, v: Vocabulary, t: Tables, x: np.ndarray, y: np.ndarray, w
         loss -= np.dot(np.log(one[at] / total[:, 0] + 1e-30), wr)
         p *= wr[:, None] / total
         one[at] -= wr
-        g["out"][:, lo:hi], g["b"][lo:hi] = (p.T @ hr).T, np.ones(len(rows), p.dtype) @ p
+        g["out"][:, lo:hi] += (p.T @ hr).T
+        g["b"][lo:hi] += np.ones(len(rows), p.dtype) @ p
         dh[rows] += p @ out.T
-    g["d"] = np.float32(0.5) * (u.T @ dh)
+    g["d"] += u.T @ dh
     du = dh @ m["d"].T
     du *= u > 0
-    g["u"] = np.ascontiguousarray(h1.T) @ du
+    g["u"] += h1.T @ du
     dh += du @ m["u"].T
     da = dh.reshape(n, WINDOW, d)
     # What a row's weights share is the product of its output and that output's gradient.
@@ -344,13 +362,11 @@ def gradients(m: dict, v: Vocabulary, t: Tables, x: np.ndarray, y: np.ndarray, w
     dqv[..., d:] = np.matmul(s.transpose(0, 2, 1), da)
     dh += np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, d)
     dqv = dqv.reshape(-1, 2 * d)
-    dboth = np.ascontiguousarray(flat.T) @ dqv
-    g["qkv"] = np.concatenate([dboth[:, :d] @ keys * np.float32(d**-0.5), dboth[:, :d].T @ asks, dboth[:, d:] @ m["o"].T], 1)
-    g["o"] = values.T @ dboth[:, d:]
+    dboth += flat.T @ dqv
     dh += dqv @ both.T
-    g["p"] = dh.reshape(n, WINDOW, d).sum(0)
-    g["e"] = np.bincount((x[:, None] * d + np.arange(d)).reshape(-1), weights=dh.reshape(-1), minlength=m["e"].size).astype(m["e"].dtype).reshape(m["e"].shape)
-    return float(loss), g
+    dx[...] = dh.reshape(n, WINDOW, d)
+    g["p"] += dx.sum(0)
+    return loss
 
 
 class Hidden:
@@ -399,7 +415,7 @@ class Adam:
 
     def __init__(self, m: dict):
         self.m, self.i = m, 0
-        self.first, self.second = {k: np.zeros_like(x) for k, x in m.items()}, {k: np.zeros_like(x) for k, x in m.items()}
+        self.first, self.second, *self.spare = ({k: np.zeros_like(x) for k, x in m.items()} for _ in range(4))
 
     def step(self, v: Vocabulary, t: Tables, windows: np.ndarray, rate: float) -> None:
         given = np.where(windows[:, :-1] >= 0, v.input[np.maximum(windows[:, :-1], 0)], 0)
@@ -407,9 +423,20 @@ class Adam:
         _, g = gradients(self.m, v, t, given, asked, (windows[:, 1:] > -3).astype(np.float32))
         self.i += 1
         for k, x in g.items():
-            self.first[k] += (x - self.first[k]) * np.float32(0.1)
-            self.second[k] += (x * x - self.second[k]) * np.float32(0.01)
-            self.m[k] -= np.float32(rate / (1 - 0.9**self.i)) * self.first[k] / (np.sqrt(self.second[k] / np.float32(1 - 0.99**self.i)) + np.float32(1e-8))
+            first, second, move, by = self.first[k], self.second[k], *(spare[k] for spare in self.spare)
+            np.subtract(x, first, out=move)
+            move *= np.float32(0.1)
+            first += move
+            np.multiply(x, x, out=move)
+            move -= second
+            move *= np.float32(0.01)
+            second += move
+            np.divide(second, np.float32(1 - 0.99**self.i), out=by)
+            np.sqrt(by, out=by)
+            by += np.float32(1e-8)
+            np.multiply(first, np.float32(rate / (1 - 0.9**self.i)), out=move)
+            move /= by
+            self.m[k] -= move
 
 
 @dataclass
