@@ -299,3 +299,46 @@ def test_a_step_holds_parts_of_its_windows(scorer, monkeypatch):
             second[k] += (g[k] * g[k] - second[k]) * np.float32(0.01)
             plain[k] -= np.float32(0.01 / (1 - 0.9**i)) * first[k] / (np.sqrt(second[k] / np.float32(1 - 0.99**i)) + np.float32(1e-8))
     assert all((adam.m[k] == plain[k]).all() for k in m)
+
+
+def test_compiled_loops_give_what_numpy_gives(scorer, monkeypatch):
+    """Gradients, Adam's steps and scores, also where exponentials need a shift; no compiler leaves numpy."""
+    from dataclasses import replace
+
+    from weftline.llm import kernels
+
+    v, t, rng = scorer.vocabulary, scorer.tables, np.random.default_rng(4)
+    sizes = lm.WINDOW, lm.WIDTH, lm.MOST
+    assert kernels.native(None, scorer.weights, v, t, *sizes) is None
+    made = kernels.compiled()
+    if made is None:
+        pytest.skip("no Rust compiler, or a processor without its instructions")
+    native = kernels.native(made, scorer.weights, v, t, *sizes)
+    assert native is not None and kernels.native(made, scorer.weights, v, t, lm.WINDOW, lm.WIDTH * 2, lm.MOST) is None
+    texts = [rng.integers(0, 50257, n) for n in (0, 1, lm.OVERLAP - 1, lm.OVERLAP, lm.WINDOW - 1, lm.WINDOW, 300, 0)]
+    ids, at = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for scale in (1, 12):
+        m = {k: (rng.normal(size=x.shape) * 0.2).astype(np.float32) if k in "bs" else x * np.float32(scale if k in "ep" else 1) for k, x in scorer.weights.items()}
+        x, y = rng.integers(0, v.inputs, (37, lm.WINDOW)), rng.integers(0, v.classes, (37, lm.WINDOW))
+        w = (rng.random((37, lm.WINDOW)) < 0.8).astype(np.float32)
+        y[0], w[1], y[2] = 0, 0, v.classes - 1
+        _, want = lm.gradients(m, v, t, x, y, w)
+        for _ in range(2):
+            got = native.gradients(m, x, y, w)
+            assert set(got) == set(want)
+            for k in want:
+                assert got[k].shape == m[k].shape and np.abs(got[k] - want[k]).max() <= 1e-4 * scale * np.abs(want[k]).max()
+        plain, fast = (replace(scorer, weights=m, made=made) for made in (None, made))
+        assert plain.native is None and fast.native is not None
+        for a, b in zip(plain.positions(ids, at), fast.positions(ids, at), strict=True):
+            assert b == pytest.approx(a, abs=1e-4 * scale)
+    steps = [lm.Adam({k: x.copy() for k, x in scorer.weights.items()}, n) for n in (None, native)]
+    windows = lm.windows_of(np.concatenate([[-1], rng.integers(0, 50257, 5000), [-2]]))
+    for i in range(3):
+        for adam in steps:
+            adam.step(v, t, windows, 0.002)
+    for k in scorer.weights:
+        assert np.abs(steps[0].m[k] - steps[1].m[k]).mean() < 1e-5
+    # Without a compiler the whole job is numpy's.
+    monkeypatch.setattr(kernels.shutil, "which", lambda name: None)
+    assert kernels.compiled.__wrapped__() is None

@@ -1,4 +1,4 @@
-"""Language-model scoring: a causal self-attention model over subword ids, trained in numpy.
+"""Language-model scoring: a causal self-attention model over subword ids, trained in numpy or by compiled loops.
 
 What the corpus gives grows with it: exact counts of all words of all training texts, and from them exact counts of all
 subword ids and of pairs of them inside words. The counts fix the base score, the ids that are predicted one by one, the
@@ -26,7 +26,6 @@ texts of any length are scored whole; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -36,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm import kernels
 from weftline.llm.tokens import blocks, bounded_batches, default_path, encoder, grouped, releasing
 from weftline.storage import materialise
 
@@ -48,14 +48,17 @@ MOST = 60.0  # of scores and logits that need no shift before they are exponenti
 HEAD, HEAD_BYTES, UNIGRAM = 200_000, 64, 0.1
 SAMPLE_DOCS, SAMPLE_WINDOWS, STEPS, PASSES, RATE = 3000, 16, 3000, 8, 0.01
 ROUNDS, ROUND_RATE = 1, 0.002  # passes over all training windows, and their rate
-COUNT_MEMO, MEMO = 300_000, 200_000  # words that a worker counts, and encodings that it remembers, at a time
+MEMO = 200_000  # encodings that a worker remembers at a time
 
 
 # --- words ----------------------------------------------------------------------------------------------------------
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def words_of(texts: pa.Array, made: kernels.Compiled | None = None) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """(word number of every token, distinct words, offsets of the rows) with A-Z lower-cased; null counts as empty."""
+    library = kernels.loaded(made)
+    if library is not None and texts.nbytes < 1 << 30:
+        return kernels.words(library, texts)
     low = pc.ascii_lower(pc.fill_null(texts, ""))
     split = pc.ascii_split_whitespace(low)
     flat, at = split.values, split.offsets.to_numpy().astype(np.int64)
@@ -75,27 +78,18 @@ def _training(doc_id="doc_id"):
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``word, n`` over all training texts, and their number under a null word. Counts meet partly in each task."""
+    """``word, n`` over all training texts, and their number under a null word. Counts meet in each block of texts first."""
     bounded_batches(docs.sparkSession)
 
-    def per_batch(batches):
-        held, texts = Counter(), 0
-
-        def flush():
-            words = list(held)
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([held[w] for w in words], pa.int64())], names=["word", "n"])
-            held.clear()
-            return out
+    made = kernels.compiled()
 
+    def per_batch(batches):
+        texts = 0
         for batch in grouped(batches, 0, 8_000_000):
             for lo, hi in blocks(batch.column(0), size=8_000_000):
-                index, words, _ = words_of(batch.column(0)[lo:hi])
-                held.update(dict(zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True)))
-                if len(held) > COUNT_MEMO:
-                    yield flush()
+                index, words, _ = words_of(batch.column(0)[lo:hi], made)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.bincount(index, minlength=len(words)))], names=["word", "n"])
             texts += len(batch)
-        if held:
-            yield flush()
         if texts:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([texts], pa.int64())], names=["word", "n"])
 
@@ -397,31 +391,36 @@ class Hidden:
         return h.reshape(n, size - first, d)
 
 
-def fit(v: Vocabulary, t: Tables, windows: np.ndarray, steps: int | None = None, seed: int = 9) -> dict:
-    """Adam over windows of ids (n x WINDOW + 1): PASSES times over them, at most STEPS steps.
+def fit(v: Vocabulary, t: Tables, windows: np.ndarray, steps: int | None = None, seed: int = 9, made: kernels.Compiled | None = None) -> dict:
+    """Adam over windows of ids (n x WINDOW + 1): PASSES times over them, at most STEPS steps; ``made`` are compiled loops.
 
     The first id is what stands before the window: -1 for the beginning; -2 is the end, -3 nothing.
     """
     m, rng = init(v), np.random.default_rng(seed)
     steps = min(STEPS, PASSES * len(windows) // 64) if steps is None else steps
-    adam = Adam(m)
+    adam = Adam(m, kernels.native(made, m, v, t, WINDOW, WIDTH, MOST))
     for i in range(1, steps + 1 if len(windows) else 1):
         adam.step(v, t, windows[rng.integers(0, len(windows), 64)], RATE * min(1, i / 50) * (1 - 0.98 * i / steps))
     return m
 
 
 class Adam:
-    """Steps that change the weights ``m`` in place."""
+    """Steps that change the weights ``m`` in place, by compiled loops if there are any."""
 
-    def __init__(self, m: dict):
-        self.m, self.i = m, 0
+    def __init__(self, m: dict, native: kernels.Native | None = None):
+        self.m, self.i, self.native = m, 0, native
         self.first, self.second, *self.spare = ({k: np.zeros_like(x) for k, x in m.items()} for _ in range(4))
 
     def step(self, v: Vocabulary, t: Tables, windows: np.ndarray, rate: float) -> None:
         given = np.where(windows[:, :-1] >= 0, v.input[np.maximum(windows[:, :-1], 0)], 0)
         asked = np.where(windows[:, 1:] >= 0, v.output[np.maximum(windows[:, 1:], 0)], 0)
-        _, g = gradients(self.m, v, t, given, asked, (windows[:, 1:] > -3).astype(np.float32))
+        weight = (windows[:, 1:] > -3).astype(np.float32)
         self.i += 1
+        if self.native:
+            for k, x in self.native.gradients(self.m, given, asked, weight).items():
+                self.native.adam(self.m[k], x, self.first[k], self.second[k], rate / (1 - 0.9**self.i), 1 - 0.99**self.i)
+            return
+        _, g = gradients(self.m, v, t, given, asked, weight)
         for k, x in g.items():
             first, second, move, by = self.first[k], self.second[k], *(spare[k] for spare in self.spare)
             np.subtract(x, first, out=move)
@@ -451,6 +450,7 @@ class Scorer:
     ends: int  # training texts, each of which has one end
     total: int  # N
     distinct: int  # V
+    made: kernels.Compiled | None = None  # the loops that score, compiled
 
     def positions(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Natural logs at every position: of what stands there within its side, of a space, and of going on with a word.
@@ -481,11 +481,15 @@ class Scorer:
         step, each = WINDOW - OVERLAP, np.arange(WINDOW)
         n = -(-np.maximum(lengths - OVERLAP, 0) // step)
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        states = Hidden(m)
+        states, spans = Hidden(m), ((0, OVERLAP, start[:-1], start[1:]), (OVERLAP, WINDOW, np.repeat(start[:-1], n) + nth * step, np.repeat(start[1:], n)))
+        if self.native:
+            side, picked, sums = (x[:total] for x in self.native.scores(m, states, given, asked, spans))
+            lp += picked - np.log(sums)
+            return self.sides(lp, side)
         first, inner = m["b"][: v.inner] + t.first, t.prior + m["b"][v.inner :]
         outs = [np.ascontiguousarray(m["out"][:, : v.inner]), np.ascontiguousarray(m["out"][:, v.inner :])]
         ones = [np.ones((o.shape[1], 1), np.float32) for o in outs]
-        for known, size, begin, end in ((0, OVERLAP, start[:-1], start[1:]), (OVERLAP, WINDOW, np.repeat(start[:-1], n) + nth * step, np.repeat(start[1:], n))):
+        for known, size, begin, end in spans:
             for lo in range(0, len(begin), BATCH):
                 pos = begin[lo : lo + BATCH, None] + each[:size]
                 x = given.take(pos)
@@ -506,10 +510,18 @@ class Scorer:
                     np.exp(z, out=z)
                     picked -= np.log((z @ one)[:, 0])
                     lp[q] += picked
-        # Logs of both sides, from the odds.
+        return self.sides(lp, side)
+
+    @staticmethod
+    def sides(lp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """With ``lp`` the logs of both sides, from the odds."""
         space = np.minimum(side, 0) - np.log1p(np.exp(-np.abs(side)))
         return lp, space, space - side
 
+    @cached_property
+    def native(self) -> kernels.Native | None:
+        return kernels.native(self.made, self.weights, self.vocabulary, self.tables, WINDOW, WIDTH, MOST)
+
     @cached_property
     def shares(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """An id's share of its class, as a part by the class before and its input number and one of its own; input numbers and classes of ids."""
@@ -520,7 +532,7 @@ class Scorer:
 
     def texts(self, texts: pa.Array) -> dict[str, list]:
         """Scores of a string column, and what its words outside the head still need for the base score."""
-        index, words, at = words_of(texts)
+        index, words, at = words_of(texts, self.made)
         ids, word_at = subwords(index, at, *encoder(self.tokenizer, MEMO).words([w.decode() for w in words]))
         lp, space, on = self.positions(ids.astype(np.int64), word_at[at])
         rows = len(texts)
@@ -573,9 +585,9 @@ def windows_of(line: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW + 1)[::WINDOW]
 
 
-def text_windows(texts: pa.Array, tokenizer: str):
+def text_windows(texts: pa.Array, tokenizer: str, made: kernels.Compiled | None = None):
     """The windows of each text of a string column."""
-    index, words, at = words_of(texts)
+    index, words, at = words_of(texts, made)
     ids, word_at = subwords(index, at, *encoder(tokenizer, MEMO).words([w.decode() for w in words]))
     ends = word_at[at]
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -589,12 +601,12 @@ def train(docs: DataFrame, tokenizer: str, v: Vocabulary, t: Tables, m: dict) ->
     rows, spark = docs.filter(_training()).select(F.col("text").cast("string").alias("text")), docs.sparkSession
     names = list(m)
     for _ in range(ROUNDS):
-        held = spark.sparkContext.broadcast((v, t, m))
+        held = spark.sparkContext.broadcast((v, t, m, kernels.compiled()))
 
         def per_task(batches):
-            v, t, m = held.value
+            v, t, m, made = held.value
             m = {k: x.copy() for k, x in m.items()}
-            adam, seen, rng = Adam(m), 0, np.random.default_rng(11)
+            adam, seen, rng = Adam(m, kernels.native(made, m, v, t, WINDOW, WIDTH, MOST)), 0, np.random.default_rng(11)
 
             def steps(windows):
                 for at in range(0, len(windows), 64):
@@ -603,7 +615,7 @@ def train(docs: DataFrame, tokenizer: str, v: Vocabulary, t: Tables, m: dict) ->
             waiting, size = [], 0
             for batch in grouped(batches, 0, 1_000_000):
                 for lo, hi in blocks(batch.column(0), 4096, 1_000_000):
-                    for cut in text_windows(batch.column(0)[lo:hi], tokenizer):
+                    for cut in text_windows(batch.column(0)[lo:hi], tokenizer, made):
                         waiting.append(cut)
                         size += len(cut)
                         if size >= 4096:
@@ -661,8 +673,8 @@ def build(docs: DataFrame, tokenizer: str | None = None) -> tuple[Scorer, DataFr
     ids = subword_counts(pairs, len(spaced))
     v = Vocabulary.of(ids, spaced)
     tables = Tables.of(v, pair_counts(pairs, v), ids, sums["ends"])
-    weights, _ = train(docs, path, v, tables, fit(v, tables, sample_windows(docs, path)))
-    return Scorer(path, v, tables, weights, head, sums["ends"], sums["n"], sums["v"]), counts
+    weights, _ = train(docs, path, v, tables, fit(v, tables, sample_windows(docs, path), made=kernels.compiled()))
+    return Scorer(path, v, tables, weights, head, sums["ends"], sums["n"], sums["v"], kernels.compiled()), counts
 
 
 def head_words(counts: DataFrame, total: int) -> DataFrame:
