@@ -43,6 +43,19 @@ def test_memo_on_documents(tok, documents):
     assert tok.encode(texts) == [whole(tok, t) for t in texts]
 
 
+def test_a_word_and_one_mark_is_not_taken_apart(monkeypatch):
+    """The commonest cuts but plain words take no call of their own; their ids stay those of the whole text."""
+    from weftline.llm import tokens
+
+    taken = []
+    monkeypatch.setattr(tokens, "_parts", lambda cut, plain=tokens._parts: taken.append(cut) or plain(cut))
+    tok = ChunkEncoder(default_path(), limit=3)
+    for text in ("One, two. three; One! \u00e9t\u00e9? 7: end.", "two, three, four four,", "x. y.. .z ., , 9,"):
+        assert tok.encode([text, text + " a, "]) == [whole(tok, text), whole(tok, text + " a, ")]
+    assert sorted(set(taken)) == [",", ".,", "y.."]
+    assert tok.encode(["a,\nb. c,\n"]) == [whole(tok, "a,\nb. c,\n")] and any("\n" in c for c in taken)
+
+
 def check(rows, docs, tok):
     at = defaultdict(list)
     for r in rows:

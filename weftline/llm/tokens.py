@@ -48,8 +48,11 @@ def pack_ids(ids) -> bytes:
 def _parts(cut: str) -> list[str | None]:
     """Memo keys whose ids make up those of a cut; None is a line end between two that are not white space."""
     lines = cut.split("\n") if cut[0] != " " else [cut]
-    if len(lines) > 1 and any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-        lines = [cut]
+    if len(lines) > 1:
+        for x in lines:
+            if not x or x[0].isspace() or x[-1].isspace():
+                lines = [cut]
+                break
     keys = []
     for i, line in enumerate(lines):
         if i:
@@ -96,14 +99,26 @@ class ChunkEncoder:
 
     def _learn(self, new: list[str]) -> None:
         """Memo entries for cuts that it lacks. Lines and trailing punctuation are pieces of their own to the tokenizer."""
-        memo, made, need = self.memo, [], set()
+        memo, made, marked, need = self.memo, [], [], set()
         remember = self.old.get
+        marks = dict.fromkeys(TAIL, 0)
         for cut in new:
             ids = remember(cut)
             if ids is not None:
                 memo[cut] = ids
             elif not cut or cut[-1] not in TAIL and "\n" not in cut:
                 need.add(cut)
+            elif cut[-1] in marks and cut[-2:-1].isalnum() and "\n" not in cut:
+                # The commonest form, a word and one mark.
+                word = cut[:-1]
+                marked.append(cut)
+                marks[cut[-1]] += 1
+                if word not in memo:
+                    ids = remember(word)
+                    if ids is not None:
+                        memo[word] = ids
+                    else:
+                        need.add(word)
             else:
                 keys = _parts(cut)
                 if len(keys) > 1:
@@ -115,13 +130,18 @@ class ChunkEncoder:
                             memo[k] = ids
                         else:
                             need.add(k)
+        need.update(" " + x for x, n in marks.items() if n and " " + x not in memo)
         spaced = [k for k in need if k and k[0] != " "]
         plain = [k for k in need if not k or k[0] == " "]
         memo.update(zip(spaced, self._spaced(spaced), strict=True))
         # The empty key is a space that ends a text.
         memo.update(zip(plain, self._whole([k[1:] if k else " " for k in plain]), strict=True))
         memo[None] = self.newline
-        memo.update((cut, b"".join([memo[k] for k in keys])) for cut, keys in made)
+        for cut, keys in made:
+            memo[cut] = b"".join([memo[k] for k in keys])
+        of = {x: memo[" " + x] for x, n in marks.items() if n}
+        for cut in marked:
+            memo[cut] = memo[cut[:-1]] + of[cut[-1]]
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column one after another, and the offsets of its rows; null counts as empty."""
@@ -132,7 +152,7 @@ class ChunkEncoder:
         some = pc.any(unsafe).as_py()
         words = pc.split_pattern(pc.if_else(unsafe, "", texts) if some else texts, " ")
         at, coded = words.offsets.to_numpy(), pc.dictionary_encode(words.values)
-        keys, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        keys, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
         # A row's first word has no space before it.
         first = index[at[:-1]]
         index[at[:-1]] = np.arange(len(keys), len(keys) + len(first))
