@@ -342,3 +342,84 @@ def test_compiled_loops_give_what_numpy_gives(scorer, monkeypatch):
     # Without a compiler the whole job is numpy's.
     monkeypatch.setattr(kernels.shutil, "which", lambda name: None)
     assert kernels.compiled.__wrapped__() is None
+
+
+def test_compiled_merges_give_the_ids_of_the_library(monkeypatch):
+    """Words of letters, digits and marks never reach Python's memo; any other is left to the library, and all ids are its own."""
+    import random
+
+    from weftline.llm import kernels
+    from weftline.llm.tokens import ChunkEncoder
+
+    made = kernels.compiled()
+    if made is None:
+        pytest.skip("no Rust compiler, or a processor without its instructions")
+    path, rng, left = default_path(), random.Random(5), []
+    signs = "abstrevlmd''''.,!019éèßжλ²½_%<|>́ \u0085中😀"
+    words = {"".join(rng.choice(signs) for _ in range(rng.randint(1, 14))) for _ in range(5000)}
+    words |= {x + chr(c) + y for c in range(33, 0x900) for x, y in (("", ""), ("a", "1"))}
+    words |= {"x" * n for n in (1, 300, 511, 512, 513, 700)} | {"".join(rng.choice("abcdefghi") for _ in range(n)) for n in (200, 512, 513)}
+    words |= {"<|endoftext|>", "a<|endoftext|>b", "don't", "'s", "a''s", "we'llama", "'", "''ve"}
+    words = sorted(words)
+    monkeypatch.setattr(ChunkEncoder, "words", lambda self, got, real=ChunkEncoder.words: (left.extend(got), real(self, got))[1])
+    column = pa.array([w.encode() for w in words], pa.binary())
+    want = [e.ids for e in encoder(path).tokenizer.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+    for part, expected in ((column, want), (column.slice(7, 90), want[7:97]), (column[:0], [])):
+        held, starts, sizes = lm.encoded(part, path, made)
+        assert [held[a : a + n].tolist() for a, n in zip(starts, sizes, strict=True)] == expected
+    assert "don't" not in left and not any(w.isascii() and w.isalnum() and len(w) <= 512 for w in left)
+    assert {"<|endoftext|>", "x" * 513} <= set(left)
+    # The numpy way reads the same columns.
+    held, starts, sizes = lm.encoded(column, path)
+    assert [held[a : a + n].tolist() for a, n in zip(starts, sizes, strict=True)] == want
+
+
+def test_matrix_tiles_and_vectors_give_what_numpy_gives(scorer, monkeypatch):
+    """The same gradients and scores by either kind of instructions, and whole columns as without compiled loops."""
+    from dataclasses import replace
+
+    from weftline.llm import kernels
+
+    made = kernels.compiled()
+    if made is None:
+        pytest.skip("no Rust compiler, or a processor without its instructions")
+    v, t, rng = scorer.vocabulary, scorer.tables, np.random.default_rng(14)
+    tiled = kernels.loaded(made)
+    monkeypatch.setattr(kernels, "flags", lambda: frozenset(kernels.NEEDS))
+    plain = kernels.loaded.__wrapped__(made)
+    m = {k: x if k not in "bs" else (rng.normal(size=x.shape) * 0.2).astype(np.float32) for k, x in scorer.weights.items()}
+    x, y, w = rng.integers(0, v.inputs, (9, lm.WINDOW)), rng.integers(0, v.classes, (9, lm.WINDOW)), np.ones((9, lm.WINDOW), np.float32)
+    y[0], y[1], y[2, :15], w[3], w[4, 17:] = 0, v.classes - 1, 0, 0, 0
+    _, want = lm.gradients(m, v, t, x, y, w)
+    ids, at = rng.integers(0, 50257, 500), np.array([0, 0, 1, 32, 96, 96, 401, 500])
+    scores = replace(scorer, weights=m).positions(ids, at)
+    for library in (plain, tiled):
+        native = kernels.Native(library, v, t, lm.MOST)
+        for k, g in native.gradients(m, x, y, w).items():
+            assert np.abs(g - want[k]).max() <= 1e-4 * np.abs(want[k]).max()
+        other = replace(scorer, weights=m)
+        other.__dict__["native"] = native
+        for a, b in zip(scores, other.positions(ids, at), strict=True):
+            assert b == pytest.approx(a, abs=1e-4)
+    texts = pa.array(["The of the", None, "", "x" * 300 + " of", "ünlike 中文 the the"] * 3)
+    a, b = (replace(scorer, weights=m, made=made).texts(texts) for made in (None, made))
+    for k in a:
+        if pa.types.is_floating(a[k].type):
+            assert b[k].to_pylist() == pytest.approx(a[k].to_pylist(), abs=1e-3)
+        elif k != "models":
+            order = [sorted(r, key=str) if isinstance(r, list) else r for r in a[k].to_pylist()]
+            assert [sorted(r, key=str) if isinstance(r, list) else r for r in b[k].to_pylist()] == order
+    assert [[len(p) for p in r] for r in a["models"].to_pylist()] == [[len(p) for p in r] for r in b["models"].to_pylist()]
+
+
+def test_a_list_finds_its_words_only():
+    from weftline.llm import kernels
+
+    library = kernels.loaded(kernels.compiled())
+    if library is None:
+        pytest.skip("no Rust compiler, or a processor without its instructions")
+    words = pa.array([f"w{i}".encode() for i in range(5000)], pa.binary())
+    listed = kernels.Listed(library, words)
+    assert listed(words).tolist() == list(range(5000)) and listed(words[40:50]).tolist() == list(range(40, 50))
+    assert listed(pa.array([b"w5000", b"w", b"w77", b"w7 "], pa.binary())).tolist() == [-1, -1, 77, -1]
+    assert kernels.Listed(library, words[:0])(words[:3]).tolist() == [-1, -1, -1]

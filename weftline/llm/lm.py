@@ -54,7 +54,7 @@ MEMO = 200_000  # encodings that a worker remembers at a time
 # --- words ----------------------------------------------------------------------------------------------------------
 
 
-def words_of(texts: pa.Array, made: kernels.Compiled | None = None) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+def words_of(texts: pa.Array, made: kernels.Compiled | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(word number of every token, distinct words, offsets of the rows) with A-Z lower-cased; null counts as empty."""
     library = kernels.loaded(made)
     if library is not None and texts.nbytes < 1 << 30:
@@ -70,7 +70,25 @@ def words_of(texts: pa.Array, made: kernels.Compiled | None = None) -> tuple[np.
         at = np.concatenate([[0], np.cumsum(mask)])[at]
         flat = flat.filter(keep)
     coded = pc.dictionary_encode(flat)
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.binary()).to_pylist(), at
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.binary()), at
+
+
+def encoded(words: pa.Array, tokenizer: str, made: kernels.Compiled | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of words, each with a space before it: all ids, where each word's begin among them and how many they are.
+
+    Compiled merges give the library's ids; the words that they leave, and all without them, are encoded by the library.
+    """
+    tok, library = encoder(tokenizer, MEMO), kernels.loaded(made)
+    held = kernels.merges(tokenizer) if library is not None else None
+    if held is None:
+        return tok.words([w.decode() for w in words.to_pylist()])
+    ids, starts, sizes = kernels.encode(library, held, words)
+    left = np.flatnonzero(sizes < 0)
+    if len(left):
+        more, begin, size = tok.words([w.decode() for w in words.take(pa.array(left)).to_pylist()])
+        starts[left], sizes[left] = begin + len(ids), size
+        ids = np.concatenate([ids, more])
+    return ids, starts, sizes
 
 
 def _training(doc_id="doc_id"):
@@ -88,7 +106,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in grouped(batches, 0, 8_000_000):
             for lo, hi in blocks(batch.column(0), size=8_000_000):
                 index, words, _ = words_of(batch.column(0)[lo:hi], made)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.bincount(index, minlength=len(words)))], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(index, minlength=len(words)))], names=["word", "n"])
             texts += len(batch)
         if texts:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([texts], pa.int64())], names=["word", "n"])
@@ -100,10 +118,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def subword_pairs(counts: DataFrame, tokenizer: str) -> DataFrame:
     """``before, after, n``: how often subword ids follow one another inside training words; -1 is a word's edge."""
 
+    made = kernels.compiled()
+
     def pairs(batches):
-        tok = encoder(tokenizer, MEMO)
         for batch in grouped(batches, 0, 1_000_000):
-            held, starts, sizes = tok.words([w.decode() for w in batch.column(0).to_pylist()])
+            held, starts, sizes = encoded(batch.column(0), tokenizer, made)
+            held, _ = subwords(np.arange(len(sizes)), held, starts, sizes)
             step = word_pairs(held.astype(np.int64) + 1, sizes, len(held))
             key, n = np.unique(step[:, 0] << 32 | step[:, 1], return_inverse=True)
             total = np.bincount(n.reshape(-1), weights=np.repeat(batch.column(1).to_numpy(), sizes + 1), minlength=len(key))
@@ -412,14 +432,13 @@ class Adam:
         self.first, self.second, *self.spare = ({k: np.zeros_like(x) for k, x in m.items()} for _ in range(4))
 
     def step(self, v: Vocabulary, t: Tables, windows: np.ndarray, rate: float) -> None:
-        given = np.where(windows[:, :-1] >= 0, v.input[np.maximum(windows[:, :-1], 0)], 0)
-        asked = np.where(windows[:, 1:] >= 0, v.output[np.maximum(windows[:, 1:], 0)], 0)
-        weight = (windows[:, 1:] > -3).astype(np.float32)
         self.i += 1
         if self.native:
-            for k, x in self.native.gradients(self.m, given, asked, weight).items():
-                self.native.adam(self.m[k], x, self.first[k], self.second[k], rate / (1 - 0.9**self.i), 1 - 0.99**self.i)
+            self.native.step(self.m, windows, self.first, self.second, rate / (1 - 0.9**self.i), 1 - 0.99**self.i)
             return
+        given = np.where(windows[:, :-1] >= 0, v.input[np.maximum(windows[:, :-1], 0)], 0)
+        asked = np.where(windows[:, 1:] >= 0, v.output[np.maximum(windows[:, 1:], 0)], 0)
+        weight = (windows[:, 1:] > -3).astype(np.float32)
         _, g = gradients(self.m, v, t, given, asked, weight)
         for k, x in g.items():
             first, second, move, by = self.first[k], self.second[k], *(spare[k] for spare in self.spare)
@@ -458,6 +477,10 @@ class Scorer:
         ``ids`` are the subwords of all texts, ``at`` their offsets; a text's end stands after its subwords.
         """
         v, m, t = self.vocabulary, self.weights, self.tables
+        if self.native:
+            each = np.arange(len(at))
+            share, picked, space, on, _ = self.scored(each[:-1], each, ids, at[:-1], np.diff(at))
+            return share + picked[: len(share)], space[: len(share)], on[: len(share)]
         shares, own, numbers, kinds = self.shares
         lengths = np.diff(at) + 1
         start = np.concatenate([[0], np.cumsum(lengths)])
@@ -476,16 +499,7 @@ class Scorer:
         seen += number
         lp[where] = shares.take(seen)
         lp[where] += own.take(ids)
-        # The first OVERLAP places of a text stand alone; a window then asks for its other places, and the part that is
-        # known gives keys and values only. So no place is computed twice.
-        step, each = WINDOW - OVERLAP, np.arange(WINDOW)
-        n = -(-np.maximum(lengths - OVERLAP, 0) // step)
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        states, spans = Hidden(m), ((0, OVERLAP, start[:-1], start[1:]), (OVERLAP, WINDOW, np.repeat(start[:-1], n) + nth * step, np.repeat(start[1:], n)))
-        if self.native:
-            side, picked, sums = (x[:total] for x in self.native.scores(m, states, given, asked, spans))
-            lp += picked - np.log(sums)
-            return self.sides(lp, side)
+        states, spans, each = Hidden(m), self.spans(start), np.arange(WINDOW)
         first, inner = m["b"][: v.inner] + t.first, t.prior + m["b"][v.inner :]
         outs = [np.ascontiguousarray(m["out"][:, : v.inner]), np.ascontiguousarray(m["out"][:, v.inner :])]
         ones = [np.ones((o.shape[1], 1), np.float32) for o in outs]
@@ -512,6 +526,28 @@ class Scorer:
                     lp[q] += picked
         return self.sides(lp, side)
 
+    def scored(self, index: np.ndarray, at: np.ndarray, held: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """By compiled loops, at every place: the log of its share of its class, of its class, of a space and of going on; the texts' first places.
+
+        Word i of a block has the ids ``held[starts[i]:][:sizes[i]]``, texts have the words ``index`` between successive ``at``.
+        """
+        given, asked, share, start = self.native.laid(self.shares, index, at, held, starts, sizes)
+        side, picked, sums = self.native.scores(self.weights, self.hidden, given, asked, self.spans(start))
+        self.native.logs(side, picked, sums)
+        return share, picked, sums, side, start
+
+    @staticmethod
+    def spans(start: np.ndarray) -> tuple:
+        """(first place asked for, size, begins, ends of texts) of windows over texts that begin at ``start``, the last number being all places.
+
+        The first OVERLAP places of a text stand alone; a window then asks for its other places, and the part that is
+        known gives keys and values only. So no place is computed twice.
+        """
+        step = WINDOW - OVERLAP
+        n = -(-np.maximum(np.diff(start) - OVERLAP, 0) // step)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return (0, OVERLAP, start[:-1], start[1:]), (OVERLAP, WINDOW, np.repeat(start[:-1], n) + nth * step, np.repeat(start[1:], n))
+
     @staticmethod
     def sides(lp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """With ``lp`` the logs of both sides, from the odds."""
@@ -522,6 +558,16 @@ class Scorer:
     def native(self) -> kernels.Native | None:
         return kernels.native(self.made, self.weights, self.vocabulary, self.tables, WINDOW, WIDTH, MOST)
 
+    @cached_property
+    def hidden(self) -> Hidden:
+        return Hidden(self.weights)
+
+    @cached_property
+    def listed(self) -> kernels.Listed | None:
+        """Places in the head."""
+        library = kernels.loaded(self.made)
+        return kernels.Listed(library, self.head[0]) if library is not None else None
+
     @cached_property
     def shares(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """An id's share of its class, as a part by the class before and its input number and one of its own; input numbers and classes of ids."""
@@ -533,20 +579,28 @@ class Scorer:
     def texts(self, texts: pa.Array) -> dict[str, list]:
         """Scores of a string column, and what its words outside the head still need for the base score."""
         index, words, at = words_of(texts, self.made)
-        ids, word_at = subwords(index, at, *encoder(self.tokenizer, MEMO).words([w.decode() for w in words]))
-        lp, space, on = self.positions(ids.astype(np.int64), word_at[at])
         rows = len(texts)
         row = np.repeat(np.arange(rows), np.diff(at))
-        # Positions of a word's first subword and of what follows its last: every text before has one end.
-        a, b = word_at[:-1] + row, word_at[1:] + row
-        run = np.concatenate([[0.0], np.cumsum(lp + on)])
-        model = run[b] - run[a] - on[a] + space[b]
-        ending = lp[word_at[at[1:]] + np.arange(rows)]
-
-        place = pc.index_in(pa.array(words, pa.binary()), value_set=self.head[0])
-        known = np.append(self.head[1], 0)[pc.fill_null(place, len(self.head[1])).to_numpy(zero_copy_only=False)]
-        share, got = known[index] / max(self.total, 1), known[index] > 0
-        mixed = np.logaddexp(model + np.log(1 - UNIGRAM), np.log(UNIGRAM) + np.log(np.maximum(share, 1e-300)))
+        held = encoded(words, self.tokenizer, self.made)
+        if self.native:
+            share, picked, space, on, _ = self.scored(index, at, *held)
+            model, ending = self.native.summed(index, at, held[2], share, picked, space, on)
+        else:
+            ids, word_at = subwords(index, *held)
+            lp, space, on = self.positions(ids.astype(np.int64), word_at[at])
+            # Positions of a word's first subword and of what follows its last: every text before has one end.
+            a, b = word_at[:-1] + row, word_at[1:] + row
+            run = np.concatenate([[0.0], np.cumsum(lp + on)])
+            model = run[b] - run[a] - on[a] + space[b]
+            ending = lp[word_at[at[1:]] + np.arange(rows)]
+
+        if self.listed:
+            known = np.append(self.head[1], 0)[self.listed(words)]
+        else:
+            place = pc.index_in(words, value_set=self.head[0])
+            known = np.append(self.head[1], 0)[pc.fill_null(place, len(self.head[1])).to_numpy(zero_copy_only=False)]
+        share, got = np.log(UNIGRAM) + np.log(np.maximum(known / max(self.total, 1), 1e-300)), (known > 0)[index]
+        mixed = np.logaddexp(model + np.log(1 - UNIGRAM), share[index])
         tail_end = np.log(UNIGRAM) + np.log(max(self.ends / max(self.total, 1), 1e-300))
         ended = np.logaddexp(ending + np.log(1 - UNIGRAM), tail_end)
         score = (np.bincount(row, weights=np.where(got, mixed, 0.0), minlength=rows) + ended) / np.log(10)
@@ -563,14 +617,14 @@ class Scorer:
         offsets = np.concatenate([[0], np.cumsum(np.bincount(pair_row.astype(np.int64), minlength=rows))]).astype(np.int32)
         each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(times)]), pa.int32()), pa.array(places, pa.float64()))
         models = pa.ListArray.from_arrays(pa.array(offsets), each)
-        tail = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([words[i] for i in pair_word.tolist()], pa.binary()), pa.array(times, pa.int64())], names=["word", "times"]))
+        tail = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([words.take(pa.array(pair_word)), pa.array(times, pa.int64())], names=["word", "times"]))
         return {"n_tokens": pa.array(tokens, pa.int64()), "head_known": pa.array(np.bincount(row, weights=got, minlength=rows).astype(np.int64) + (self.ends > 0)), "head_log": pa.array(base), "floor": pa.array(np.full(rows, floor)), "score": pa.array(score), "tail": tail, "models": models}
 
 
 _SCORED = "n_tokens long, head_known long, head_log double, floor double, score double, tail array<struct<word: binary, times: bigint>>, models array<array<double>>"
 
 
-def subwords(index: np.ndarray, at: np.ndarray, held: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def subwords(index: np.ndarray, held: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts in a row, where each word's begin, and last their number): word i of a block has ``held[starts[i]:][:sizes[i]]``."""
     size = sizes[index]
     word_at = np.concatenate([[0], np.cumsum(size)])
@@ -588,7 +642,7 @@ def windows_of(line: np.ndarray) -> np.ndarray:
 def text_windows(texts: pa.Array, tokenizer: str, made: kernels.Compiled | None = None):
     """The windows of each text of a string column."""
     index, words, at = words_of(texts, made)
-    ids, word_at = subwords(index, at, *encoder(tokenizer, MEMO).words([w.decode() for w in words]))
+    ids, word_at = subwords(index, *encoded(words, tokenizer, made))
     ends = word_at[at]
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
         line = np.empty(b - a + 2, np.int32)
@@ -647,11 +701,13 @@ def sample_windows(docs: DataFrame, tokenizer: str) -> np.ndarray:
     rows = docs.filter(_training() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(21)), "doc_id").limit(SAMPLE_DOCS).select(F.col("doc_id").alias("c_id"))
 
+    made = kernels.compiled()
+
     def per_batch(batches):
         for batch in batches:
             out = []
             for lo, hi in blocks(batch.column(1)):
-                for cut in text_windows(batch.column(1)[lo:hi], tokenizer):
+                for cut in text_windows(batch.column(1)[lo:hi], tokenizer, made):
                     out += [w.astype("<i4").tobytes() for w in cut[np.unique(np.linspace(0, len(cut) - 1, SAMPLE_WINDOWS).astype(int))]]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["w"])
 
